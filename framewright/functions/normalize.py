@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Fixed value: the header that changes with every request.
 VOLATILE = ("headers.X-Amzn-Trace-Id",)
@@ -34,8 +34,7 @@ def normalize(
         if field is None or not inner:
             row = row if field is None else row.dropFields(outer)
         elif isinstance(field.dataType, T.MapType):
-            # null stays null: map_filter keeps a null map as it is
-            row = row.withField(outer, F.map_filter(row[outer], lambda k, _, inner=inner: k != inner))
+            row = row.withField(outer, _without_key(row[outer], inner))
         elif isinstance(field.dataType, T.StructType) and inner in field.dataType.names:
             row = row.withField(outer, row[outer].dropFields(f"`{inner}`"))
     if sort_keys:
@@ -46,6 +45,10 @@ def normalize(
     return messages.withColumn(msg, F.when(~broken, text))
 
 
+def _without_key(column: Column, name: str) -> Column:
+    return F.map_filter(column, lambda key, value: key != name)
+
+
 def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg: str) -> DataFrame:
     paths = [path.partition(".")[::2] for path in drop]
     index = messages.columns.index(msg)

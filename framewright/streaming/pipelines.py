@@ -1,0 +1,134 @@
+"""Streams from messages to batches and from frames to lines, metrics and quarantine."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions.checks import size_error, topic_error
+from ..functions.normalize import VOLATILE, normalize
+from ..operators.codec import DICT_SIZE, decode_frames, train_dicts
+from ..operators.metrics import _derived, _flush_throughput, _totals
+from ..operators.registry import publish_versions, retrain_candidates, sample_window, training_readiness
+from ..session import scratch_path
+from ..sources.registry_store import current_registry, publish_snapshot
+from ..sources.sinks import frame_metrics
+
+
+def ingest(
+    messages: DataFrame, drop: tuple[str, ...] = VOLATILE, schema: str | None = None, msg: str = "msg"
+) -> DataFrame:
+    """Validate topic and size, then normalize; works on tables and streams. ``error`` is null for valid messages."""
+    too_large = F.when(size_error(F.col(msg)).isNotNull(), "message_too_large")
+    checked = messages.withColumn("error", F.coalesce(topic_error(F.col("topic")), too_large))
+    # what was rejected is not parsed
+    guarded = checked.withColumn("_original", F.col(msg)).withColumn(msg, F.when(F.col("error").isNull(), F.col(msg)))
+    clean = normalize(guarded, drop, schema, msg=msg)
+    broken = F.when(F.col(msg).isNull(), "not_an_object")
+    return clean.withColumn("error", F.coalesce("error", broken)).withColumn(
+        msg, F.coalesce(F.col(msg), F.col("_original"))).drop("_original")
+
+
+def stream_metrics(batches: DataFrame, period: str = "60 seconds", delay: str = "0 seconds") -> DataFrame:
+    """Topic metrics per tumbling window of a stream of batches (topic, ts, count, raw_len, comp_len, flush_ms).
+
+    A window is final, and in append mode given out, once the watermark has passed its end.
+    """
+    return (
+        batches.withWatermark("ts", delay).groupBy(F.window("ts", period), "topic").agg(*_totals())
+        .withColumns({**_derived(), "throughput_mbps": _flush_throughput()}).drop("_flush_ms")
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "*").drop("window")
+    )
+
+
+def decode_sink(
+    root: str, registry: Callable[[SparkSession], DataFrame], key: str | None = None, algo: str = "sha256"
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes lines, metrics and rejected frames below *root*.
+
+    *registry* is asked once per micro-batch, so new dictionaries are used without a restart while retired ones still
+    decode. Each output of a micro-batch has its own directory that a repeated attempt overwrites.
+    """
+
+    def write(frames: DataFrame, batch: int) -> None:
+        kept: list[DataFrame] = []
+
+        def keep(decoded: DataFrame) -> DataFrame:
+            kept.append(decoded.persist())
+            return kept[0]
+
+        known = registry(frames.sparkSession)
+        broken = frames.filter(F.col("error").isNotNull()) if "error" in frames.columns else None
+        usable = frames.filter(F.col("error").isNull()).drop("error") if broken is not None else frames
+        decoded = decode_frames(usable, known, key, algo, keep=keep)
+        rejected = decoded.rejected
+        if broken is not None:
+            rejected = rejected.unionByName(broken, allowMissingColumns=True)
+        try:
+            lines = decoded.lines.select("topic", F.col("msg").alias("value")).hint("rebalance", F.col("topic"))
+            lines.write.mode("overwrite").partitionBy("topic").text(f"{root}/lines/batch={batch}")
+            frame_metrics(decoded.frames).write.mode("overwrite").option("header", True).csv(f"{root}/metrics/batch={batch}")
+            rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch}")
+        finally:
+            for df in kept:
+                df.unpersist()
+
+    return write
+
+
+def retrain_step(
+    messages: Callable[[SparkSession], DataFrame], registry_root: str, now: Callable[[], float],
+    size: int = DICT_SIZE, on_retrained: Callable[[DataFrame], None] | None = None,
+    running: Callable[[SparkSession], DataFrame] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for monitor events: train drifted topics and publish a new registry snapshot.
+
+    *messages* gives the message table to sample from. *on_retrained* gets the new versions, for whoever has to know.
+    """
+
+    def step(events: DataFrame, batch: int) -> None:
+        spark = events.sparkSession
+        drifted = events.filter(F.col("event_type") == "drift_detected").select("topic", "event_type").persist()
+        try:
+            if drifted.isEmpty():
+                return
+            wanted = messages(spark).join(drifted.select("topic").distinct(), "topic", "left_semi")
+            samples = sample_window(wanted)
+            ready = training_readiness(samples, size)
+            chosen = retrain_candidates(drifted, ready, running(spark) if running else None)
+            chosen = chosen.filter(F.col("decision") == "retrain").select("topic")
+            trained = train_dicts(samples.join(chosen, "topic", "left_semi"), size).filter(F.col("error").isNull())
+            trained = trained.select("topic", "dict_bytes").persist()
+            if not trained.isEmpty():
+                at = now()
+                publish_snapshot(publish_versions(current_registry(spark, registry_root), trained, at), registry_root)
+                if on_retrained is not None:
+                    on_retrained(current_registry(spark, registry_root).filter(F.col("created_at") == at))
+            trained.unpersist()
+        finally:
+            drifted.unpersist()
+
+    return step
+
+
+def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Run a stream over what is there now, write it as Parquet and return the table."""
+    spark = stream.sparkSession
+    path = path or scratch_path(spark, label)
+    query: StreamingQuery = (
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
+        .option("path", path).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_each(stream: DataFrame, label: str, function: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream over what is there now through a ``foreachBatch`` function."""
+    query = (
+        stream.writeStream.foreachBatch(function).trigger(availableNow=True)
+        .option("checkpointLocation", scratch_path(stream.sparkSession, label) + "-checkpoint").start()
+    )
+    query.awaitTermination()
