@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.checks import size_error, topic_error
 from ..functions.normalize import VOLATILE, normalize
 from ..operators.codec import DICT_SIZE, decode_frames, train_dicts
 from ..operators.metrics import _derived, _flush_throughput, _totals
 from ..operators.registry import publish_versions, retrain_candidates, sample_window, training_readiness
-from ..session import scratch_path
+from ..session import SETTINGS, scratch_path
 from ..sources.registry_store import current_registry, publish_snapshot
 from ..sources.sinks import frame_metrics
 
@@ -113,22 +113,38 @@ def retrain_step(
     return step
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Start queries with the RocksDB state store, which state with timers and lists needs."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 def run_available(stream: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Run a stream over what is there now, write it as Parquet and return the table."""
     spark = stream.sparkSession
     path = path or scratch_path(spark, label)
-    query: StreamingQuery = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
-        .option("path", path).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(spark):
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}-checkpoint")
+            .option("path", path).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def run_each(stream: DataFrame, label: str, function: Callable[[DataFrame, int], None]) -> None:
     """Run a stream over what is there now through a ``foreachBatch`` function."""
-    query = (
-        stream.writeStream.foreachBatch(function).trigger(availableNow=True)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, label) + "-checkpoint").start()
-    )
-    query.awaitTermination()
+    with rocksdb_state(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(function).trigger(availableNow=True)
+            .option("checkpointLocation", scratch_path(stream.sparkSession, label) + "-checkpoint").start()
+        )
+        query.awaitTermination()
