@@ -65,12 +65,14 @@ def validate_sizes(
     return df.withColumn(error, F.coalesce(*checks))
 
 
-def header_error(header: Column, allow_dot: bool = True) -> Column:
-    """First failing rule of a frame header given as JSON text.
+HEADER_TYPE = "map<string,variant>"
+
+
+def header_error(fields: Column, allow_dot: bool = True) -> Column:
+    """First failing rule of a frame header parsed as ``HEADER_TYPE``; parse it in a projection of its own, once.
 
     Integers must be JSON integers that fit 64 bits: 5 is one, 5.0, "5" and true are not.
     """
-    fields = F.from_json(header, "map<string,variant>")
     value = lambda name: F.element_at(fields, F.lit(name))
     kind = lambda name: F.coalesce(F.schema_of_variant(value(name)), F.lit("VOID"))
     text = lambda name: F.try_variant_get(value(name), "$", "string")
@@ -96,7 +98,8 @@ def header_error(header: Column, allow_dot: bool = True) -> Column:
 def validate_header(
     df: DataFrame, header: str = "header", error: str = "error", allow_dot: bool = True
 ) -> DataFrame:
-    return df.withColumn(error, header_error(F.col(header), allow_dot))
+    parsed = df.withColumn("_fields", F.from_json(header, HEADER_TYPE))
+    return parsed.withColumn(error, header_error(F.col("_fields"), allow_dot)).drop("_fields")
 
 
 def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -20,29 +20,34 @@ def normalize(
 
     Without *schema* any JSON goes: absent stays absent, null stays null and keys keep their order, unless *sort_keys*.
     With *schema* (DDL) the whole work stays inside Spark SQL; unknown keys disappear and absent ones appear as null,
-    so declare all that matters. A message that is not a JSON object becomes null.
+    so declare all that matters. A message that is not a JSON object, or does not fit the schema, becomes null.
 
     A key ``a.b`` is removed only where ``a`` is an object.
     """
     if schema is None:
         return _any_json(messages, drop, sort_keys, msg)
-    parsed = T.StructType.fromDDL(schema)
-    row = F.from_json(F.col(msg), parsed)
+    wanted = T.StructType.fromDDL(schema)
+    parsed = F.from_json(
+        F.col(msg), f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    # a projection of its own, so that the text is parsed once
+    rows = messages.withColumn("_row", parsed)
+    row, fields = F.col("_row"), {}
+    for field in sorted(wanted.fields, key=lambda f: f.name) if sort_keys else wanted.fields:
+        fields[field.name] = row[field.name]
     for path in drop:
         outer, _, inner = path.partition(".")
-        field = next((f for f in parsed.fields if f.name == outer), None)
-        if field is None or not inner:
-            row = row if field is None else row.dropFields(outer)
-        elif isinstance(field.dataType, T.MapType):
-            row = row.withField(outer, _without_key(row[outer], inner))
-        elif isinstance(field.dataType, T.StructType) and inner in field.dataType.names:
-            row = row.withField(outer, row[outer].dropFields(f"`{inner}`"))
-    if sort_keys:
-        row = F.struct(*[row[f.name].alias(f.name) for f in sorted(parsed.fields, key=lambda f: f.name)
-                         if f.name not in drop])
-    broken = F.from_json(F.col(msg), "map<string,variant>").isNull()
-    text = F.to_json(row, {"ignoreNullFields": "false"})
-    return messages.withColumn(msg, F.when(~broken, text))
+        if outer not in fields:
+            continue
+        kind = wanted[outer].dataType
+        if not inner:
+            del fields[outer]
+        elif isinstance(kind, T.MapType):
+            fields[outer] = _without_key(row[outer], inner)
+        elif isinstance(kind, T.StructType) and inner in kind.names:
+            fields[outer] = row[outer].dropFields(f"`{inner}`")
+    text = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
+    usable = row.isNotNull() & row["_corrupt"].isNull() & F.ltrim(msg).startswith("{")
+    return rows.withColumn(msg, F.when(usable, text)).drop("_row")
 
 
 def _without_key(column: Column, name: str) -> Column:

@@ -47,8 +47,11 @@ def pending_stats(pending: DataFrame, now: float | Column, payload: str = "paylo
 
 
 def settle(pending: DataFrame, delivered: DataFrame, requeued: DataFrame | None = None) -> DataFrame:
-    """Frames still waiting: those not in *delivered* (by id), plus *requeued* ones. Their order does not change."""
-    left = pending.join(delivered.select("id"), "id", "left_anti")
+    """Frames still waiting: those not in *delivered* (by id), plus *requeued* ones. Their order does not change.
+
+    An id delivered many times is reduced map-side, so it does not pile up in one task.
+    """
+    left = pending.join(delivered.select("id").distinct(), "id", "left_anti")
     return left if requeued is None else left.unionByName(requeued)
 
 

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import dict_id as make_dict_id
 from ..session import BROADCAST_ROWS, broadcast_if_small, join_null_safe
-from .ordered import CHUNK_ROWS, N, latest, order_rows, running_sums
+from .ordered import CHUNK_ROWS, group_sizes, latest, order_rows, running_sums
 
 #: Sub-groups a topic is spread over before its newest samples are put in order.
 SAMPLE_SPREAD = 64
+#: Steps the time range of a topic is divided into to find where its newest samples begin.
+SAMPLE_STEPS = 4096
+#: Versions of one topic up to which looking through all of them beats putting the batches in order.
+LOOKUP_VERSIONS = 64
 
 
 # Samples
@@ -27,20 +31,46 @@ def sample_window(
 ) -> DataFrame:
     """The newest messages per topic that fit both caps; empty messages do not count.
 
-    A topic is first spread over sub-groups and each keeps its newest *max_samples*, so that what meets in one task is
-    bounded however large the topic is.
+    For a large topic only messages since a cut-off found by counting are moved at all. Those are spread over sub-groups
+    that each keep their newest *max_samples*, so that what meets in one task is bounded however large the topic is.
     """
     newest = [F.col(c).desc() for c in order]
-    spread = F.pmod(F.xxhash64(*order), F.lit(SAMPLE_SPREAD))
-    within = Window.partitionBy(topic, "_spread").orderBy(*newest)
-    kept = (
-        messages.filter(F.octet_length(msg) > 0).withColumn("_spread", spread)
-        .withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= max_samples)
-    )
+    kept = messages.filter(F.octet_length(msg) > 0)
+    if group_sizes(kept, [topic]).largest > SAMPLE_SPREAD * max_samples:
+        kept = _since_cutoff(kept, max_samples, topic, order[0])
+        spread = F.pmod(F.xxhash64(*order), F.lit(SAMPLE_SPREAD))
+        within = Window.partitionBy(topic, "_spread").orderBy(*newest)
+        kept = kept.withColumn("_spread", spread).withColumn("_rank", F.row_number().over(within))
+        kept = kept.filter(F.col("_rank") <= max_samples).drop("_spread")
     whole = Window.partitionBy(topic).orderBy(*newest)
     kept = kept.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= max_samples)
     size = F.sum(F.octet_length(msg).cast("long")).over(whole.rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("_bytes", size).filter(F.col("_bytes") <= max_bytes).drop("_spread", "_rank", "_bytes")
+    return kept.withColumn("_bytes", size).filter(F.col("_bytes") <= max_bytes).drop("_rank", "_bytes")
+
+
+def _since_cutoff(messages: DataFrame, wanted: int, topic: str, at: str) -> DataFrame:
+    """Drop messages that are older than the newest *wanted* of their topic can be.
+
+    The time range of each topic is divided into equal steps and the messages per step are counted, which combines
+    map-side. The cut-off is the newest step with at least *wanted* messages from its start on, so nothing is lost.
+    """
+    kind = messages.schema[at].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        value = F.col(at).cast("timestamp").cast("double")
+    elif isinstance(kind, T.NumericType):
+        value = F.col(at).cast("double")
+    else:
+        return messages
+    ranges = broadcast_if_small(messages.groupBy(topic).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
+    width = (F.col("_high") - F.col("_low")) / SAMPLE_STEPS
+    step = F.when(width > 0, F.floor((value - F.col("_low")) / width)).otherwise(F.lit(0))
+    stepped = join_null_safe(messages, ranges, [topic]).withColumn("_step", F.coalesce(step, F.lit(0)))
+    counts = stepped.groupBy(topic, "_step").agg(F.count(F.lit(1)).alias("_count"))
+    newer = F.sum("_count").over(Window.partitionBy(topic).orderBy(F.col("_step").desc()))
+    cutoffs = counts.withColumn("_newer", newer).groupBy(topic).agg(
+        F.coalesce(F.max(F.when(F.col("_newer") >= wanted, F.col("_step"))), F.min("_step")).alias("_cut"))
+    recent = join_null_safe(stepped, broadcast_if_small(cutoffs), [topic]).filter(F.col("_step") >= F.col("_cut"))
+    return recent.drop("_low", "_high", "_step", "_cut")
 
 
 def sample_stats(
@@ -213,15 +243,17 @@ def dict_as_of(
 ) -> DataFrame:
     """Add the version in force at the time of each batch: created_at <= t < end, as dict_id and version.
 
-    The end of a version is its retirement or the creation of the next one. A registry of checked size is broadcast as
-    one sorted array per topic; beyond it versions and batches are put into one order and the last version is taken.
-    strategy: ``lookup``, ``scan`` or ``auto``.
+    The end of a version is its retirement or the creation of the next one. A registry of checked size with few versions
+    per topic is broadcast as one sorted array per topic; otherwise versions and batches are put into one order and the
+    last version is taken. strategy: ``lookup``, ``scan`` or ``auto``.
     """
     following = F.lead("created_at").over(Window.partitionBy("topic").orderBy("created_at", "version"))
     spans = registry.select("topic", "version", "dict_id", "created_at", "retired_at").withColumn(
         "_end", F.least(F.col("retired_at"), following))
     if strategy == "auto":
-        strategy = "lookup" if registry.count() <= BROADCAST_ROWS else "scan"
+        sizes = group_sizes(registry, ["topic"])
+        small = sizes.rows <= BROADCAST_ROWS and sizes.largest <= LOOKUP_VERSIONS
+        strategy = "lookup" if small else "scan"
     if strategy == "lookup":
         span = F.struct(F.col("created_at").alias("start"), "version", "dict_id", F.col("_end").alias("end"))
         per_topic = spans.groupBy("topic").agg(F.array_sort(F.collect_list(span)).alias("_spans"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import broadcast_if_small
 from .ordered import CHUNK_ROWS, N, order_rows, previous, running_sums
 
 # How a breaker state is drawn.
@@ -63,15 +64,17 @@ def outage_latency(
     *timeline* has the incident id on each row, and *incidents* (incident, outage_start) tells when the outage began;
     without it the first sample of the incident is taken.
     """
-    rows = timeline
+    first = lambda name: F.min(F.when(F.col(state) == name, F.col(at)))
     if incidents is None:
-        starts = rows.groupBy(incident).agg(F.min(at).alias("outage_start"))
+        # every sample of an incident is at or after its first one
+        spans = timeline.groupBy(incident).agg(F.min(at).alias("outage_start"), first("OPEN").alias("opened_at"))
+        starts, opened = spans.select(incident, "outage_start"), spans.filter("opened_at IS NOT NULL").select(incident, "opened_at")
     else:
         starts = incidents.select(incident, "outage_start")
-    opened = rows.join(starts, incident).filter((F.col(state) == "OPEN") & (F.col(at) >= F.col("outage_start"))).groupBy(
-        incident).agg(F.min(at).alias("opened_at"))
-    closed = rows.join(opened, incident).filter((F.col(state) == "CLOSED") & (F.col(at) >= F.col("opened_at"))).groupBy(
-        incident).agg(F.min(at).alias("closed_at"))
+        later = timeline.join(broadcast_if_small(starts), incident).filter(F.col(at) >= F.col("outage_start"))
+        opened = later.groupBy(incident).agg(first("OPEN").alias("opened_at")).filter("opened_at IS NOT NULL")
+    later = timeline.join(broadcast_if_small(opened), incident).filter(F.col(at) >= F.col("opened_at"))
+    closed = later.groupBy(incident).agg(first("CLOSED").alias("closed_at"))
     out = starts.join(opened, incident, "left").join(closed, incident, "left")
     return out.withColumns({
         "detection_seconds": F.col("opened_at") - F.col("outage_start"),

@@ -53,6 +53,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def small_chunks(spark: SparkSession, root: str, name: str) -> dict:
+    """Arguments that make an operator cut keys into chunks at any scale: some twenty chunks over the table."""
+    return {"strategy": "chunked", "chunk_rows": max(20, i.table(spark, root, name).count() // 20)}
+
+
 def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
@@ -74,7 +79,7 @@ def batches_by_timer(spark, root):
 
 @query(f"WITH {i.batched(20, 6 * HOUR_US)} SELECT topic, seq, batch_id FROM b")
 def batches_by_timer_chunked(spark, root):
-    rows = assign_batches(i.messages(spark, root), 20, 6 * 3_600_000, strategy="chunked", chunk_rows=500)
+    rows = assign_batches(i.messages(spark, root), 20, 6 * 3_600_000, **small_chunks(spark, root, "events"))
     return rows.select("topic", "seq", "batch_id")
 
 
@@ -528,7 +533,7 @@ def training_budget(spark, root):
 
 @query(BUDGET)
 def training_budget_chunked(spark, root):
-    rows = budget_prefix(_document_files(spark, root), 20_000, name="doc_id", strategy="chunked", chunk_rows=20)
+    rows = budget_prefix(_document_files(spark, root), 20_000, name="doc_id", **small_chunks(spark, root, "documents"))
     return rows.select("topic", "doc_id", "budget_bytes")
 
 
@@ -643,7 +648,7 @@ def ratio_average(spark, root):
 
 @query(EMA)
 def ratio_average_chunked(spark, root):
-    rows = ema(_ratio(spark, root), "r", strategy="chunked", chunk_rows=700)
+    rows = ema(_ratio(spark, root), "r", **small_chunks(spark, root, "events"))
     return rows.select("topic", "seq", r6("ema").alias("ema"))
 
 
@@ -696,7 +701,7 @@ def drift_monitor(spark, root):
 
 @query(_monitor_sql(False) + EVENTS_SELECT)
 def drift_monitor_chunked(spark, root):
-    return _events(ratio_events(i.ratio_series(spark, root), strategy="chunked", chunk_rows=700))
+    return _events(ratio_events(i.ratio_series(spark, root), **small_chunks(spark, root, "events")))
 
 
 def _retrains(series: DataFrame) -> DataFrame:
@@ -805,7 +810,7 @@ def running_by_topic(spark, root):
 
 @query(f"WITH {i.FLUSHED} {RUNNING.format('')}")
 def running_overall(spark, root):
-    rows = running_metrics(i.flushed(spark, root), by_topic=False, strategy="chunked", chunk_rows=20_000)
+    rows = running_metrics(i.flushed(spark, root), by_topic=False, **small_chunks(spark, root, "events"))
     return _running(rows)
 
 
@@ -935,7 +940,7 @@ def queue_depths(spark, root):
 
 @query(DEPTH_ROWS)
 def queue_depths_chunked(spark, root):
-    rows = queue_depth(i.gate_log(spark, root), "queue", strategy="chunked", chunk_rows=300)
+    rows = queue_depth(i.gate_log(spark, root), "queue", **small_chunks(spark, root, "events"))
     return rows.select("queue", "seq", "depth", "peak")
 
 
@@ -996,7 +1001,7 @@ def breaker_log(spark, root):
 
 @query(_breaker_sql(7200.0, ">", 3, 2, BREAKER_ROWS))
 def breaker_log_chunked(spark, root):
-    rows = _breaker(spark, root, strategy="chunked", chunk_rows=400)
+    rows = _breaker(spark, root, **small_chunks(spark, root, "events"))
     return rows.select("target", "seq", "state_before", "allowed", "state_after")
 
 

@@ -294,3 +294,19 @@ def test_files(spark, tmp_path):
     assert [(r.level, r.event, r.service, r.extras) for r in logs] == [
         ("INFO", "started", "agent", {"pid": "7"}), ("ERROR", "failed", "x", {"topic": "a"})]
     assert logs[0].ts.microsecond == 500000
+
+
+@pytest.mark.parametrize("kind", ["long", "timestamp", "string"])
+def test_sample_window_of_a_large_topic(spark, kind, monkeypatch):
+    from framewright.operators import registry as module
+
+    monkeypatch.setattr(module, "SAMPLE_SPREAD", 2)
+    rng = random.Random(8)
+    rows = [("a", int(rng.random() ** 4 * 10**9), i, "x" * rng.randint(0, 3)) for i in range(500)] + [("b", 7, 1, "y")]
+    rows += [("c", 5, i, "z") for i in range(40)]
+    df = spark.createDataFrame(rows, "topic string, at long, seq long, msg string")
+    at = {"long": F.col("at"), "timestamp": F.timestamp_micros("at"), "string": F.lpad(F.col("at").cast("string"), 12, "0")}
+    kept = sample_window(df.withColumn("ts", at[kind]), 9, 1_000).collect()
+    for topic in "abc":
+        full = sorted((r for r in rows if r[0] == topic and r[3]), key=lambda r: r[1:3])
+        assert sorted(r.seq for r in kept if r.topic == topic) == sorted(r[2] for r in full[-9:])
