@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ SIGNATURE_FIELDS = ["hmac", "hmac_algo"]
 
 #: Bytes of payload after which the splitter hands a batch over.
 BATCH_BYTES = 32 * 1024 * 1024
+#: Largest wire file that is loaded as one value.
+WHOLE_FILE_BYTES = 256 * 1024 * 1024
+#: Neighbouring frames of one file that one task reads.
+RANGE_FRAMES = 1_000
 
 
 def frame_header(columns: list[str], hmac_name: str = "hmac") -> Column:
@@ -32,15 +37,105 @@ def encode_frames(frames: DataFrame, payload: str = "payload", header: str | Non
     return frames.withColumn("frame", F.concat(size, F.encode(text, "utf-8"), F.col(payload)))
 
 
-def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac") -> DataFrame:
+def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac", whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     """Frames of wire files: path, pos, header (JSON text), payload, error and the header fields as columns.
 
-    Files are read in parallel and each one from its start, as the position of a frame depends on all before it. An
-    incomplete last frame is dropped. A header that is not usable ends its file with one row that has an error. A file
-    is loaded whole, so keep wire files below 2 GiB; frames stored as a binary column go to ``split_frames``.
+    The position of a frame depends on all before it, so each file is followed from its start. An incomplete last frame
+    is dropped. A header that is not usable ends its file with one row that has an error.
+
+    Small files are loaded whole, many at a time. If one is larger than *whole_file_bytes*, a first pass hops from header
+    to header without reading payloads, and the payloads are then read as ranges spread over all tasks.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return split_frames(files, "path", "content", hmac_name)
+    files = spark.read.format("binaryFile").load(path)
+    longest = files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
+    if longest <= whole_file_bytes:
+        return split_frames(files.select("path", "content"), "path", "content", hmac_name)
+    places = files.select("path", "length").repartition("path").mapInArrow(
+        _hop, "path STRING, pos BIGINT, header STRING, start BIGINT, size BIGINT")
+    ranges = places.repartition(F.col("path"), F.floor(F.col("pos") / RANGE_FRAMES))
+    raw = ranges.mapInArrow(_read_ranges, "path STRING, pos BIGINT, header STRING, payload BINARY")
+    return parse_header(raw, hmac_name)
+
+
+def _open(path: str):
+    """A random-access file from any file system that Arrow reaches."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or path.startswith("/"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _hop(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the frames of each file; a negative size marks a header that ends the file."""
+    names = ["path", "pos", "header", "start", "size"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for table in tables:
+        for path, length in zip(*(c.to_pylist() for c in table.columns)):
+            rows: list[tuple] = []
+            with _open(path) as file:
+                at, pos = 0, 0
+                while at + 4 <= length:
+                    file.seek(at)
+                    size = int.from_bytes(file.read(4), "big")
+                    at += 4 + size
+                    if at > length:
+                        break
+                    text = file.read(size).decode("utf-8", "replace")
+                    payload = _payload_length(text)
+                    if payload is not None and at + payload > length:
+                        break
+                    rows.append((path, pos, text, at, -1 if payload is None else payload))
+                    if payload is None:
+                        break
+                    at, pos = at + payload, pos + 1
+                    if len(rows) >= RANGE_FRAMES:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
+
+
+def _read_ranges(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    opened, name = None, None
+    try:
+        for table in tables:
+            paths, positions, headers, starts, sizes = (c.to_pylist() for c in table.columns)
+            first, held, payloads = 0, 0, []
+            for k, (path, start, size) in enumerate(zip(paths, starts, sizes)):
+                if path != name:
+                    if opened is not None:
+                        opened.close()
+                    opened, name = _open(path), path
+                if size < 0:
+                    payloads.append(None)
+                else:
+                    opened.seek(start)
+                    payloads.append(opened.read(size))
+                    held += size
+                if held >= BATCH_BYTES or k == len(paths) - 1:
+                    part = slice(first, k + 1)
+                    yield pa.RecordBatch.from_pydict({
+                        "path": pa.array(paths[part], pa.string()), "pos": pa.array(positions[part], pa.int64()),
+                        "header": pa.array(headers[part], pa.string()), "payload": pa.array(payloads, pa.binary())})
+                    first, held, payloads = k + 1, 0, []
+    finally:
+        if opened is not None:
+            opened.close()
+
+
+def _payload_length(text: str) -> int | None:
+    """comp_len of a header, or none if the header cannot be used."""
+    try:
+        length = json.loads(text)["comp_len"]
+    except (ValueError, TypeError, KeyError):
+        return None
+    return length if type(length) is int and length >= 0 else None
 
 
 def split_frames(blobs: DataFrame, name: str = "path", content: str = "content", hmac_name: str = "hmac") -> DataFrame:
@@ -57,8 +152,6 @@ def split_frames(blobs: DataFrame, name: str = "path", content: str = "content",
 
 
 def _frames(blob: memoryview) -> Iterator[tuple[str, bytes | None]]:
-    import json
-
     at, end = 0, len(blob)
     while at + 4 <= end:
         size = int.from_bytes(blob[at:at + 4], "big")
@@ -67,11 +160,8 @@ def _frames(blob: memoryview) -> Iterator[tuple[str, bytes | None]]:
             return
         text = bytes(blob[at:at + size]).decode("utf-8", "replace")
         at += size
-        try:
-            length = json.loads(text)["comp_len"]
-        except (ValueError, TypeError, KeyError):
-            length = None
-        if not isinstance(length, int) or length < 0:
+        length = _payload_length(text)
+        if length is None:
             yield text, None
             return
         if at + length > end:

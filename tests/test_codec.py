@@ -84,7 +84,8 @@ def test_signature_is_checked_below_the_decoder(spark, messages, registry):
     assert "Filter isnull(error" in below
 
 
-def test_wire_files(spark, messages, registry, tmp_path):
+@pytest.mark.parametrize("whole", [1 << 28, 0])
+def test_wire_files(spark, messages, registry, tmp_path, whole):
     frames = sign_frames(compress_batches(build_batches(assign_batches(messages, 100, 10_000)), registry), KEY)
     wire = encode_frames(frames).orderBy("topic", "batch_id").select("frame")
     blobs = [bytes(r.frame) for r in wire.collect()]
@@ -95,7 +96,7 @@ def test_wire_files(spark, messages, registry, tmp_path):
     bad = b'{"topic":"x"}'
     (folder / "c.bin").write_bytes(blobs[0] + len(bad).to_bytes(4, "big") + bad + b"rest")
     (folder / "d.bin").write_bytes(b"\0\0")
-    read = read_frames(spark, str(folder)).cache()
+    read = read_frames(spark, str(folder), whole_file_bytes=whole).cache()
     assert read.filter("error is null").count() == len(blobs) + 1
     assert [r.error for r in read.filter("error is not null").collect()] == ["missing:codec,comp_len,count,raw_len,v"]
     whole = read.filter(F.col("path").rlike("[ab].bin"))
