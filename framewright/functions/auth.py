@@ -26,18 +26,24 @@ def hmac_hex(payload: Column, key: str, algo: str = "sha256") -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, payload), bits))), bits)
 
 
-def sign_frames(df: DataFrame, key: str, algo: str = "sha256", payload: str = "payload") -> DataFrame:
-    """Add hmac and hmac_algo; the signature covers the payload."""
-    return df.withColumns({"hmac": hmac_hex(F.col(payload), key, algo), "hmac_algo": F.lit(algo)})
+def _signed(payload: str, header: str | None) -> Column:
+    return F.concat(F.encode(header, "utf-8"), F.col(payload)) if header else F.col(payload)
+
+
+def sign_frames(
+    df: DataFrame, key: str, algo: str = "sha256", payload: str = "payload", header: str | None = None
+) -> DataFrame:
+    """Add hmac and hmac_algo; the signature covers the payload, preceded by the text column *header* if one is named."""
+    return df.withColumns({"hmac": hmac_hex(_signed(payload, header), key, algo), "hmac_algo": F.lit(algo)})
 
 
 def verify_frames(
     df: DataFrame, key: str, algo: str = "sha256", payload: str = "payload", signature: str = "hmac",
-    algorithm: str = "hmac_algo",
+    algorithm: str = "hmac_algo", header: str | None = None,
 ) -> DataFrame:
     """Add verified; a missing signature or an unknown algorithm is invalid. *algo* applies where none is named."""
     named = F.coalesce(F.col(algorithm), F.lit(algo)) if algorithm in df.columns else F.lit(algo)
     valid = F.lit(False)
     for name in ALGORITHMS:
-        valid = F.when(named == name, F.col(signature) == hmac_hex(F.col(payload), key, name)).otherwise(valid)
+        valid = F.when(named == name, F.col(signature) == hmac_hex(_signed(payload, header), key, name)).otherwise(valid)
     return df.withColumn("verified", F.coalesce(valid, F.lit(False)))

@@ -54,6 +54,14 @@ def _without_key(column: Column, name: str) -> Column:
     return F.map_filter(column, lambda key, value: key != name)
 
 
+def _lone_surrogate(value: object) -> bool:
+    try:
+        json.dumps(value, ensure_ascii=False).encode()
+    except UnicodeEncodeError:
+        return True
+    return False
+
+
 def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg: str) -> DataFrame:
     paths = [path.partition(".")[::2] for path in drop]
     index = messages.columns.index(msg)
@@ -61,7 +69,7 @@ def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg:
     def clean(text: str | None) -> str | None:
         try:
             value = json.loads(text)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, RecursionError):
             return None
         if not isinstance(value, dict):
             return None
@@ -70,7 +78,9 @@ def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg:
                 value.pop(outer, None)
             elif isinstance(value.get(outer), dict):
                 value[outer].pop(inner, None)
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=sort_keys)
+        # half of a surrogate pair has no UTF-8 form and stays escaped
+        broken = "\\ud" in text.lower() and _lone_surrogate(value)
+        return json.dumps(value, ensure_ascii=broken, separators=(",", ":"), sort_keys=sort_keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .fold import Entry, fold_rows
@@ -28,6 +29,11 @@ def successors(times: np.ndarray, batch_max: int, span: int, mode: str) -> np.nd
     return np.minimum(late, np.arange(len(times)) + batch_max)
 
 
+def _times(table: pa.Table) -> np.ndarray:
+    """Times in microseconds; messages without one come first and count as very old."""
+    return pc.fill_null(table.column("_us"), -(2 ** 62)).to_numpy()
+
+
 def assign_batches(
     messages: DataFrame,
     batch_max: int = 100,
@@ -61,7 +67,7 @@ def assign_batches(
     rows = rows.add(_us=F.unix_micros(F.col(ts).cast("timestamp")))
 
     def apply(table: pa.Table, entry: Entry) -> list[pa.Array]:
-        times = table.column("_us").to_numpy()
+        times = _times(table)
         first = table.column(N)[0].as_py()
         following = successors(times, batch_max, span, mode)
         ids = np.full(len(times), entry["opener"], dtype=np.int64)
@@ -76,7 +82,7 @@ def assign_batches(
         positions = table.column(N).to_numpy()
         first = int(positions[0])
         size = min(chunk_rows, len(positions))
-        following = successors(table.column("_us").to_numpy(), batch_max, span, mode)
+        following = successors(_times(table), batch_max, span, mode)
         # jump along the openers, doubling the stride, until each one has left the chunk
         at = np.arange(min(batch_max, size))
         opener = at.copy()
@@ -114,13 +120,14 @@ def build_batches(
 ) -> DataFrame:
     """One row per batch: payload (messages in order, one per line, with a final line break) and its counts.
 
-    A group is one batch, so its size is bounded by batch_max; first_ts and last_ts are those of its messages.
+    A group is one batch, so its size is bounded by batch_max; first_ts and last_ts are those of its messages. Rows
+    without text, such as messages that normalization refused, are no messages and do not count.
     """
     line = F.struct(F.col(ts), F.col(seq), F.col(msg).alias("msg"))
     lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["msg"])
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / F.lit(1_000_000.0)
     return (
-        messages.groupBy(topic, "batch_id")
+        messages.filter(F.col(msg).isNotNull()).groupBy(topic, "batch_id")
         .agg(
             lines.alias("_lines"),
             F.count(F.lit(1)).alias("count"),

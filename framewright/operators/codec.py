@@ -88,7 +88,7 @@ def compress_batches(
             ids, codecs, payloads = [], [], []
             dictionaries = table.column("dict_bytes")
             for i, (data, name) in enumerate(zip(table.column(payload), table.column("dict_id").to_pylist())):
-                data, used = data.as_py(), codec
+                data, used = data.as_py() or b"", codec
                 if not name or codec == "none":
                     name, used = "", "none"
                 else:
@@ -175,7 +175,7 @@ def decode_frames(
 
 def frame_lines(decoded: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per message of a decoded frame, with its position."""
-    text = F.decode(raw, "utf-8")
+    text = F.col(raw).cast("string")
     body = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.char_length(text) - 1)).otherwise(text)
     keep = [c for c in decoded.columns if c != raw]
     return decoded.select(*keep, F.posexplode(F.split(body, "\n")).alias("pos", "msg"))
@@ -236,7 +236,7 @@ def train_dicts(
             "error": pa.array([error], pa.string()),
         })
 
-    return samples.select(topic, *order, msg).groupBy(topic).applyInArrow(run, out)
+    return samples.select(topic, *order, msg).filter(F.col(msg).isNotNull()).groupBy(topic).applyInArrow(run, out)
 
 
 def train_global_dict(

@@ -44,7 +44,7 @@ def fold_rows(
         table = table.sort_by(N)
         for field, column in zip(added, apply(table, state)):
             table = table.append_column(field.name, column)
-        return table
+        return _zone_free(table)
 
     if not rows.cut:
         return rows.on(rows.df.groupBy(*rows.keys).applyInArrow(lambda t: run(t, start), out))
@@ -56,7 +56,7 @@ def fold_rows(
         narrow = _with_overlap(narrow, rows.chunk_rows, overlap)
 
     def one_summary(table: pa.Table) -> pa.Table:
-        keys = table.slice(0, 1).select(key_names)
+        keys = _zone_free(table.slice(0, 1).select(key_names))
         values = summarize(table.sort_by(N))
         for field in summary:
             keys = keys.append_column(field.name, pa.array([values[field.name]], _arrow(field)))
@@ -64,7 +64,7 @@ def fold_rows(
 
     def all_entries(table: pa.Table) -> pa.Table:
         table = table.sort_by(CHUNK)
-        keys = table.select(key_names)
+        keys = _zone_free(table.select(key_names))
         states = list(chain(table.select([f.name for f in summary]).to_pylist()))
         for field in entry:
             keys = keys.append_column(field.name, pa.array([s[field.name] for s in states], _arrow(field)))
@@ -82,6 +82,14 @@ def fold_rows(
     return rows.on(joined.groupBy(*key_names).applyInArrow(run_chunk, out))
 
 
+def _zone_free(table: pa.Table) -> pa.Table:
+    """Instants come with the zone of the session but must be returned as UTC; the values stay the same."""
+    for i, field in enumerate(table.schema):
+        if pa.types.is_timestamp(field.type) and field.type.tz not in (None, "UTC"):
+            table = table.set_column(i, field.name, table.column(i).cast(pa.timestamp("us", "UTC")))
+    return table
+
+
 def _with_overlap(df, chunk_rows: int, overlap: int):
     from pyspark.sql import functions as F
 

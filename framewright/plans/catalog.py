@@ -31,7 +31,7 @@ from ..sources.files import log_events, read_messages, read_samples, read_timeli
 from ..sources.frames import encode_frames, read_frame_table, split_frames
 from ..sources.registry_store import current_registry, index_entries, index_json, publish_snapshot
 from ..sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
-from ..streaming.pipelines import decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics
+from ..streaming.flows import decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics
 from ..streaming.stateful import stream_batches, stream_breaker, stream_monitor
 from . import inputs as i
 
@@ -417,9 +417,9 @@ def timeline_phases(spark, root):
   CASE WHEN event_id % 2 = 0 THEN 'agent' ELSE 'collector' END AS service, CAST(user_id AS VARCHAR) AS user FROM events""")
 def log_lines(spark, root):
     even = F.col("seq") % 2 == 0
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    at = F.expr("translate(timestampadd(MICROSECOND, us, TIMESTAMP_NTZ '1970-01-01 00:00:00')::STRING, ' ', 'T')")
     line = F.concat(
-        F.lit('{"timestamp":"'), at, F.lit('Z","level":"'), F.col("event_type"),
+        F.lit('{"timestamp":"'), at, F.when(even, F.lit("")).otherwise(F.lit("+00:00")), F.lit('","level":"'), F.col("event_type"),
         F.when(even, F.lit('","event":"user ')).otherwise(F.lit('","message":"user ')), F.col("user_id").cast("string"),
         F.when(even, F.lit('","service":"agent"')).otherwise(F.lit('","logger":"collector"')),
         F.lit(',"seq":'), F.col("seq").cast("string"), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}"))

@@ -50,8 +50,11 @@ def log_events(lines: DataFrame, value: str = "value") -> DataFrame:
     fields = F.from_json(F.col(value), "map<string,string>")
     rows = lines.select(fields.alias("m")).filter(F.col("m").isNotNull())
     field = lambda name: F.try_element_at("m", F.lit(name))
+    # one of the formats writes UTC without saying so
+    at = field("timestamp")
+    zoned = at.rlike(r"(Z|[+-]\d\d:?\d\d)\z")
     return rows.select(
-        F.try_to_timestamp(field("timestamp")).alias("ts"),
+        F.try_to_timestamp(F.when(zoned, at).otherwise(F.concat(at, F.lit("Z")))).alias("ts"),
         F.upper(field("level")).alias("level"),
         F.coalesce(field("event"), field("message")).alias("event"),
         F.coalesce(field("service"), field("logger")).alias("service"),

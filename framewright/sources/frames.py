@@ -211,6 +211,6 @@ def read_frame_table(spark: SparkSession, path: str, hmac_name: str = "hmac") ->
     """
     frame = F.col("frame")
     size = F.conv(F.hex(F.substring(frame, F.lit(1), F.lit(4))), 16, 10).cast("int")
-    rows = spark.read.parquet(path).withColumn("header", F.decode(F.substring(frame, F.lit(5), size), "utf-8"))
+    rows = spark.read.parquet(path).withColumn("header", F.substring(frame, F.lit(5), size).cast("string"))
     rows = rows.withColumn("payload", F.substring(frame, size + 5, F.octet_length(frame)))
     return parse_header(rows.select("header", "payload"), hmac_name)

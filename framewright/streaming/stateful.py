@@ -85,7 +85,8 @@ def stream_batches(
     """Count-or-age batches of a stream (topic, ts, seq, msg), as ``assign_batches`` in mode ``timer`` forms them.
 
     A batch also closes when the watermark passes its deadline, although no message arrives. *delay* is how long late
-    messages are waited for. State is one open batch per key. A topic that is too much for one task needs a *shard*
+    messages are waited for. State is one open batch per key; the rows of a key in one micro-batch are put in order in
+    memory, so limit the size of a micro-batch at the source. A topic that is too much for one task needs a *shard*
     column: each shard then forms batches of its own.
     """
     keys = ["topic", *([shard] if shard else [])]

@@ -60,6 +60,28 @@ def test_payload_and_header_fields(spark):
     assert bytes(rows["a", 3].payload) == b"m2\n" and bytes(rows["b", 1].payload) == b"m0\n"
 
 
+def test_session_zone_does_not_matter(spark):
+    topics = random_topics(6, n=1, longest=40)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for plan in (("window", 1000), ("chunked", 10)):
+            got = assign_batches(messages(spark, topics), 4, 20, strategy=plan[0], chunk_rows=plan[1])
+            times = {r.seq: r.us for r in got.select("seq", F.unix_micros("ts").alias("us")).collect()}
+            assert [times[i] for i in range(len(topics["t0"]))] == topics["t0"]
+            assert [r.batch_id for r in got.orderBy("seq").collect()] == batch_ids(topics["t0"], 4, 20_000, "timer")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rows_without_time_or_text(spark):
+    df = messages(spark, {"a": [0, 1000, 2000]})
+    late = df.withColumn("ts", F.when(F.col("seq") > 0, F.col("ts")))
+    assert [r.batch_id for r in assign_batches(late, 10, 1000).orderBy("seq").collect()] == [1, 2, 2]
+    empty = df.withColumn("msg", F.when(F.col("seq") != 1, F.col("msg")))
+    row = build_batches(assign_batches(empty, 10, 1000)).first()
+    assert (row["count"], row.raw_len, bytes(row.payload)) == (2, 6, b"m0\nm2\n")
+
+
 def test_raw_length_counts_bytes(spark):
     df = messages(spark, {"a": [0, 1]}).withColumn("msg", F.lit("é€"))
     row = build_batches(assign_batches(df)).first()

@@ -81,6 +81,20 @@ def test_signatures(spark, algo, size):
     assert not any(r.verified for r in verify_frames(df, "00" * 32).collect())
 
 
+def test_signature_with_header(spark):
+    df = spark.createDataFrame([('{"v":1}', b"body")], "head string, payload binary")
+    signed = sign_frames(df, "0a" * 32, header="head")
+    assert signed.first().hmac == hmac.new(b"\n" * 32, b'{"v":1}body', "sha256").hexdigest()
+    assert verify_frames(signed, "0a" * 32, header="head").first().verified
+    assert not verify_frames(signed, "0a" * 32).first().verified
+
+
+def test_normalize_odd_text(spark):
+    texts = ['{"a":"\\ud800"}', '{"a":"\\ud83d\\ude00"}', '{"a":' + "[" * 20000 + "]" * 20000 + "}"]
+    rows = [r.msg for r in normalize(column(spark, texts, name="msg").coalesce(1)).collect()]
+    assert rows[:2] == ['{"a":"\\ud800"}', '{"a":"\U0001f600"}'] and rows[2] in (None, texts[2])
+
+
 def test_unknown_algorithm(spark):
     with pytest.raises(ValueError):
         sign_frames(column(spark, [b"x"], "binary", "payload"), "00", "md5")

@@ -80,6 +80,9 @@ def test_latency(spark):
     df = spark.createDataFrame([(10, s / 1000, 1500) for s in (1.0, 2.0, 9.0)], "batch_max int, seconds double, raw_bytes long")
     row = batch_latency(df).first()
     assert (row.reps, row.median_batch_ms, row.msg_per_sec, row.raw_mb_per_sec) == (3, 2.0, 5000, 0.75)
+    even = df.unionByName(df.filter("seconds < 0.009").withColumn("seconds", F.col("seconds") + 0.002)).filter("seconds != 0.001")
+    row = batch_latency(even, strategy="chunked", chunk_rows=2).first()
+    assert (row.reps, row.median_batch_ms) == (4, 3.5)
 
 
 def timeline(spark):

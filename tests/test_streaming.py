@@ -11,7 +11,7 @@ from framewright.operators.drift import ratio_events
 from framewright.operators.registry import active_versions, publish_versions
 from framewright.functions.auth import sign_frames
 from framewright.sources.registry_store import current_registry, publish_snapshot
-from framewright.streaming.pipelines import (
+from framewright.streaming.flows import (
     decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics)
 from framewright.streaming.stateful import stream_batches, stream_breaker, stream_monitor
 
