@@ -65,41 +65,42 @@ def validate_sizes(
     return df.withColumn(error, F.coalesce(*checks))
 
 
-HEADER_TYPE = "map<string,variant>"
-
-
-def header_error(fields: Column, allow_dot: bool = True) -> Column:
-    """First failing rule of a frame header parsed as ``HEADER_TYPE``; parse it in a projection of its own, once.
+def validate_header(
+    df: DataFrame, header: str = "header", error: str = "error", allow_dot: bool = True
+) -> DataFrame:
+    """Add the first failing rule of a frame header given as JSON text.
 
     Integers must be JSON integers that fit 64 bits: 5 is one, 5.0, "5" and true are not.
+
+    Parsing, taking values out and judging them are projections of their own, so that nothing is worked out twice.
     """
-    value = lambda name: F.element_at(fields, F.lit(name))
-    kind = lambda name: F.coalesce(F.schema_of_variant(value(name)), F.lit("VOID"))
-    text = lambda name: F.try_variant_get(value(name), "$", "string")
-    number = lambda name: F.try_variant_get(value(name), "$", "double")
-    whole = lambda name, least: (kind(name) == "BIGINT") & (F.try_variant_get(value(name), "$", "bigint") >= least)
-    missing = F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), F.map_keys(fields))
-    named = F.concat(F.lit("topic_"), topic_error(text("topic")))
-    other = F.concat(F.lit("dict_id_"), dict_id_error(text("dict_id"), allow_dot))
-    return (
-        F.when(fields.isNull(), "not_an_object")
-        .when(F.size(missing) > 0, F.concat(F.lit("missing:"), F.array_join(missing, ",")))
-        .when(~kind("v").rlike("^(BIGINT|DECIMAL|DOUBLE)") | (number("v") != 1), "version")
+    value = lambda name: F.element_at("_fields", F.lit(name))
+    kinds = {f"_kind_{n}": F.coalesce(F.schema_of_variant(value(n)), F.lit("VOID")) for n in (*REQUIRED_FIELDS, "dict_id")}
+    texts = {f"_{n}": F.try_variant_get(value(n), "$", "string") for n in ("topic", "dict_id")}
+    numbers = {f"_{n}": F.try_variant_get(value(n), "$", "bigint") for n in ("count", "raw_len", "comp_len")}
+    version = {"_v": F.try_variant_get(value("v"), "$", "double")}
+    kind = lambda name: F.col(f"_kind_{name}")
+    whole = lambda name, least: (kind(name) == "BIGINT") & (F.col(f"_{name}") >= least)
+    absent = F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), F.map_keys("_fields"))
+    rows = df.withColumn("_fields", F.from_json(header, "map<string,variant>"))
+    rows = rows.withColumns({**kinds, **texts, **numbers, **version})
+    rows = rows.withColumns({
+        "_absent": F.array_join(absent, ","), "_bad_topic": topic_error(F.col("_topic")),
+        "_bad_dict_id": dict_id_error(F.col("_dict_id"), allow_dot)})
+    rows = rows.withColumn(
+        error,
+        F.when(F.col("_fields").isNull(), "not_an_object")
+        .when(F.col("_absent") != "", F.concat(F.lit("missing:"), "_absent"))
+        .when(~kind("v").rlike("^(BIGINT|DECIMAL|DOUBLE)") | (F.col("_v") != 1), "version")
         .when(~kind("topic").isin("STRING", "VOID"), "topic_type")
-        .when(named.isNotNull(), named)
+        .when(F.col("_bad_topic").isNotNull(), F.concat(F.lit("topic_"), "_bad_topic"))
         .when(~whole("count", 1), "count")
         .when(~whole("raw_len", 0), "raw_len")
         .when(~whole("comp_len", 0), "comp_len")
         .when(~kind("dict_id").isin("STRING", "VOID"), "dict_id_type")
-        .when(other.isNotNull(), other)
+        .when(F.col("_bad_dict_id").isNotNull(), F.concat(F.lit("dict_id_"), "_bad_dict_id")),
     )
-
-
-def validate_header(
-    df: DataFrame, header: str = "header", error: str = "error", allow_dot: bool = True
-) -> DataFrame:
-    parsed = df.withColumn("_fields", F.from_json(header, HEADER_TYPE))
-    return parsed.withColumn(error, header_error(F.col("_fields"), allow_dot)).drop("_fields")
+    return rows.select(*[c for c in df.columns if c != error], error)
 
 
 def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

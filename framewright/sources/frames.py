@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.checks import HEADER_TYPE, header_error
+from ..functions.checks import validate_header
 from ..schemas import FRAME_HEADER
 
 # Header fields in wire order.
@@ -195,13 +195,11 @@ def _batches(path: str, blob: memoryview) -> Iterator[pa.RecordBatch]:
 def parse_header(frames: DataFrame, hmac_name: str = "hmac", header: str = "header") -> DataFrame:
     """Add the validation error of a JSON header and its fields as columns."""
     names = [*HEADER_FIELDS, *SIGNATURE_FIELDS]
-    rows = frames.withColumns({
-        "_fields": F.from_json(header, HEADER_TYPE), "_parsed": F.from_json(header, FRAME_HEADER)})
+    rows = validate_header(frames, header).withColumn("_parsed", F.from_json(header, FRAME_HEADER))
     parsed = F.col("_parsed")
-    signature = F.try_variant_get(F.try_element_at("_fields", F.lit(hmac_name)), "$", "string")
+    signature = F.try_element_at(F.from_json(header, "map<string,string>"), F.lit(hmac_name))
     field = lambda n: signature if n == "hmac" and hmac_name != "hmac" else parsed[n]
-    return rows.withColumns({
-        "error": header_error(F.col("_fields")), **{n: field(n) for n in names}}).drop("_fields", "_parsed")
+    return rows.withColumns({n: field(n) for n in names}).drop("_parsed")
 
 
 def read_frame_table(spark: SparkSession, path: str, hmac_name: str = "hmac") -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.normalize import VOLATILE, normalize
 from ..operators.codec import DICT_SIZE, decode_frames, train_dicts
 from ..operators.metrics import _derived, _flush_throughput, _totals
 from ..operators.registry import publish_versions, retrain_candidates, sample_window, training_readiness
-from ..session import SETTINGS, scratch_path
+from ..session import SETTINGS, broadcast_if_small, scratch_path
 from ..sources.registry_store import current_registry, publish_snapshot
 from ..sources.sinks import frame_metrics
 
@@ -94,7 +94,8 @@ def retrain_step(
         try:
             if drifted.isEmpty():
                 return
-            wanted = messages(spark).join(drifted.select("topic").distinct(), "topic", "left_semi")
+            topics = broadcast_if_small(drifted.select("topic").distinct())
+            wanted = messages(spark).join(topics, "topic", "left_semi")
             samples = sample_window(wanted)
             ready = training_readiness(samples, size)
             chosen = retrain_candidates(drifted, ready, running(spark) if running else None)
