@@ -127,7 +127,7 @@ def test_vehicle_feed_reaches_the_published_ratio(spark):
         (20.0 + i % 5).alias("velocity"), F.struct(F.lit(37.7749).alias("lat"), F.lit(-122.4194).alias("lng")).alias("location"),
         (90.0 + i % 2).alias("engine_temp"))
     text = F.to_json(F.struct(
-        F.lit("vehicle.telemetry").alias("topic"), F.lit("vehicle-ox-123").alias("device_id"),
+        F.lit("vehicle.telemetry").alias("topic"), F.lit("vehicle-number-42").alias("device_id"),
         F.lit("OPERATIONAL").alias("status"), data.alias("data"),
         F.create_map(F.lit("X-Amzn-Trace-Id"), F.concat(F.lit("Root="), F.hash("id").cast("string"))).alias("headers")))
     feed = spark.range(3000).select(
