@@ -7,8 +7,101 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact
-from .common import read
+from framewright.session import scratch_path
+
+from . import bpe, exact, langid, mixing, quality, warc
+from .common import held_out, learned_from, read
+
+#: Target weights of the sources; all others share OTHER_SOURCES.
+SOURCE_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05}
+OTHER_SOURCES = 0.55
+MIX_SEED = "mix-2"
+
+#: Date in the records of the archive.
+ARCHIVE_DATE = "2024-01-01T00:00:00Z"
+
+
+def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = read(spark, root, "documents")
+    model = langid.fit(docs.where(learned_from(F.col("doc_id"))))
+    return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in a global random order."""
+    return mixing.mix(read(spark, root, "documents"), SOURCE_WEIGHTS, OTHER_SOURCES, seed=MIX_SEED)
+
+
+OP3_SQL = f"""
+WITH named(s, w) AS (VALUES {", ".join(f"('{s}', {w})" for s, w in SOURCE_WEIGHTS.items())}, (NULL, {OTHER_SOURCES})),
+d AS (
+  SELECT documents.*, named.s,
+         (('0x' || substr(md5('{MIX_SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 16.0::DOUBLE ** 13 AS u
+  FROM documents LEFT JOIN named ON source = named.s
+), c AS (SELECT s, count(*) AS n FROM d GROUP BY s),
+r AS (
+  SELECT c.s, sum(n) OVER () * w / sum(w) OVER () / n AS rate
+  FROM c JOIN named ON c.s IS NOT DISTINCT FROM named.s WHERE w > 0
+), p AS (
+  SELECT s, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS below
+  FROM r, range(0, 200) AS t(k)
+), steps AS (SELECT s, list(below ORDER BY k) AS steps FROM p GROUP BY s)
+SELECT doc_id, text, lang, source, n_chars, unnest(range(len(list_filter(steps, lambda x: x < u)))::INT[]) AS copy
+FROM d JOIN steps ON d.s IS NOT DISTINCT FROM steps.s
+"""
+
+
+def op4_archive(spark: SparkSession, root: str) -> DataFrame:
+    """A record per page, written to an archive and read back."""
+    path = scratch_path(spark, "archive")
+    warc.write_archive(read(spark, root, "pages"), path, ARCHIVE_DATE)
+    number = lambda c: F.nullif(F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1), F.lit("")).cast("long")
+    back = warc.read_archive(spark, path)
+    return back.select(
+        number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha1("payload").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
+        F.sha2("record", 256).alias("record_sha256"), F.col("payload_digest").alias("stored_digest"))
+
+
+OP4_SQL = f"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+g AS (
+  SELECT *, octet_length(body) AS payload_bytes,
+         CASE WHEN octet_length(body) >= {warc.LEAST_BYTES} THEN max(page_id) OVER (PARTITION BY body) END AS first_id,
+         CASE WHEN octet_length(body) >= {warc.LEAST_BYTES} THEN max_by(url, page_id) OVER (PARTITION BY body) END AS first_url
+  FROM p
+), t AS (SELECT *, coalesce(page_id < first_id, false) AS again FROM g),
+h AS (
+  SELECT *, '{warc.VERSION}' || chr(13) || chr(10)
+    || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || chr(13) || chr(10)
+    || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Date: {ARCHIVE_DATE}' || chr(13) || chr(10)
+    || coalesce('WARC-Target-URI: ' || url || chr(13) || chr(10), '')
+    || 'WARC-Payload-Digest: sha1:' || sha1(body) || chr(13) || chr(10)
+    || CASE WHEN again THEN 'WARC-Profile: {warc.REVISIT_PROFILE}' || chr(13) || chr(10)
+         || 'WARC-Refers-To: <urn:page:' || first_id || '>' || chr(13) || chr(10)
+         || coalesce('WARC-Refers-To-Target-URI: ' || first_url || chr(13) || chr(10), '') ELSE '' END
+    || 'Content-Type: application/http; msgtype=response' || chr(13) || chr(10)
+    || 'Content-Length: ' || CASE WHEN again THEN 59 ELSE 59 + payload_bytes END || chr(13) || chr(10) || chr(13) || chr(10)
+    || 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || chr(13) || chr(10) AS header
+  FROM t
+)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first_id END AS refers_to,
+       sha256(encode(header) || CASE WHEN again THEN ''::BLOB ELSE body END || encode(chr(13) || chr(10) || chr(13) || chr(10))) AS record_sha256,
+       'sha1:' || sha1(body) AS stored_digest
+FROM h
+"""
+
+
+def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Base counts and verdict of every document; good labels say what is trusted."""
+    docs = read(spark, root, "documents")
+    weights = quality.bucket_weights(docs, quality.trusted_ids(read(spark, root, "labels")))
+    return quality.judge(docs, weights).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
 def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
@@ -43,10 +136,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS t
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op3_source_mix": op3_source_mix,
+    "op4_archive": op4_archive,
+    "op5_quality_rules": op5_quality_rules,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_source_mix": OP3_SQL,
+    "op4_archive": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
