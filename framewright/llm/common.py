@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Fixed value: the characters between words.
@@ -49,3 +52,20 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int) ->
             total += int(size)
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and the number of words of each text."""
+    words = [t.split() for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(counts.sum())), counts
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of all windows of *width* neighbouring hashes."""
+    places = max(len(hashes) - width + 1, 0)
+    mixed = np.full(places, width, np.uint64)
+    for j in range(width):
+        mixed = (mixed ^ hashes[j:j + places]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+    return mixed

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import bpe, exact, langid, mixing, quality, warc
+from . import bpe, exact, jaccard, langid, mixing, quality, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -104,6 +104,11 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a similarity of 0.85 at least."""
+    return jaccard.similar_documents(read(spark, root, "documents"), width=4, least=85)
+
+
 def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
     """Token ids of every document, and the bytes they decode to, as digests."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -140,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_archive": op4_archive,
     "op5_quality_rules": op5_quality_rules,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
