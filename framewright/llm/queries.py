@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import bpe, exact, jaccard, langid, mixing, quality, warc
+from . import bpe, exact, jaccard, langid, mixing, quality, substring, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -120,6 +120,12 @@ def op8_bpe(spark: SparkSession, root: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without the passages of twenty words or more that stand earlier somewhere."""
+    done = substring.remove_repeats(read(spark, root, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Groups of documents that are equal but for white space."""
     docs = read(spark, root, "documents").select(
@@ -147,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
