@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import bpe, exact, jaccard, langid, mixing, quality, substring, warc
+from . import bpe, exact, jaccard, langid, lm, mixing, quality, substring, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -104,6 +104,13 @@ def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 
+def op6_lm_score(spark: SparkSession, root: str) -> DataFrame:
+    """Stupid-backoff score of every document under the trigrams of all of them."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    scores = lm.score(read(spark, root, "documents"), ranks, public_tokenizers.PATTERN)
+    return scores.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles have a similarity of 0.85 at least."""
     return jaccard.similar_documents(read(spark, root, "documents"), width=4, least=85)
@@ -151,6 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_archive": op4_archive,
     "op5_quality_rules": op5_quality_rules,
+    "op6_lm_score": op6_lm_score,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
