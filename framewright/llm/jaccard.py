@@ -1,8 +1,8 @@
 """N-gram Jaccard join with grouped prefixes: exact links and their connected components.
 
-Documents with the same shingle set form a class, classes with the same prefix and size a group. Groups that share a
-shingle of their prefixes are compared by size, position and a parity sketch; only then are their members compared, and
-what remains is verified on the full sets.
+Documents with the same shingle set form a class, classes with the same prefix and size a group. Groups that share
+shingles of their prefixes are compared by size, number of those and a parity sketch; only then are their members
+compared, and what remains is verified on the full sets.
 
 A prefix holds the rarest shingles, by classes of an approximate frequency, then by hash. Any such order gives exact
 results; this one keeps common passages out of the prefixes.
@@ -102,11 +102,14 @@ def _close(a: str, b: str, least: int) -> Column:
     return sizes & F.coalesce(_differing_bits(a, b) <= na + nb - 2 * _needed(na, nb, least), F.lit(True))
 
 
-def _near(a: str, b: str, least: int) -> Column:
-    """False where the places of a common shingle leave too few others; true at the first common one of all links."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    return (100 * na >= least * nb) & (100 * nb >= least * na) & (rest >= _needed(na, nb, least))
+def _enough(common: Column, na: Column, nb: Column, least: int) -> Column:
+    """False where this many common prefix shingles rule a link out.
+
+    Of the set whose prefix ends first in the global order, all common shingles up to there are in both prefixes; the
+    others lie behind its prefix, which leaves ceil(least * n / 100) - 1 of them at most.
+    """
+    behind = F.ceil(least * F.greatest(na, nb) / F.lit(100.0) - 1e-9) - 1
+    return common + behind >= _needed(na, nb, least)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
@@ -125,9 +128,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             found = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"])
             yield found.filter(pa.array(same))
 
-    # rows that share an identifier are told apart by the digest; equal rows are the same set
+    # rows that share an identifier are told apart by the digest; equal rows give a pair twice, which does no harm
     ours = docs.join(broadcast_if_small(scratch_table(wanted, "wanted")), docs["id"] == F.col("rep"))
-    sets = scratch_table(ours.select("rep", "wanted", "text").mapInArrow(sets_of, "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    sets = scratch_table(ours.select("rep", "wanted", "text").mapInArrow(sets_of, "rep long, set binary"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,17 +170,19 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
 
     # lists of the groups that share a prefix shingle, with the neighbour before each in order of size
     entries = (found.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
-               .where("doc_id = gid").select("gid", "n", F.posexplode("prefix").alias("at", "shingle")))
+               .where("doc_id = gid").select("gid", "n", F.explode("prefix").alias("shingle")))
     in_list = Window.partitionBy("shingle").orderBy("n", "gid")
     lists = entries.select(
-        "shingle", "gid", "n", "at", F.lag(F.struct("gid", "n", "at")).over(in_list).alias("before"),
+        "shingle", "gid", "n", F.lag(F.struct("gid", "n")).over(in_list).alias("before"),
         F.lead("gid").over(in_list).alias("after"))
     lists = scratch_table(lists.where("before is not null or after is not null").drop("after"), "lists")
 
-    # first round: neighbours in a list, and the members of a group with its first
+    # first round: neighbours that meet in many lists, and the members of a group with its first
     info = groups.select("gid", "n", *_PARITY)
-    neighbours = (lists.where("before is not null and before.gid <> gid").withColumn("x", F.col("before")).withColumn("y", F.struct("gid", "n", "at"))
-                  .where(_near("x", "y", least)).select(F.least("gid", "x.gid").alias("a"), F.greatest("gid", "x.gid").alias("b")).distinct())
+    neighbours = (lists.where("before is not null and before.gid <> gid")
+                  .groupBy(F.least("gid", "before.gid").alias("a"), F.greatest("gid", "before.gid").alias("b"))
+                  .agg(F.count(F.lit(1)).alias("common"), F.first(F.col("before.n")).alias("na"), F.first("n").alias("nb")))
+    neighbours = neighbours.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("a", "b")
     neighbours = (neighbours.join(info.alias("x"), F.col("a") == F.col("x.gid")).join(info.alias("y"), F.col("b") == F.col("y.gid"))
                   .where(_close("x", "y", least)).select("a", "b"))
     firsts = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
@@ -194,8 +199,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     told = lists.drop("before").join(whole, "gid")
     apart = F.coalesce(F.col("x.comp") != F.col("y.comp"), F.lit(True))
     pairs = (told.alias("x").join(told.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
-                                  & apart & _near("x", "y", least) & _close("x", "y", least))
-             .select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
+                                  & apart & _close("x", "y", least))
+             .groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
+             .agg(F.count(F.lit(1)).alias("common"), F.first("x.n").alias("na"), F.first("y.n").alias("nb")))
+    pairs = pairs.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("ga", "gb")
     mixed = whole.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     expanded = (pairs.unionByName(mixed).join(member_of.alias("x"), F.col("ga") == F.col("x.gid")).join(
         member_of.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", least))
