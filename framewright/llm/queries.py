@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import bpe, exact, jaccard, langid, lm, mixing, quality, substring, warc
+from . import bpe, exact, jaccard, langid, lm, mixing, quality, substring, toxicity, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -17,6 +17,9 @@ SOURCE_WEIGHTS = {"src0": 0.20, "src1": 0.10, "src2": 0.10, "src3": 0.05}
 OTHER_SOURCES = 0.55
 MIX_SEED = "mix-2"
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.7
+
 #: Date in the records of the archive.
 ARCHIVE_DATE = "2024-01-01T00:00:00Z"
 
@@ -28,6 +31,14 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    """Toxicity of every document, learned from a bounded sample of the labels of two thirds of them."""
+    docs, labels = read(spark, root, "documents"), read(spark, root, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels.where(learned_from(F.col("doc_id")))))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_source_mix(spark: SparkSession, root: str) -> DataFrame:
     """Documents repeated to the target weights of their sources, in a global random order."""
     return mixing.mix(read(spark, root, "documents"), SOURCE_WEIGHTS, OTHER_SOURCES, seed=MIX_SEED)
@@ -155,6 +166,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_source_mix": op3_source_mix,
     "op4_archive": op4_archive,
     "op5_quality_rules": op5_quality_rules,
