@@ -29,7 +29,7 @@ BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6)
 #: Units in each direction, and of the attention.
 HIDDEN, ATTENTION = 8, 8
-EPOCHS, RATE, BATCH, SEED = 6, 0.01, 256, 7
+ROUNDS, STEPS, BATCH, RATE, SEED = 6, 60, 256, 0.01, 7
 BATCH_BYTES = 1 << 20
 
 _INPUTS = len(GRAMS) + 4
@@ -189,19 +189,20 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _odds(buckets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Log-odds of toxic for every bucket, from the documents in which it occurs, shrunk for rare ones."""
+    """Log-odds of toxic for every bucket, from the documents in which it occurs, with classes brought to the smaller's
+    size and rare buckets shrunk towards 0."""
     counts = np.zeros((2, BUCKETS))
     for b, y in zip(buckets, label, strict=True):
         counts[y, b] += 1
     both = np.bincount(label, minlength=2)[:, None]
-    shares = np.log((counts + 2) / (both + 4))
-    return ((shares[1] - shares[0]) / 3).astype(np.float32)
+    scaled = np.log(counts * (both.min() / both) + 2)
+    return ((scaled[1] - scaled[0]) / 3).astype(np.float32)
 
 
 def train(examples: list[tuple[bytes, int]]) -> Model:
     """Fit the model. Without examples of both classes it has no weights, and every document scores 0.
 
-    A toxic document teaches by the window that the model so far finds worst, a clean one by its worst and some others.
+    A toxic document teaches by the window that the model finds worst so far, a clean one by its worst and some others.
     """
     texts = [words_in(t) for t, _ in examples]
     texts, label = [t for t in texts if t], np.array([y for t, (_, y) in zip(texts, examples, strict=True) if t], np.int64)
@@ -235,16 +236,16 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
     moment, square, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     toxic = label[owner] == 1
     suspicion = np.sort(rows[:, 0][index], 1)[:, -2:].sum(1) + rows[:, 2][index].max(1)
-    for epoch in range(EPOCHS):
-        if epoch:
+    for turn in range(ROUNDS):
+        if turn:
             suspicion = logits(model, rows, index)
         order = np.lexsort((-suspicion, owner))
         worst = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         others = np.flatnonzero(~toxic)
         chosen = np.concatenate([worst, rng.choice(others, min(len(others), 2 * len(worst)), replace=False)])
-        rng.shuffle(chosen)
-        for start in range(0, len(chosen), BATCH):
-            part = chosen[start:start + BATCH]
+        deck = np.concatenate([rng.permutation(chosen) for _ in range(-(-STEPS * BATCH // len(chosen)))])
+        for start in range(0, STEPS * BATCH, BATCH):
+            part = deck[start:start + BATCH]
             there = index[part].T != len(words)
             g = _gradients(w, rows[index[part].T], there, toxic[part].astype(np.float32), np.where(toxic[part], 2.0, 1.0).astype(np.float32))
             size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
@@ -253,7 +254,7 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
                 x = x * min(1.0, 1.0 / max(size, 1e-9))
                 moment[k] = 0.9 * moment[k] + 0.1 * x
                 square[k] = 0.99 * square[k] + 0.01 * x * x
-                w[k] -= (RATE * 0.6 ** epoch * (moment[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+                w[k] -= (RATE * 0.6 ** turn * (moment[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
     return model
 
 
