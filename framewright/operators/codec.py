@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.auth import verify_frames
+from ..functions.checks import MAX_BATCH_BYTES
 from ..session import broadcast_if_small
 from .registry import attach_active_dict, attach_dict_by_id, sample_window
 
@@ -19,6 +20,9 @@ LEVEL = 7
 DICT_SIZE = 8192
 CODECS = ("zstd", "zlib", "none")
 
+#: Bytes of text after which the decoder hands a batch over.
+DECODED_BYTES = 32 * 1024 * 1024
+
 
 def _encoder(codec: str, level: int, dictionary: bytes | None) -> Callable[[bytes], bytes]:
     if codec == "zstd":
@@ -35,20 +39,30 @@ def _encoder(codec: str, level: int, dictionary: bytes | None) -> Callable[[byte
     return bytes
 
 
-def _decoder(codec: str, dictionary: bytes | None) -> Callable[[bytes], bytes]:
+def _decoder(codec: str, dictionary: bytes | None) -> Callable[[bytes, int], bytes]:
+    """A function of payload and the largest text it may give; a longer or incomplete text raises."""
     if codec == "zstd":
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        return zstandard.ZstdDecompressor(dict_data=data).decompress
+        context = zstandard.ZstdDecompressor(dict_data=data)
+
+        def decode_zstd(payload: bytes, most: int) -> bytes:
+            with context.stream_reader(payload) as stream:
+                text = stream.read(most + 1)
+            if len(text) > most:
+                raise zstandard.ZstdError("longer than announced")
+            return text
+
+        return decode_zstd
     extra = {"zdict": dictionary} if dictionary else {}
 
-    def decode(payload: bytes) -> bytes:
+    def decode_zlib(payload: bytes, most: int) -> bytes:
         stream = zlib.decompressobj(**extra)
-        text = stream.decompress(payload) + stream.flush()
-        if not stream.eof:
-            raise zlib.error("incomplete stream")
+        text = stream.decompress(payload, most + 1)
+        if len(text) > most or not stream.eof:
+            raise zlib.error("incomplete stream, or longer than announced")
         return text
 
-    return decode
+    return decode_zlib
 
 
 class _Cache(dict):
@@ -125,6 +139,8 @@ def decode_frames(
     """Check the signature if *key* is given, look the dictionary up, then decompress; nothing unverified is decoded.
 
     Lines have the columns of the frame except the payload, plus pos and msg. Errors: signature, unknown_dict, corrupt.
+    A frame is corrupt as well if its text has another length than its header says, or more than MAX_BATCH_BYTES; no more
+    than that is ever decompressed. Texts are handed over every DECODED_BYTES, however small their frames were.
     *keep* is applied to the decompressed frames, for callers that use more than one of the results.
     """
     if key is not None:
@@ -139,6 +155,7 @@ def decode_frames(
 
     passed = checked.filter(F.col("error").isNull()).drop("error")
     fields = [f for f in passed.schema.fields if f.name not in ("dict_bytes", payload)]
+    sized = "raw_len" in passed.columns
     out = T.StructType([
         *fields, T.StructField(payload, T.BinaryType()), T.StructField("raw", T.BinaryType()),
         T.StructField("error", T.StringType())])
@@ -146,24 +163,32 @@ def decode_frames(
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Cache()
         for table in tables:
-            texts, errors = [], []
+            first, held, texts, errors = 0, 0, [], []
             dictionaries = table.column("dict_bytes")
-            rows = zip(table.column(payload), table.column("dict_id").to_pylist(), table.column("codec").to_pylist())
-            for i, (data, name, codec) in enumerate(rows):
+            sizes = table.column("raw_len").to_pylist() if sized else [None] * table.num_rows
+            rows = zip(table.column(payload), table.column("dict_id").to_pylist(), table.column("codec").to_pylist(), sizes)
+            for i, (data, name, codec, size) in enumerate(rows):
                 data, error = data.as_py(), None
+                most = MAX_BATCH_BYTES if size is None else min(size, MAX_BATCH_BYTES)
                 if name:
                     try:
                         decode = cache.get_or((name, codec), lambda: _decoder(codec, dictionaries[i].as_py()))
-                        data = decode(data)
+                        data = decode(data, most)
                     except (zstandard.ZstdError, zlib.error):
                         data, error = None, "corrupt"
+                if data is not None and (len(data) > most or size is not None and len(data) != size):
+                    data, error = None, "corrupt"
                 texts.append(data)
                 errors.append(error)
-            columns = {f.name: table.column(f.name) for f in fields}
-            columns[payload] = table.column(payload)
-            columns["raw"] = pa.array(texts, pa.binary())
-            columns["error"] = pa.array(errors, pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
+                held += len(data or b"")
+                if held >= DECODED_BYTES or i == table.num_rows - 1:
+                    part = table.slice(first, len(texts))
+                    columns = {f.name: part.column(f.name) for f in fields}
+                    columns[payload] = part.column(payload)
+                    columns["raw"] = pa.array(texts, pa.binary())
+                    columns["error"] = pa.array(errors, pa.string())
+                    yield pa.RecordBatch.from_pydict(columns)
+                    first, held, texts, errors = i + 1, 0, [], []
 
     decoded = passed.mapInArrow(run, out)
     if keep is not None:

@@ -32,7 +32,8 @@ def moving_average(rows: Ordered, value: Column, alpha: float, name: str = "ema"
         return rows.add(**{name: value})
     q = 1.0 - alpha
     limit = math.ceil(_decay_rows(alpha))
-    block = min(limit, rows.chunk_rows)
+    # inside a chunk a block may be shorter than the memory reaches, as the chunks before pass their state on
+    block = min(limit, rows.chunk_rows) if rows.cut else limit
     p = rows.position()
     j = (p - 1) % block + 1
     step = F.pow(F.lit(q), j.cast("double"))

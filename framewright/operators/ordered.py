@@ -120,8 +120,7 @@ def order_rows(
         return Ordered(df.withColumn(N, numbered), keys, chunk_rows, False)
 
     spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, math.ceil(sizes.rows / chunk_rows)))
+    parts = max(1, math.ceil(sizes.rows / chunk_rows))
     laid = (
         df.repartitionByRange(parts, *[F.col(k) for k in keys], *columns)
         .sortWithinPartitions(*[F.col(k) for k in keys], *columns)

@@ -732,9 +732,10 @@ def drift_monitor_stats(spark, root):
 TOTALS = """CAST(sum(count) AS BIGINT) AS messages_processed, CAST(sum(raw_len) AS BIGINT) AS bytes_in,
   CAST(sum(comp_len) AS BIGINT) AS bytes_out, count(*) AS flush_count,
   round(sum(comp_len) / sum(raw_len), 6) AS compression_ratio, round(sum(flush_ms) / count(*), 6) AS avg_flush_duration_ms"""
-ERRORS = "er AS (SELECT topic, us, CASE WHEN seq % 2 = 0 THEN 'compression' ELSE 'network' END AS kind FROM f WHERE flush_ms < 20)"
-#: Errors come a day before the flushed batches end up in the table, so some precede the first batch of their topic.
-LATER = "b AS (SELECT * FROM f WHERE flush_ms >= 60)"
+#: Every event is a batch or an error. Errors are dated five days back, so some precede the first batch of their topic.
+ERRORS = f"""er AS (SELECT topic, us - {120 * HOUR_US} AS us, CASE WHEN seq % 2 = 0 THEN 'compression' ELSE 'network' END AS kind
+  FROM f WHERE flush_ms < 20)"""
+LATER = "b AS (SELECT * FROM f WHERE flush_ms >= 20)"
 
 
 def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -744,8 +745,9 @@ def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
 def _errors(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows = i.flushed(spark, root)
     errors = rows.filter(F.col("flush_ms") < 20).select(
-        "topic", "ts", F.when(F.col("seq") % 2 == 0, "compression").otherwise("network").alias("kind"))
-    return errors, rows.filter(F.col("flush_ms") >= 60)
+        "topic", (F.col("ts") - F.expr("INTERVAL 5 DAYS")).alias("ts"),
+        F.when(F.col("seq") % 2 == 0, "compression").otherwise("network").alias("kind"))
+    return errors, rows.filter(F.col("flush_ms") >= 20)
 
 
 @query(f"""WITH {i.FLUSHED}, {ERRORS}, {LATER}, fi AS (SELECT topic, min(us) AS us FROM b GROUP BY topic)

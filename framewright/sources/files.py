@@ -46,9 +46,12 @@ LOG_FIELDS = ("timestamp", "level", "event", "message", "service", "logger")
 
 
 def log_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """JSON log lines of both formats as ts, level, event, service and the other fields as a map."""
+    """JSON log lines of both formats as ts, level, event, service and the other fields as a map.
+
+    A line that is no JSON object stays as a row with the line in ``corrupt``; blank lines are left out.
+    """
     fields = F.from_json(F.col(value), "map<string,string>")
-    rows = lines.select(fields.alias("m")).filter(F.col("m").isNotNull())
+    rows = lines.filter(F.trim(value) != "").select(fields.alias("m"), F.col(value).alias("_line"))
     field = lambda name: F.try_element_at("m", F.lit(name))
     # one of the formats writes UTC without saying so
     at = field("timestamp")
@@ -59,6 +62,7 @@ def log_events(lines: DataFrame, value: str = "value") -> DataFrame:
         F.coalesce(field("event"), field("message")).alias("event"),
         F.coalesce(field("service"), field("logger")).alias("service"),
         F.map_filter("m", lambda key, value: ~key.isin(*LOG_FIELDS)).alias("extras"),
+        F.when(F.col("m").isNull(), F.col("_line")).alias("corrupt"),
     )
 
 

@@ -17,10 +17,8 @@ SIGNATURE_FIELDS = ["hmac", "hmac_algo"]
 
 #: Bytes of payload after which the splitter hands a batch over.
 BATCH_BYTES = 32 * 1024 * 1024
-#: Largest wire file that is loaded as one value.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
-#: Neighbouring frames of one file that one task reads.
-RANGE_FRAMES = 1_000
+#: Largest wire file: what one value can hold.
+MOST_FILE_BYTES = (1 << 31) - 64
 
 
 def frame_header(columns: list[str], hmac_name: str = "hmac") -> Column:
@@ -37,96 +35,21 @@ def encode_frames(frames: DataFrame, payload: str = "payload", header: str | Non
     return frames.withColumn("frame", F.concat(size, F.encode(text, "utf-8"), F.col(payload)))
 
 
-def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac", whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
-    """Frames of wire files: path, pos, header (JSON text), payload, error and the header fields as columns.
+def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac") -> DataFrame:
+    """Frames of wire files: path, pos, header (JSON text), payload, bytes_left, error and the header fields as columns.
 
-    The position of a frame depends on all before it, so each file is followed from its start. An incomplete last frame
-    is dropped. A header that is not usable ends its file with one row that has an error.
-
-    Small files are loaded whole, many at a time. If one is larger than *whole_file_bytes*, a first pass hops from header
-    to header without reading payloads, and the payloads are then read as ranges spread over all tasks.
+    The position of a frame depends on all before it, so each file is followed from its start, as one value in a task;
+    many files are read at a time, from any file system that Spark reads. What cannot be read is a row with an error:
+    ``truncated`` where a frame goes on behind the end of its file, or a header that is not usable. Either ends its file,
+    and bytes_left counts the bytes from there on. A file above MOST_FILE_BYTES, which no value can hold, is one row
+    with the error ``file_too_large``. Larger volumes belong into more files, or into ``read_frame_table``.
     """
     files = spark.read.format("binaryFile").load(path)
-    longest = files.agg(F.coalesce(F.max("length"), F.lit(0))).first()[0]
-    if longest <= whole_file_bytes:
-        return split_frames(files.select("path", "content"), "path", "content", hmac_name)
-    places = files.select("path", "length").repartition("path").mapInArrow(
-        _hop, "path STRING, pos BIGINT, header STRING, start BIGINT, size BIGINT")
-    ranges = places.repartition(F.col("path"), F.floor(F.col("pos") / RANGE_FRAMES))
-    raw = ranges.mapInArrow(_read_ranges, "path STRING, pos BIGINT, header STRING, payload BINARY")
-    return parse_header(raw, hmac_name)
-
-
-def _open(path: str):
-    """A random-access file from any file system that Arrow reaches."""
-    from pyarrow import fs
-
-    if path.startswith("file:") or path.startswith("/"):
-        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
-def _hop(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the frames of each file; a negative size marks a header that ends the file."""
-    names = ["path", "pos", "header", "start", "size"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-    for table in tables:
-        for path, length in zip(*(c.to_pylist() for c in table.columns)):
-            rows: list[tuple] = []
-            with _open(path) as file:
-                at, pos = 0, 0
-                while at + 4 <= length:
-                    file.seek(at)
-                    size = int.from_bytes(file.read(4), "big")
-                    at += 4 + size
-                    if at > length:
-                        break
-                    text = file.read(size).decode("utf-8", "replace")
-                    payload = _payload_length(text)
-                    if payload is not None and at + payload > length:
-                        break
-                    rows.append((path, pos, text, at, -1 if payload is None else payload))
-                    if payload is None:
-                        break
-                    at, pos = at + payload, pos + 1
-                    if len(rows) >= RANGE_FRAMES:
-                        yield batch(rows)
-                        rows = []
-            if rows:
-                yield batch(rows)
-
-
-def _read_ranges(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opened, name = None, None
-    try:
-        for table in tables:
-            paths, positions, headers, starts, sizes = (c.to_pylist() for c in table.columns)
-            first, held, payloads = 0, 0, []
-            for k, (path, start, size) in enumerate(zip(paths, starts, sizes)):
-                if path != name:
-                    if opened is not None:
-                        opened.close()
-                    opened, name = _open(path), path
-                if size < 0:
-                    payloads.append(None)
-                else:
-                    opened.seek(start)
-                    payloads.append(opened.read(size))
-                    held += size
-                if held >= BATCH_BYTES or k == len(paths) - 1:
-                    part = slice(first, k + 1)
-                    yield pa.RecordBatch.from_pydict({
-                        "path": pa.array(paths[part], pa.string()), "pos": pa.array(positions[part], pa.int64()),
-                        "header": pa.array(headers[part], pa.string()), "payload": pa.array(payloads, pa.binary())})
-                    first, held, payloads = k + 1, 0, []
-    finally:
-        if opened is not None:
-            opened.close()
+    # the length is judged before the content is loaded
+    fits = files.filter(F.col("length") <= MOST_FILE_BYTES).select("path", "content")
+    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > MOST_FILE_BYTES)
+    large = large.select("path", F.lit(0).cast("long").alias("pos"), F.col("length").alias("bytes_left"), F.lit("file_too_large").alias("error"))
+    return split_frames(fits, "path", "content", hmac_name).unionByName(large, allowMissingColumns=True)
 
 
 def _payload_length(text: str) -> int | None:
@@ -140,7 +63,7 @@ def _payload_length(text: str) -> int | None:
 
 def split_frames(blobs: DataFrame, name: str = "path", content: str = "content", hmac_name: str = "hmac") -> DataFrame:
     """Split binary values that hold one frame after the other."""
-    out = T.StructType.fromDDL("path STRING, pos BIGINT, header STRING, payload BINARY")
+    out = T.StructType.fromDDL("path STRING, pos BIGINT, header STRING, payload BINARY, bytes_left BIGINT")
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
@@ -148,47 +71,46 @@ def split_frames(blobs: DataFrame, name: str = "path", content: str = "content",
                 yield from _batches(path, memoryview(blob.as_buffer()) if blob.is_valid else memoryview(b""))
 
     raw = blobs.select(F.col(name).cast("string"), F.col(content)).mapInArrow(run, out)
-    return parse_header(raw, hmac_name)
+    rows = parse_header(raw, hmac_name)
+    cut = F.col("payload").isNull() & F.col("bytes_left").isNotNull() & (F.col("header").isNull() | F.col("error").isNull())
+    return rows.withColumn("error", F.when(cut, "truncated").otherwise(F.col("error")))
 
 
-def _frames(blob: memoryview) -> Iterator[tuple[str, bytes | None]]:
+def _frames(blob: memoryview) -> Iterator[tuple[str | None, bytes | None, int | None]]:
+    """Header, payload and, where the value cannot be followed further, the bytes from that frame on."""
     at, end = 0, len(blob)
-    while at + 4 <= end:
-        size = int.from_bytes(blob[at:at + 4], "big")
-        at += 4
-        if at + size > end:
+    while at < end:
+        start = at
+        at += 4 + int.from_bytes(blob[at:at + 4], "big") if at + 4 <= end else end
+        if at > end or start + 4 > end:
+            yield None, None, end - start
             return
-        text = bytes(blob[at:at + size]).decode("utf-8", "replace")
-        at += size
+        text = bytes(blob[start + 4:at]).decode("utf-8", "replace")
         length = _payload_length(text)
-        if length is None:
-            yield text, None
-            return
-        if at + length > end:
+        if length is None or at + length > end:
+            yield text, None, end - start
             return
-        yield text, bytes(blob[at:at + length])
+        yield text, bytes(blob[at:at + length]), None
         at += length
 
 
 def _batches(path: str, blob: memoryview) -> Iterator[pa.RecordBatch]:
-    headers, payloads, first, held = [], [], 0, 0
+    rows, first, held = [], 0, 0
 
     def batch() -> pa.RecordBatch:
-        n = len(headers)
+        headers, payloads, left = zip(*rows)
         return pa.RecordBatch.from_pydict({
-            "path": pa.array([path] * n, pa.string()), "pos": pa.array(range(first, first + n), pa.int64()),
-            "header": pa.array(headers, pa.string()), "payload": pa.array(payloads, pa.binary())})
+            "path": pa.array([path] * len(rows), pa.string()), "pos": pa.array(range(first, first + len(rows)), pa.int64()),
+            "header": pa.array(headers, pa.string()), "payload": pa.array(payloads, pa.binary()),
+            "bytes_left": pa.array(left, pa.int64())})
 
-    for header, payload in _frames(blob):
-        headers.append(header)
-        payloads.append(payload)
-        held += len(header) + len(payload or b"")
+    for row in _frames(blob):
+        rows.append(row)
+        held += len(row[0] or "") + len(row[1] or b"")
         if held >= BATCH_BYTES:
             yield batch()
-            first, held = first + len(headers), 0
-            headers.clear()
-            payloads.clear()
-    if headers:
+            first, held, rows = first + len(rows), 0, []
+    if rows:
         yield batch()
 
 

@@ -1,7 +1,9 @@
 import json
 import random
+import zlib
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from framewright import schemas
@@ -84,8 +86,7 @@ def test_signature_is_checked_below_the_decoder(spark, messages, registry):
     assert "Filter isnull(error" in below
 
 
-@pytest.mark.parametrize("whole", [1 << 28, 0])
-def test_wire_files(spark, messages, registry, tmp_path, whole):
+def test_wire_files(spark, messages, registry, tmp_path, monkeypatch):
     frames = sign_frames(compress_batches(build_batches(assign_batches(messages, 100, 10_000)), registry), KEY)
     wire = encode_frames(frames).orderBy("topic", "batch_id").select("frame")
     blobs = [bytes(r.frame) for r in wire.collect()]
@@ -96,10 +97,17 @@ def test_wire_files(spark, messages, registry, tmp_path, whole):
     bad = b'{"topic":"x"}'
     (folder / "c.bin").write_bytes(blobs[0] + len(bad).to_bytes(4, "big") + bad + b"rest")
     (folder / "d.bin").write_bytes(b"\0\0")
-    read = read_frames(spark, str(folder), whole_file_bytes=whole).cache()
+    read = read_frames(spark, str(folder)).cache()
     assert read.filter("error is null").count() == len(blobs) + 1
-    assert [r.error for r in read.filter("error is not null").collect()] == ["missing:codec,comp_len,count,raw_len,v"]
-    whole = read.filter(F.col("path").rlike("[ab].bin"))
+    # nothing ends without a row: the cut frame, the header that is not usable, two bytes that are no length
+    broken = {r.path[-5]: (r.pos, r.error, r.bytes_left) for r in read.filter("error is not null").collect()}
+    assert broken == {
+        "b": (len(blobs) - 5, "truncated", len(blobs[0]) - 1), "c": (1, "missing:codec,comp_len,count,raw_len,v", 4 + len(bad) + 4),
+        "d": (0, "truncated", 2)}
+    monkeypatch.setattr("framewright.sources.frames.MOST_FILE_BYTES", 10)
+    large = read_frames(spark, str(folder)).filter("error = 'file_too_large'")
+    assert {r.path[-5]: r.bytes_left for r in large.collect()} == {x: (folder / f"{x}.bin").stat().st_size for x in "abc"}
+    whole = read.filter(F.col("path").rlike("[ab].bin")).filter("error is null")
     assert [r.pos for r in whole.filter(F.col("path").endswith("a.bin")).orderBy("pos").collect()] == list(range(5))
     lines = decode_frames(whole.drop("error"), registry, KEY).lines
     assert lines.select("msg").exceptAll(messages.select("msg")).isEmpty() and lines.count() == 1500
@@ -292,8 +300,9 @@ def test_files(spark, tmp_path):
         '{"timestamp":"2026-01-02T03:04:05.5","level":"info","event":"started","service":"agent","pid":7}\n'
         '{"timestamp":"2026-01-02T03:04:05+00:00","level":"ERROR","logger":"x","message":"failed","topic":"a"}\nplain\n')
     logs = read_log_events(spark, str(tmp_path / "log")).collect()
-    assert [(r.level, r.event, r.service, r.extras) for r in logs] == [
-        ("INFO", "started", "agent", {"pid": "7"}), ("ERROR", "failed", "x", {"topic": "a"})]
+    assert [(r.level, r.event, r.service, r.extras, r.corrupt) for r in logs] == [
+        ("INFO", "started", "agent", {"pid": "7"}, None), ("ERROR", "failed", "x", {"topic": "a"}, None),
+        (None, None, None, None, "plain")]
     assert logs[0].ts.microsecond == 500000
 
 
@@ -311,3 +320,20 @@ def test_sample_window_of_a_large_topic(spark, kind, monkeypatch):
     for topic in "abc":
         full = sorted((r for r in rows if r[0] == topic and r[3]), key=lambda r: r[1:3])
         assert sorted(r.seq for r in kept if r.topic == topic) == sorted(r[2] for r in full[-9:])
+
+
+def test_decoding_is_bounded(spark):
+    """Small frames with long texts are handed over in parts; no text may be longer than announced."""
+    text = (b'{"k":"' + b"v" * 60 + b'"}\n') * 4000
+    packed = zstandard.ZstdCompressor(3).compress(text)
+    zipped = zlib.compress(text)
+    rows = [(i, "a", "d", "zstd", 1, len(text), packed) for i in range(400)]
+    rows += [(1000, "a", "d", "zstd", 1, len(text) - 1, packed), (1001, "a", "d", "zstd", 1, len(text) + 1, packed)]
+    rows += [(1002, "a", "d", "zlib", 1, len(text), zipped), (1003, "a", "d", "zlib", 1, 10, zipped), (1004, "a", "", "none", 1, 3, b"abcd")]
+    rows += [(1005, "a", "d", "zstd", 1, len(text), packed[:-9]), (1006, "a", "", "none", 1, 4, b"abc\n")]
+    frames = spark.createDataFrame(rows, "n long, topic string, dict_id string, codec string, count long, raw_len long, payload binary").coalesce(1)
+    registry = spark.createDataFrame([("a", 1, "d", b"", 1.0, True)], "topic string, version int, dict_id string, dict_bytes binary, created_at double, active boolean")
+    decoded = decode_frames(frames, registry)
+    assert decoded.frames.filter(F.octet_length("raw") == len(text)).count() == 401
+    assert {r.n: r.error for r in decoded.rejected.collect()} == dict.fromkeys((1000, 1001, 1003, 1004, 1005), "corrupt")
+    assert decoded.frames.filter("n = 1006").first().raw == b"abc\n"

@@ -136,3 +136,18 @@ def test_bad_arguments(spark):
         ema(df, "comp_len", alpha=0)
     with pytest.raises(ValueError):
         ema(df, "comp_len", strategy="other")
+
+
+@pytest.mark.parametrize("alpha", [1e-6, 0.001, 0.1, 0.5, 0.9])
+def test_average_does_not_depend_on_the_form(spark, alpha):
+    """More rows than chunk_rows, in both forms, against a plain loop."""
+    rng = random.Random(9)
+    values = [rng.random() for _ in range(230)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)], "topic string, seq long, v double")
+    expected, e = [], None
+    for v in values:
+        e = v if e is None else e + alpha * (v - e)
+        expected.append(e)
+    for strategy in ("window", "chunked"):
+        got = ema(df, "v", ("seq",), alpha=alpha, chunk_rows=5, strategy=strategy).orderBy("seq").collect()
+        assert max(abs(r.ema - x) for r, x in zip(got, expected, strict=True)) < 1e-12, strategy
