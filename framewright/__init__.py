@@ -28,7 +28,8 @@ from .sources.frames import encode_frames, read_frame_table, read_frames, split_
 from .sources.registry_store import (
     current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index, write_dict_index)
 from .sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
-from .streaming.flows import decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics
+from .streaming.flows import (
+    decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, stream_metrics, window_metrics)
 from .streaming.stateful import stream_batches, stream_breaker, stream_monitor
 
 __all__ = [name for name in dir() if not name.startswith("_")]

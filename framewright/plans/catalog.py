@@ -28,10 +28,10 @@ from ..operators.timeline import outage_latency, phase_summary, rates, state_int
 from ..schemas import REGISTRY as REGISTRY_SCHEMA, SENSOR
 from ..session import scratch_path, scratch_table
 from ..sources.files import log_events, read_messages, read_samples, read_timeline
-from ..sources.frames import encode_frames, read_frame_table, split_frames
+from ..sources.frames import encode_frames, read_frame_table, read_frames, split_frames
 from ..sources.registry_store import current_registry, index_entries, index_json, publish_snapshot
 from ..sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
-from ..streaming.flows import decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics
+from ..streaming.flows import decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, window_metrics
 from ..streaming.stateful import stream_batches, stream_breaker, stream_monitor
 from . import inputs as i
 
@@ -357,6 +357,22 @@ def wire_blobs(spark, root):
     return _read_back(split_frames(blobs.withColumn("path", F.col("topic"))))
 
 
+@query(f"""WITH {i.batched(100, 6 * HOUR_US)} SELECT topic, n AS pos, msg FROM (
+  SELECT topic, msg, row_number() OVER (PARTITION BY topic ORDER BY n) - 1 AS n FROM b)""")
+def wire_files_round_trip(spark, root):
+    """Batches compressed and signed, written as wire files, read, verified and decoded again to all their lines."""
+    registry, path = _trained(spark, root), scratch_path(spark, "wire")
+    frames = encode_frames(sign_frames(compress_batches(_batches(spark, root), registry), KEY).withColumn("schema_id", F.col("batch_id").cast("string")))
+    frames = frames.withColumn("part", F.floor(F.col("batch_id") / 400))
+    ordered = F.array_sort(F.collect_list(F.struct("batch_id", F.hex("frame").alias("frame"))))
+    blobs = frames.groupBy("topic", "part").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["frame"]), "")).alias("content"))
+    # one value per file; what ends a line ends the file with a byte that is no frame
+    blobs.select("topic", "part", F.col("content").cast("string").alias("value")).write.partitionBy("topic", "part").option("lineSep", "\0").text(path)
+    read = read_frames(spark, path)
+    lines = decode_frames(read.filter(F.col("error").isNull()).drop("error", "path", "pos", "bytes_left", "header"), registry, KEY).lines
+    return lines.select("topic", (F.col("schema_id").cast("long") - 1 + F.col("pos")).alias("pos"), "msg")
+
+
 @query(WIRE)
 def wire_table(spark, root):
     path = scratch_path(spark, "frames")
@@ -1047,23 +1063,49 @@ def streamed_messages(spark, root):
     return run_available(valid.select("topic", "seq", "msg"), "ingest")
 
 
+#: Time steps that the out-of-order files are cut into.
+STEPS = 5
+
+
+def _late_files(spark: SparkSession, rows: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """A stream that reads *rows* from files out of order, then *ends*, and the most that a row is late (ms).
+
+    A file holds one step of time; a tenth of the rows comes a file later, some more two files later.
+    """
+    path = scratch_path(spark, "late")
+    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = (high - low) // STEPS + 1 if low is not None else 1
+    late = F.when(F.col("seq") % 10 == 0, 1).when(F.col("seq") % 37 == 0, 2).otherwise(0)
+    step = F.floor((F.unix_micros("ts") - F.lit(low)) / width) + late
+    for k in range(STEPS + 2):
+        rows.filter(step == k).write.mode("append").parquet(path)
+    if ends is not None:
+        ends.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return stream, 3 * width / 1000
+
+
 @query(f"""WITH {i.batched(20, 6 * HOUR_US)}, x AS (SELECT {BATCH_COLUMNS} FROM b GROUP BY topic, batch_id)
-SELECT topic, batch_id, count, raw_len, first_us / 1000000.0 AS t0, last_us / 1000000.0 AS t1 FROM x
-WHERE count >= 20 OR ceil((first_us + {6 * HOUR_US}) / 1000) <= (SELECT max(us) // 1000 FROM m)
-  OR batch_id < (SELECT max(batch_id) FROM x z WHERE z.topic = x.topic)""")
+SELECT topic, batch_id, count, raw_len, first_us / 1000000.0 AS t0, last_us / 1000000.0 AS t1 FROM x""")
 def streamed_batches(spark, root):
-    valid = ingest(_stream_messages(spark, root)).filter(F.col("error").isNull())
-    return run_available(stream_batches(valid, 20, 6 * 3_600_000), "batches").drop("payload")
+    """All messages, some files late; a last row per topic ends the input, so the open batches come out as well."""
+    messages = i.messages(spark, root).select("topic", "ts", "seq", "msg")
+    ends = messages.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("msg", F.lit(None).cast("string"))
+    stream, delay = _late_files(spark, messages, ends)
+    valid = ingest(stream).filter(F.col("error").isNull() | F.col("msg").isNull()).drop("error")
+    return run_available(stream_batches(valid, 20, 6 * 3_600_000, delay_ms=delay), "batches").drop("payload")
 
 
 @query(f"""WITH {i.FLUSHED}, x AS (SELECT topic, us // {6 * HOUR_US} AS k, {TOTALS},
   round(sum(raw_len) / 1048576 / (sum(flush_ms) / 1000), 6) AS throughput_mbps FROM f GROUP BY ALL)
-SELECT k * {6 * HOUR_US} AS start_us, x.* EXCLUDE (k) FROM x WHERE (k + 1) * {6 * HOUR_US // 1000} <= (SELECT max(us) // 1000 FROM f)""")
+SELECT k * {6 * HOUR_US} AS start_us, x.* EXCLUDE (k) FROM x""")
 def streamed_metrics(spark, root):
-    rows = _stream(spark, root).select(
-        F.col("event_type").alias("topic"), "ts", (F.col("user_id") % 7 + 1).alias("count"),
-        (F.col("user_id") % 7 * 100 + 200).alias("raw_len"), F.floor("value").alias("comp_len"), F.col("value").alias("flush_ms"))
-    out = run_available(stream_metrics(rows, "6 hours"), "metrics")
+    """Sums per micro-batch, added up: late files count in full."""
+    rows = i.flushed(spark, root).select("topic", "ts", "seq", "count", "raw_len", "comp_len", "flush_ms")
+    stream, _ = _late_files(spark, rows)
+    parts = scratch_path(spark, "metric-parts")
+    run_each(stream, "metrics", metrics_sink(parts, "1", "6 hours"))
+    out = window_metrics(spark, parts)
     out = out.withColumn("start_us", F.unix_micros("window_start")).drop("window_start", "window_end")
     return _rounded(out, "compression_ratio", "avg_flush_duration_ms", "throughput_mbps")
 
@@ -1095,7 +1137,7 @@ def streamed_decoding(spark, root):
     frames = frames.withColumn("hmac", F.when(F.col("batch_id") % 3 == 0, F.lit("00")).otherwise(F.col("hmac")))
     stored = scratch_table(frames, "frames")
     stream = spark.readStream.schema(stored.schema).parquet(stored.inputFiles()[0].rsplit("/", 1)[0])
-    run_each(stream, "decode", decode_sink(out, lambda s: current_registry(s, registry_root), KEY))
+    run_each(stream, "decode", decode_sink(out, lambda s: current_registry(s, registry_root), KEY, run="1"))
     lines = spark.read.option("basePath", f"{out}/lines").text(f"{out}/lines")
     return lines.select("topic", F.col("value").alias("msg"))
 

@@ -31,25 +31,56 @@ def ingest(
         msg, F.coalesce(F.col(msg), F.col("_original"))).drop("_original")
 
 
-def stream_metrics(batches: DataFrame, period: str = "60 seconds", delay: str = "0 seconds") -> DataFrame:
+_PARTS = ("count", "raw_len", "comp_len", "flush_ms")
+
+
+def _shown(windows: DataFrame) -> DataFrame:
+    """Derived columns of window totals, and the ends of the window as columns."""
+    rows = windows.withColumns({**_derived(), "throughput_mbps": _flush_throughput()}).drop("_flush_ms")
+    return rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "*").drop("window")
+
+
+def stream_metrics(batches: DataFrame, period: str = "60 seconds", *, delay: str) -> DataFrame:
     """Topic metrics per tumbling window of a stream of batches (topic, ts, count, raw_len, comp_len, flush_ms).
 
-    A window is final, and in append mode given out, once the watermark has passed its end.
+    A window is final, and in append mode given out, once the watermark has passed its end. Rows that are more than
+    *delay* late are lost to it: where that may not be, use ``metrics_sink``.
+    """
+    return _shown(batches.withWatermark("ts", delay).groupBy(F.window("ts", period), "topic").agg(*_totals()))
+
+
+def metrics_sink(root: str, run: str, period: str = "60 seconds") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes the sums of each micro-batch per window and topic below *root*.
+
+    However late a row is, it counts; ``window_metrics`` adds the parts up. A repeated micro-batch overwrites its own
+    part. *run* names the checkpoint: give the same one after a restart from it, another one otherwise.
     """
-    return (
-        batches.withWatermark("ts", delay).groupBy(F.window("ts", period), "topic").agg(*_totals())
-        .withColumns({**_derived(), "throughput_mbps": _flush_throughput()}).drop("_flush_ms")
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "*").drop("window")
-    )
+    def write(batches: DataFrame, batch: int) -> None:
+        sums = batches.groupBy(F.window("ts", period).alias("window"), "topic").agg(
+            *[F.sum(c).alias(c) for c in _PARTS], F.count(F.lit(1)).alias("flushes"))
+        sums.write.mode("overwrite").parquet(f"{root}/run={run}/batch={batch}")
+
+    return write
+
+
+def window_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """Topic metrics per window, as ``stream_metrics`` has them, from all parts that ``metrics_sink`` has written."""
+    parts = spark.read.option("basePath", root).parquet(f"{root}/run=*/batch=*")
+    sums = parts.groupBy("window", "topic").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+          for c, name in (("count", "messages_processed"), ("raw_len", "bytes_in"), ("comp_len", "bytes_out"))],
+        F.sum("flushes").alias("flush_count"), F.coalesce(F.sum("flush_ms"), F.lit(0)).cast("double").alias("_flush_ms"))
+    return _shown(sums)
 
 
 def decode_sink(
-    root: str, registry: Callable[[SparkSession], DataFrame], key: str | None = None, algo: str = "sha256"
+    root: str, registry: Callable[[SparkSession], DataFrame], key: str | None = None, algo: str = "sha256", *, run: str
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that writes lines, metrics and rejected frames below *root*.
 
     *registry* is asked once per micro-batch, so new dictionaries are used without a restart while retired ones still
-    decode. Each output of a micro-batch has its own directory that a repeated attempt overwrites.
+    decode. Each output of a micro-batch has its own directory that a repeated attempt overwrites. *run* names the
+    checkpoint, whose micro-batches are numbered from 0: give the same one after a restart from it, another one otherwise.
     """
 
     def write(frames: DataFrame, batch: int) -> None:
@@ -68,9 +99,9 @@ def decode_sink(
             rejected = rejected.unionByName(broken, allowMissingColumns=True)
         try:
             lines = decoded.lines.select("topic", F.col("msg").alias("value")).hint("rebalance", F.col("topic"))
-            lines.write.mode("overwrite").partitionBy("topic").text(f"{root}/lines/batch={batch}")
-            frame_metrics(decoded.frames).write.mode("overwrite").option("header", True).csv(f"{root}/metrics/batch={batch}")
-            rejected.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch}")
+            lines.write.mode("overwrite").partitionBy("topic").text(f"{root}/lines/run={run}/batch={batch}")
+            frame_metrics(decoded.frames).write.mode("overwrite").option("header", True).csv(f"{root}/metrics/run={run}/batch={batch}")
+            rejected.write.mode("overwrite").parquet(f"{root}/rejected/run={run}/batch={batch}")
         finally:
             for df in kept:
                 df.unpersist()
@@ -141,11 +172,12 @@ def run_available(stream: DataFrame, label: str, path: str | None = None) -> Dat
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def run_each(stream: DataFrame, label: str, function: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream over what is there now through a ``foreachBatch`` function."""
+def run_each(stream: DataFrame, label: str, function: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
+    """Run a stream over what is there now through a ``foreachBatch`` function, from *checkpoint* on or in a new one."""
+    checkpoint = checkpoint or scratch_path(stream.sparkSession, label) + "-checkpoint"
     with rocksdb_state(stream.sparkSession):
         query = (
             stream.writeStream.foreachBatch(function).trigger(availableNow=True)
-            .option("checkpointLocation", scratch_path(stream.sparkSession, label) + "-checkpoint").start()
+            .option("checkpointLocation", checkpoint).start()
         )
         query.awaitTermination()

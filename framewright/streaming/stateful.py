@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,91 +14,113 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.breaker import VARIANTS, Rules, _Machine
 
 
+_NEVER, _ALWAYS = -(1 << 62), 1 << 62
+
+
 def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key in one micro-batch by time and sequence."""
     return pd.concat(list(parts), ignore_index=True).sort_values(["us", "seq"], kind="stable")
 
 
 class _Batcher(StatefulProcessor):
-    def __init__(self, keys: list[str], batch_max: int, span_us: int):
-        self.keys, self.batch_max, self.span = keys, batch_max, span_us
+    """Rows that no closed batch has yet, put in order as far as they can be final.
+
+    A row is final once a row of its key is *delay* younger. Rows that come after younger ones have become final join at
+    the end of those. A batch closes by its number of rows, or when a final row, or the delay, has passed its deadline.
+    """
+
+    def __init__(self, keys: list[str], batch_max: int, span_us: int, delay_us: int, idle_ms: int | None):
+        self.keys, self.batch_max, self.span, self.delay, self.idle = keys, batch_max, span_us, delay_us, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lines = handle.getListState("lines", "us BIGINT, seq BIGINT, msg STRING")
-        self.opened = handle.getValueState("opened", "us BIGINT, count INT, position BIGINT, deadline BIGINT")
+        self.lines = handle.getListState("lines", "at BIGINT, us BIGINT, seq BIGINT, msg STRING")
+        self.place = handle.getValueState("place", "newest BIGINT, final BIGINT, position BIGINT, timer BIGINT")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        done: list[dict] = []
+    def _restored(self) -> tuple[pd.DataFrame, tuple]:
         held = list(self.lines.get()) if self.lines.exists() else []
-        state = self.opened.get() if self.opened.exists() else None
-        start, position, timer = (state[0], state[2], state[3]) if state else (None, 0, -1)
-        first = position - len(held) + 1
-        data = _in_order(rows)
-        for us, seq, msg in zip(data["us"].tolist(), data["seq"].tolist(), data["msg"].tolist()):
-            if held and us >= start + self.span:
-                done.append(self._batch(key, first, held))
-                held = []
-            position += 1
-            if not held:
-                start, first = us, position
-            held.append((us, seq, msg))
-            if len(held) >= self.batch_max:
-                done.append(self._batch(key, first, held))
-                held = []
-        deadline = -1
-        if held:
-            deadline = -((start + self.span) // -1000)
-        if timer != deadline:
-            if timer >= 0:
-                self.handle.deleteTimer(timer)
-            if deadline >= 0:
-                self.handle.registerTimer(deadline)
-        if held:
-            self.lines.put(held)
+        place = self.place.get() if self.place.exists() else (_NEVER, _NEVER, 0, -1)
+        return pd.DataFrame(held, columns=["at", "us", "seq", "msg"]), place
+
+    def _kept(
+        self, key: Any, rows: pd.DataFrame, newest: int, passed: int, position: int, horizon: int, timer: int
+    ) -> Iterator[pd.DataFrame]:
+        """Give out the batches that are closed at *horizon* and keep the other rows."""
+        rows = rows.sort_values(["at", "us", "seq"], kind="stable")
+        at = rows["at"].to_numpy()
+        final = int(np.searchsorted(at, horizon, side="right"))
+        done, start = [], 0
+        while start < final:
+            end = min(start + self.batch_max, int(np.searchsorted(at[:final], at[start] + self.span, side="left")))
+            if end - start < self.batch_max and end == final and horizon < at[start] + self.span:
+                break
+            done.append(self._batch(key, position + start + 1, rows.iloc[start:end]))
+            start = end
+        rows = rows.iloc[start:]
+        if len(rows):
+            self.lines.put(list(zip(*[rows[c].tolist() for c in ("at", "us", "seq", "msg")])))
         else:
             self.lines.clear()
-        self.opened.update((start if held else 0, len(held), position, deadline))
+        passed = max(passed, int(at[final - 1])) if final else passed
+        self.place.update((newest, passed, position + start, timer))
         if done:
             yield pd.DataFrame(done)
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held, (newest, passed, position, timer) = self._restored()
+        data = pd.concat(list(rows), ignore_index=True)
+        ended = bool(data["msg"].isna().any())
+        data = data[data["msg"].notna()]
+        if len(data):
+            newest = max(newest, int(data["us"].max()))
+        data = data.assign(at=data["us"].clip(lower=passed))[["at", "us", "seq", "msg"]]
+        if self.idle is not None:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(timer)
+        horizon = _ALWAYS if ended else newest - self.delay
+        both = data if held.empty else pd.concat([held, data], ignore_index=True)
+        yield from self._kept(key, both, newest, passed, position, max(horizon, passed), timer)
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        start, _, position, deadline = self.opened.get()
-        held = list(self.lines.get()) if self.lines.exists() else []
-        if held and deadline == expiredTimerInfo.getExpiryTimeInMs():
-            self.lines.clear()
-            self.opened.update((0, 0, position, -1))
-            yield pd.DataFrame([self._batch(key, position - len(held) + 1, held)])
+        held, (newest, passed, position, timer) = self._restored()
+        if timer == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._kept(key, held, newest, passed, position, _ALWAYS, -1)
 
-    def _batch(self, key: tuple, first: int, held: list) -> dict:
-        text = "".join(f"{row[2]}\n" for row in held).encode()
+    def _batch(self, key: tuple, first: int, rows: pd.DataFrame) -> dict:
+        text = "".join(f"{m}\n" for m in rows["msg"]).encode()
         return {
-            **dict(zip(self.keys, key)), "batch_id": first, "count": len(held), "raw_len": len(text),
-            "t0": held[0][0] / 1e6, "t1": held[-1][0] / 1e6, "payload": text}
+            **dict(zip(self.keys, key)), "batch_id": first, "count": len(rows), "raw_len": len(text),
+            "t0": int(rows["us"].iloc[0]) / 1e6, "t1": int(rows["us"].iloc[-1]) / 1e6, "payload": text}
 
     def close(self) -> None:
         pass
 
 
 def stream_batches(
-    messages: DataFrame, batch_max: int = 100, batch_ms: float = 250, *, delay: str = "0 seconds", shard: str | None = None
+    messages: DataFrame, batch_max: int = 100, batch_ms: float = 250, *, delay_ms: float, idle_ms: int | None = None,
+    shard: str | None = None,
 ) -> DataFrame:
     """Count-or-age batches of a stream (topic, ts, seq, msg), as ``assign_batches`` in mode ``timer`` forms them.
 
-    A batch also closes when the watermark passes its deadline, although no message arrives. *delay* is how long late
-    messages are waited for. State is one open batch per key; the rows of a key in one micro-batch are put in order in
-    memory, so limit the size of a micro-batch at the source. A topic that is too much for one task needs a *shard*
-    column: each shard then forms batches of its own.
+    No message is dropped. Those that are up to *delay_ms* older than the newest of their topic are put in order, so the
+    batches equal those of the whole table; older ones still join the batches that are open when they come. State is the
+    open batch and the messages of the last *delay_ms* of a key.
+
+    A row whose msg is null ends the input of its key: all that is held comes out. So it does when no message has
+    arrived for *idle_ms* of processing time. A topic that is too much for one task needs a *shard* column: each shard
+    then forms batches of its own.
     """
     keys = ["topic", *([shard] if shard else [])]
-    rows = messages.withWatermark("ts", delay).select(
-        *keys, "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "msg")
+    rows = messages.select(*keys, F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "msg")
     out = T.StructType([
         *[rows.schema[k] for k in keys],
         *T.StructType.fromDDL(
             "batch_id BIGINT, count BIGINT, raw_len BIGINT, t0 DOUBLE, t1 DOUBLE, payload BINARY").fields])
-    processor = _Batcher(keys, batch_max, int(round(batch_ms * 1000)))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    processor = _Batcher(keys, batch_max, int(round(batch_ms * 1000)), int(round(delay_ms * 1000)), idle_ms)
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", mode)
 
 
 class _Monitor(StatefulProcessor):

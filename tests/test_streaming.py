@@ -12,7 +12,7 @@ from framewright.operators.registry import active_versions, publish_versions
 from framewright.functions.auth import sign_frames
 from framewright.sources.registry_store import current_registry, publish_snapshot
 from framewright.streaming.flows import (
-    decode_sink, ingest, retrain_step, run_available, run_each, stream_metrics)
+    decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, stream_metrics, window_metrics)
 from framewright.streaming.stateful import stream_batches, stream_breaker, stream_monitor
 
 
@@ -35,19 +35,56 @@ def messages(spark, n=120, seed=1):
     return df.withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
+def ended(df):
+    """A last row without a message per topic."""
+    return df.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("msg", F.lit(None).cast("string"))
+
+
+def in_files(spark, parts, path):
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/f{k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+def all_batches(rows):
+    return {(r.topic, r.batch_id): (r["count"], r.raw_len, r.t0, r.t1, bytes(r.payload)) for r in rows.collect()}
+
+
 def test_stream_batches_equal_batch_form(spark, tmp_path):
-    df = messages(spark)
-    got = run_available(stream_batches(as_stream(spark, df, str(tmp_path / "in")), 7, 20), "batches")
-    seen = {(r.topic, r.batch_id): (r["count"], r.raw_len, r.t0, r.t1, bytes(r.payload)) for r in got.collect()}
-    expected = {
-        (r.topic, r.batch_id): (r["count"], r.raw_len, r.t0, r.t1, bytes(r.payload))
-        for r in build_batches(assign_batches(df, 7, 20)).collect()}
-    assert got.count() == len(seen)
-    end = df.agg(F.unix_micros(F.max("ts"))).first()[0] / 1e6
-    waiting = {k for k, v in expected.items() if v[0] < 7 and v[2] + 0.020 > end}
-    last = {t: max(b for topic, b in expected if topic == t) for t in "ab"}
-    assert all(last[t] == b for t, b in waiting)
-    assert seen == {k: v for k, v in expected.items() if k not in waiting}
+    """Rows late by up to three micro-batches, and the open batches at the end."""
+    df = messages(spark).cache()
+    late = F.floor(F.col("seq") / 20) + F.when(F.col("seq") % 7 == 0, 3).when(F.col("seq") % 5 == 0, 1).otherwise(0)
+    parts = [df.filter(late == k) for k in range(9)]
+    got = run_available(stream_batches(in_files(spark, [*parts, ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=2_000), "batches")
+    assert got.count() == len(all_batches(got))
+    assert all_batches(got) == all_batches(build_batches(assign_batches(df, 7, 20)))
+
+
+def test_stream_batches_lose_no_late_row(spark, tmp_path):
+    """Without a delay late rows can't be put in order, but in equals out."""
+    df = messages(spark).cache()
+    parts = [df.filter(F.col("seq") % 4 == k) for k in (3, 0, 2, 1)]
+    got = run_available(stream_batches(in_files(spark, [*parts, ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=0), "batches")
+    lines = sorted(x for r in got.collect() for x in bytes(r.payload).decode().split("\n")[:-1])
+    assert lines == sorted(r.msg for r in df.collect()) and got.agg(F.sum("count")).first()[0] == 120
+    assert got.filter("count > 7").isEmpty()
+    ids = [r.batch_id for r in got.filter("topic = 'a'").orderBy("batch_id").collect()]
+    assert len(ids) == len(set(ids))
+
+
+def test_metrics_sink_counts_late_rows(spark, tmp_path):
+    df = messages(spark).select(
+        "topic", "ts", "seq", F.lit(2).cast("long").alias("count"), (F.col("seq") + 10).alias("raw_len"),
+        F.lit(5).cast("long").alias("comp_len"), F.lit(1.5).alias("flush_ms")).cache()
+    parts = [df.filter(F.col("seq") % 4 == k) for k in (3, 0, 2, 1)]
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    run_each(in_files(spark, parts, str(tmp_path / "in")), "m", metrics_sink(out, "a", "100 milliseconds"), check)
+    # the same checkpoint has nothing more to read; another run adds to it
+    run_each(in_files(spark, parts[:1], str(tmp_path / "in2")), "m", metrics_sink(out, "b", "100 milliseconds"))
+    both = df.unionByName(parts[0])
+    expected = both.groupBy(F.window("ts", "100 milliseconds").start.alias("w"), "topic").agg(F.sum("raw_len"), F.count(F.lit(1)))
+    got = window_metrics(spark, out).select("window_start", "topic", "bytes_in", "flush_count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
 def test_stream_monitor_equals_batch_form(spark, tmp_path):
@@ -79,7 +116,7 @@ def test_stream_metrics(spark, tmp_path):
         F.lit("a").alias("topic"), F.timestamp_micros(F.col("id") * 10_000_000).alias("ts"), F.col("id").alias("seq"),
         F.lit(2).cast("long").alias("count"), F.lit(10).cast("long").alias("raw_len"),
         F.lit(5).cast("long").alias("comp_len"), F.lit(1.0).alias("flush_ms"))
-    rows = run_available(stream_metrics(as_stream(spark, df, str(tmp_path / "in"))), "metrics").collect()
+    rows = run_available(stream_metrics(as_stream(spark, df, str(tmp_path / "in")), delay="0 seconds"), "metrics").collect()
     assert len(rows) == 16 and {(r.flush_count, r.messages_processed, r.compression_ratio) for r in rows} == {(6, 12, 0.5)}
 
 
@@ -101,7 +138,7 @@ def test_decode_sink_and_refresh(spark, tmp_path):
     root = str(tmp_path / "registry")
     publish_snapshot(publish_versions(first, train_dicts(df, 300).filter("error is null"), 2.0), root)
     out = str(tmp_path / "out")
-    sink = decode_sink(out, lambda s: current_registry(s, root), key)
+    sink = decode_sink(out, lambda s: current_registry(s, root), key, run="1")
     run_each(as_stream(spark, frames, str(tmp_path / "in")), "decode", sink)
     bad = frames.filter("seq = 0").first()
     assert spark.read.text(out + "/lines").count() == 300 - bad["count"]
@@ -110,7 +147,12 @@ def test_decode_sink_and_refresh(spark, tmp_path):
     assert metrics.count() == frames.count() - 1
     sink(frames.filter("seq > 0"), 0)
     sink(frames.filter("seq > 0"), 0)
-    assert spark.read.text(out + "/lines/batch=0").count() == 300 - bad["count"]
+    assert spark.read.text(out + "/lines/run=1/batch=0").count() == 300 - bad["count"]
+    # another run starts at micro-batch 0 again and leaves the first one's output alone
+    before = spark.read.text(out + "/lines/run=1").count()
+    decode_sink(out, lambda s: current_registry(s, root), key, run="2")(frames.filter("seq > 0"), 0)
+    assert spark.read.text(out + "/lines/run=1").count() == before
+    assert spark.read.text(out + "/lines/run=2").count() == 300 - bad["count"]
 
 
 def test_retrain_step(spark, tmp_path):
