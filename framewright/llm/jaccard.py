@@ -7,8 +7,8 @@ compared, and what remains is verified on the full sets.
 A prefix holds the rarest shingles, by classes of an approximate frequency, then by hash. Any such order gives exact
 results; this one keeps common passages out of the prefixes.
 
-Groups of copies don't become all pairs: a first round only tests neighbours in the lists of a shingle, and a second one
-all pairs whose members are still in different components. So no link between two components is lost.
+Groups of copies don't become all pairs: a first round only tests each document of a shingle's list with the first and
+the one before it, and a second round all pairs whose members are still in different components. So no link between two components is lost.
 """
 
 from __future__ import annotations
@@ -168,20 +168,23 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     groups = scratch_table(groups.select("n", "prefix_digest", "gid", "members", *[F.when(F.col("members") == 1, F.col(p)).alias(p) for p in _PARITY]), "groups")
     members = classes.join(groups.where("members > 1").select("n", "prefix_digest", "gid"), ["n", "prefix_digest"]).select("gid", "rep", "n", *_PARITY)
 
-    # lists of the groups that share a prefix shingle, with the neighbour before each in order of size
+    # lists of the groups that share a prefix shingle
     entries = (found.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
                .where("doc_id = gid").select("gid", "n", F.explode("prefix").alias("shingle")))
-    in_list = Window.partitionBy("shingle").orderBy("n", "gid")
-    lists = entries.select(
-        "shingle", "gid", "n", F.lag(F.struct("gid", "n")).over(in_list).alias("before"),
-        F.lead("gid").over(in_list).alias("after"))
-    lists = scratch_table(lists.where("before is not null or after is not null").drop("after"), "lists")
+    in_list = Window.partitionBy("shingle").orderBy("gid")
+    lists = entries.select("shingle", "gid", "n", F.lag("gid").over(in_list).alias("before"), F.lead("gid").over(in_list).alias("after"))
+    lists = scratch_table(lists.where("before is not null or after is not null").drop("before", "after"), "lists")
 
-    # first round: neighbours that meet in many lists, and the members of a group with its first
+    # first round: groups with the one before them and the first one in a list, and the members of a group with its
+    # first. Groups with the most company come first: what copies were made from rather than copies with many changes
     info = groups.select("gid", "n", *_PARITY)
-    neighbours = (lists.where("before is not null and before.gid <> gid")
-                  .groupBy(F.least("gid", "before.gid").alias("a"), F.greatest("gid", "before.gid").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("common"), F.first(F.col("before.n")).alias("na"), F.first("n").alias("nb")))
+    company = lists.join(lists.groupBy("gid").agg(F.count(F.lit(1)).alias("shared")), "gid")
+    by_company = Window.partitionBy("shingle").orderBy(F.col("shared").desc(), "gid")
+    other = F.struct("gid", "n")
+    met = company.select("gid", "n", F.array(F.lag(other).over(by_company), F.first(other).over(by_company)).alias("others"))
+    met = met.select("gid", "n", F.explode(F.array_distinct("others")).alias("other")).where("other.gid <> gid")
+    neighbours = (met.groupBy(F.least("gid", "other.gid").alias("a"), F.greatest("gid", "other.gid").alias("b"))
+                  .agg(F.count(F.lit(1)).alias("common"), F.first("other.n").alias("na"), F.first("n").alias("nb")))
     neighbours = neighbours.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("a", "b")
     neighbours = (neighbours.join(info.alias("x"), F.col("a") == F.col("x.gid")).join(info.alias("y"), F.col("b") == F.col("y.gid"))
                   .where(_close("x", "y", least)).select("a", "b"))
@@ -196,7 +199,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     member_of = scratch_table(member_of, "members")
     whole = member_of.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("most"))
     whole = groups.join(whole, "gid").select("gid", *_PARITY, F.when(F.col("comp") == F.col("most"), F.col("comp")).alias("comp"))
-    told = lists.drop("before").join(whole, "gid")
+    told = lists.join(whole, "gid")
     apart = F.coalesce(F.col("x.comp") != F.col("y.comp"), F.lit(True))
     pairs = (told.alias("x").join(told.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
                                   & apart & _close("x", "y", least))

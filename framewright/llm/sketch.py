@@ -60,6 +60,8 @@ def bucket_counts(docs: DataFrame, text_col: str, items: Callable[[list[bytes]],
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
-    """0 for buckets up to twice the mean, then one more for every doubling; one byte each."""
-    mean = max(counts.mean(), 1.0)
-    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.uint8)
+    """0 for buckets whose excess over the mean may be chance, then one more for every doubling of it; one byte each."""
+    mean = counts.mean()
+    chance = 3 * np.sqrt(mean) + 1
+    excess = np.maximum((counts - mean) / chance, 0.5)
+    return np.maximum(np.floor(np.log2(excess)) + 1, 0).astype(np.uint8)
