@@ -26,7 +26,7 @@ from .sources.files import (
     log_events, read_log_events, read_messages, read_samples, read_timeline, sample_files)
 from .sources.frames import encode_frames, read_frame_table, read_frames, split_frames
 from .sources.registry_store import (
-    current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index, write_dict_index)
+    current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index, write_dict_files, write_dict_index)
 from .sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
 from .streaming.flows import (
     decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, stream_metrics, window_metrics)

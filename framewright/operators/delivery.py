@@ -24,17 +24,26 @@ def evict_pending(
 
     With *exact* just as many of the oldest are dropped as it takes to fit the cap. A store within the cap is returned
     whole. *size* overrides the bytes of a frame, by default the length of its payload.
+
+    Only time, id and size are put in order, to find the newest frame that goes; the store itself is filtered by it.
     """
     size = (F.octet_length(payload) if size is None else size).cast("long")
-    if exact:
-        newest_first = [F.col("timestamp").desc(), F.col("id").desc()]
-        rows = order_rows(pending.withColumn("_size", size), [], newest_first, chunk_rows=chunk_rows, strategy=strategy)
-        return running_sums(rows, _total="_size").result().filter(F.col("_total") <= max_bytes).drop("_size", "_total")
-    count, total = pending.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    narrow = pending.select("timestamp", "id", size.alias("_size"))
+    count, total = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     if total <= max_bytes:
         return pending
-    rows = order_rows(pending, [], ["timestamp", "id"], chunk_rows=chunk_rows, strategy=strategy)
-    return rows.on(rows.df.filter(F.col(N) > max(1, count // 10))).result()
+    if exact:
+        newest_first = [F.col("timestamp").desc(), F.col("id").desc()]
+        rows = order_rows(narrow, [], newest_first, chunk_rows=chunk_rows, strategy=strategy)
+        gone = running_sums(rows, _total="_size").result().filter(F.col("_total") > max_bytes)
+        last = gone.agg(F.max(F.struct("timestamp", "id")).alias("x")).first().x
+    else:
+        rows = order_rows(narrow, [], ["timestamp", "id"], chunk_rows=chunk_rows, strategy=strategy)
+        last = rows.df.filter(F.col(N) == max(1, count // 10)).select("timestamp", "id").first()
+    # a frame without a time counts as older than all others
+    same = F.col("timestamp").eqNullSafe(F.lit(last.timestamp)) & (F.col("id") > last.id)
+    younger = F.col("timestamp").isNotNull() if last.timestamp is None else F.col("timestamp") > F.lit(last.timestamp)
+    return pending.filter(younger | same)
 
 
 def pending_stats(pending: DataFrame, now: float | Column, payload: str = "payload") -> DataFrame:

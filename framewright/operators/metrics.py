@@ -125,7 +125,12 @@ def running_metrics(
     batches: DataFrame, order: Sequence[str] = ("ts", "seq"), *, by_topic: bool = True, chunk_rows: int = CHUNK_ROWS,
     strategy: str = "auto",
 ) -> DataFrame:
-    """Add the cumulative messages, bytes, batch count and ratio after each batch, per topic or over all topics."""
+    """Add the cumulative messages, bytes, batch count and ratio after each batch, per topic or over all topics.
+
+    Over all topics there is no key to divide the rows by, so they always run in chunks unless *strategy* says otherwise.
+    """
+    if not by_topic and strategy == "auto":
+        strategy = "chunked"
     rows = order_rows(batches, ["topic"] if by_topic else [], order, chunk_rows=chunk_rows, strategy=strategy)
     rows = running_sums(rows, cum_messages="count", cum_bytes_in="raw_len", cum_bytes_out="comp_len")
     return rows.add(

@@ -29,7 +29,7 @@ from ..schemas import REGISTRY as REGISTRY_SCHEMA, SENSOR
 from ..session import scratch_path, scratch_table
 from ..sources.files import log_events, read_messages, read_samples, read_timeline
 from ..sources.frames import encode_frames, read_frame_table, read_frames, split_frames
-from ..sources.registry_store import current_registry, index_entries, index_json, publish_snapshot
+from ..sources.registry_store import current_registry, index_entries, index_json, publish_snapshot, write_dict_files
 from ..sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
 from ..streaming.flows import decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, window_metrics
 from ..streaming.stateful import stream_batches, stream_breaker, stream_monitor
@@ -643,6 +643,21 @@ def dictionary_index(spark, root):
     return rows.withColumn("version", F.col("version").cast("long"))
 
 
+@query(f"""WITH {i.REGISTRY} SELECT v.topic, v.dict_id, v.version, v.size, sha256(d.text) AS content_sha256, v.created_at
+FROM v JOIN documents d ON d.doc_id = v.version
+WHERE retired_at IS NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY version DESC) = 1""")
+def dictionary_files(spark, root):
+    """Active dictionaries written as files with an index, in two steps that the index merges, and read back."""
+    path, active = scratch_path(spark, "dicts"), active_versions(i.document_registry(spark, root))
+    even = F.length("topic") % 2 == 0
+    write_dict_files(active.filter(even).withColumn("created_at", F.lit(0.0)), path)
+    write_dict_files(active.filter(~even), path)
+    rows = write_dict_files(active.filter(even), path)
+    return rows.select(
+        "topic", "dict_id", F.col("version").cast("long").alias("version"), F.octet_length("dict_bytes").cast("long").alias("size"),
+        F.sha2("dict_bytes", 256).alias("content_sha256"), "created_at")
+
+
 # Ratio monitoring
 
 EMA = f"""WITH RECURSIVE {i.SERIES},

@@ -7,11 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..schemas import TIMELINE
 
 
-def read_samples(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+#: Sample files: those of that name, and those that ``write_topic_jsonl`` writes.
+SAMPLES = "{*.jsonl,part-*.txt}"
+
+
+def read_samples(spark: SparkSession, root: str, pattern: str = SAMPLES) -> DataFrame:
     """Sample files laid out as root/topic/*.jsonl: topic, path and msg, one row per line.
 
     The topic is the directory name; directories without such files do not appear. What ``write_topic_jsonl`` wrote is
-    read with the pattern ``*.txt``.
+    read as well.
     """
     path = F.col("_metadata.file_path")
     return (
@@ -20,9 +24,9 @@ def read_samples(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Da
     )
 
 
-def sample_files(spark: SparkSession, root: str) -> DataFrame:
+def sample_files(spark: SparkSession, root: str, pattern: str = SAMPLES) -> DataFrame:
     """Sample files with their size, as ``budget_prefix`` needs them: topic, path, length."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(f"{root.rstrip('/')}/*")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root.rstrip('/')}/*")
     return files.select(topic_of(F.col("path")).alias("topic"), "path", "length")
 
 

@@ -63,24 +63,82 @@ def write_dict_index(active: DataFrame, path: str, directory: str = ".") -> None
     index_json(active, directory).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_dict_files(active: DataFrame, directory: str) -> DataFrame:
+    """Write the dictionaries of *active* (one row per topic) and add them to the index in *directory*.
+
+    Files are named by topic and version; topics that the index already has are replaced in it, others stay. Dictionaries
+    go one by one through the session's file system, and the index, one JSON object by its format, comes last, so
+    a reader never finds a name without a file. Returns the entries that are in the index now.
+    """
+    spark, root = active.sparkSession, directory.rstrip("/")
+    active = active.select("topic", "version", "dict_id", "dict_bytes", "created_at")
+    for row in active.select(dict_file_name(F.col("topic"), F.col("version")).alias("name"), "dict_bytes").toLocalIterator():
+        _write_file(spark, f"{root}/{row.name}", bytes(row.dict_bytes))
+    if _exists(spark, f"{root}/{INDEX_FILE}"):
+        there = read_dict_index(spark, root).join(active.select("topic"), "topic", "left_anti").drop("dict_bytes")
+    else:
+        there = index_entries(spark.createDataFrame([], "value string"))
+    fresh = index_entries(index_json(active, root))
+    merged = there.select(*fresh.columns).unionByName(fresh)
+    entry = F.struct(*[c for c in fresh.columns if c != "topic"])
+    entries = F.array_sort(F.collect_list(F.struct("topic", entry.alias("entry"))))
+    text = merged.agg(F.to_json(F.map_from_entries(entries)).alias("value")).first().value
+    _write_file(spark, f"{root}/{INDEX_FILE}", text.encode())
+    return read_dict_index(spark, root)
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file(spark, path)
+    return system.exists(where)
+
+
+def _write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    system, where = _file(spark, path)
+    stream = system.create(where, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 # Snapshots: a registry changes by writing a new directory and then naming it in a small pointer table.
 
 
-def publish_snapshot(registry: DataFrame, root: str) -> str:
-    """Write a registry snapshot, then make it the current one. Readers see the old or the new one, never a mix."""
+class MovedOn(RuntimeError):
+    """Another snapshot was published since the one that a change was based on."""
+
+
+def publish_snapshot(registry: DataFrame, root: str, based_on: str | None = None) -> str:
+    """Write a registry snapshot, then make it the current one. Readers see the old or the new one, never a mix.
+
+    With *based_on*, the name of the snapshot that was changed, it is only published while that one is still current;
+    else ``MovedOn`` is raised and the change has to be made again. Two publishers that look at the same moment can
+    still both go on: where that may happen, let one job publish.
+    """
     root = root.rstrip("/")
     name = uuid.uuid4().hex
     spark = registry.sparkSession
     registry.write.parquet(f"{root}/snapshots/{name}")
+    if based_on is not None and (now := current_name(spark, root)) != based_on:
+        raise MovedOn(f"{now} is current, not {based_on}")
     at = F.unix_micros(F.current_timestamp())
     pointer = spark.range(1).select(F.lit(name).alias("name"), at.alias("published_at"))
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return name
 
 
-def current_registry(spark: SparkSession, root: str) -> DataFrame:
-    """The registry of the newest pointer."""
+def current_name(spark: SparkSession, root: str) -> str:
+    """Name of the snapshot of the newest pointer."""
+    pointers = spark.read.schema("name STRING, published_at BIGINT").parquet(f"{root.rstrip('/')}/pointers")
+    return pointers.orderBy(F.col("published_at").desc(), "name").first().name
+
+
+def current_registry(spark: SparkSession, root: str, name: str | None = None) -> DataFrame:
+    """The registry of the newest pointer, or of the snapshot of that name."""
     root = root.rstrip("/")
-    newest = spark.read.schema("name STRING, published_at BIGINT").parquet(f"{root}/pointers").orderBy(
-        F.col("published_at").desc(), "name").first()
-    return spark.read.schema(REGISTRY).parquet(f"{root}/snapshots/{newest.name}")
+    return spark.read.schema(REGISTRY).parquet(f"{root}/snapshots/{name or current_name(spark, root)}")

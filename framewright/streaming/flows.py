@@ -12,8 +12,8 @@ from ..functions.normalize import VOLATILE, normalize
 from ..operators.codec import DICT_SIZE, decode_frames, train_dicts
 from ..operators.metrics import _derived, _flush_throughput, _totals
 from ..operators.registry import publish_versions, retrain_candidates, sample_window, training_readiness
-from ..session import SETTINGS, broadcast_if_small, scratch_path
-from ..sources.registry_store import current_registry, publish_snapshot
+from ..session import SETTINGS, broadcast_if_small, scratch_path, scratch_table
+from ..sources.registry_store import current_name, current_registry, publish_snapshot
 from ..sources.sinks import frame_metrics
 
 
@@ -127,15 +127,17 @@ def retrain_step(
                 return
             topics = broadcast_if_small(drifted.select("topic").distinct())
             wanted = messages(spark).join(topics, "topic", "left_semi")
-            samples = sample_window(wanted)
+            # written once: readiness and training both read it
+            samples = scratch_table(sample_window(wanted), "samples")
             ready = training_readiness(samples, size)
             chosen = retrain_candidates(drifted, ready, running(spark) if running else None)
             chosen = chosen.filter(F.col("decision") == "retrain").select("topic")
             trained = train_dicts(samples.join(chosen, "topic", "left_semi"), size).filter(F.col("error").isNull())
             trained = trained.select("topic", "dict_bytes").persist()
             if not trained.isEmpty():
-                at = now()
-                publish_snapshot(publish_versions(current_registry(spark, registry_root), trained, at), registry_root)
+                at, before = now(), current_name(spark, registry_root)
+                changed = publish_versions(current_registry(spark, registry_root, before), trained, at)
+                publish_snapshot(changed, registry_root, based_on=before)
                 if on_retrained is not None:
                     on_retrained(current_registry(spark, registry_root).filter(F.col("created_at") == at))
             trained.unpersist()

@@ -20,7 +20,8 @@ from framewright.session import scratch_table
 from framewright.sources.files import read_log_events, read_messages, read_samples, sample_files
 from framewright.sources.frames import encode_frames, read_frame_table, read_frames
 from framewright.sources.registry_store import (
-    current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index, write_dict_index)
+    MovedOn, current_name, current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index,
+    write_dict_files, write_dict_index)
 from framewright.sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
 
 KEY = "0b" * 32
@@ -279,6 +280,28 @@ def test_snapshots(spark, registry, tmp_path):
     assert current_registry(spark, root).count() == 5
 
 
+def test_dictionary_files_and_merged_index(spark, registry, tmp_path):
+    root = str(tmp_path / "dicts")
+    active = active_versions(registry)
+    write_dict_files(active.filter("topic = 'sensors.temp'"), root)
+    read = write_dict_files(active.filter("topic <> 'sensors.temp'"), root)
+    assert {(r.topic, r.dict_id, bytes(r.dict_bytes)) for r in read.collect()} == {
+        (r.topic, r.dict_id, bytes(r.dict_bytes)) for r in active.collect()}
+    later = active.filter("topic = 'sensors.temp'").withColumn("version", F.col("version") + 1)
+    again = {r.topic: r.version for r in write_dict_files(later, root).collect()}
+    assert again["sensors.temp"] == later.first().version and len(again) == active.count()
+    assert tuple(index_report(read_dict_index(spark, root)).first()) == (active.count(), 0)
+
+
+def test_publishing_notices_another_publisher(spark, registry, tmp_path):
+    root = str(tmp_path / "registry")
+    first = publish_snapshot(registry, root)
+    second = publish_snapshot(registry, root, based_on=first)
+    with pytest.raises(MovedOn):
+        publish_snapshot(registry.limit(0), root, based_on=first)
+    assert current_name(spark, root) == second and not current_registry(spark, root).isEmpty()
+
+
 def test_files(spark, tmp_path):
     for topic, n in (("a.b", 2), ("c", 1)):
         folder = tmp_path / "samples" / topic
