@@ -6,18 +6,19 @@ without retired_at is active.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.scalars import dict_id as make_dict_id
-from ..session import BROADCAST_ROWS, broadcast_if_small, join_null_safe
+from ..session import BROADCAST_ROWS, broadcast_if_small, join_null_safe, scratch_table
 from .ordered import CHUNK_ROWS, group_sizes, latest, order_rows, running_sums
 
-#: Sub-groups a topic is spread over before its newest samples are put in order.
+#: Times *max_samples* messages that one task puts in order; more are first spread over sub-groups of that size.
 SAMPLE_SPREAD = 64
-#: Steps the time range of a topic is divided into to find where its newest samples begin.
-SAMPLE_STEPS = 4096
+#: Halvings by which a cut-off may shorten a topic, and the accuracy of the quantiles that it is taken from.
+SAMPLE_HALVINGS, SAMPLE_ACCURACY = 12, 100_000
 #: Versions of one topic up to which looking through all of them beats putting the batches in order.
 LOOKUP_VERSIONS = 64
 
@@ -31,28 +32,30 @@ def sample_window(
 ) -> DataFrame:
     """The newest messages per topic that fit both caps; empty messages do not count.
 
-    For a large topic only messages since a cut-off found by counting are moved at all. Those are spread over sub-groups
-    that each keep their newest *max_samples*, so that what meets in one task is bounded however large the topic is.
+    One pass counts the messages of every topic and takes quantiles of their time; of a large topic only those since a
+    cut-off are moved at all. They are spread over sub-groups that each keep their newest *max_samples*, as often as it
+    takes, so that what meets in one task is bounded however large the topic is and however its times are spread.
     """
     newest = [F.col(c).desc() for c in order]
-    kept = messages.filter(F.octet_length(msg) > 0)
-    if group_sizes(kept, [topic]).largest > SAMPLE_SPREAD * max_samples:
-        kept = _since_cutoff(kept, max_samples, topic, order[0])
-        spread = F.pmod(F.xxhash64(*order), F.lit(SAMPLE_SPREAD))
+    kept, largest = _since_cutoff(messages.filter(F.octet_length(msg) > 0), max_samples, topic, order[0])
+    level = 0
+    while largest > SAMPLE_SPREAD * max_samples:
+        groups, level = math.ceil(largest / (SAMPLE_SPREAD * max_samples)), level + 1
+        spread = F.pmod(F.xxhash64(*order, F.lit(level)), F.lit(groups))
         within = Window.partitionBy(topic, "_spread").orderBy(*newest)
         kept = kept.withColumn("_spread", spread).withColumn("_rank", F.row_number().over(within))
-        kept = kept.filter(F.col("_rank") <= max_samples).drop("_spread")
+        kept, largest = kept.filter(F.col("_rank") <= max_samples).drop("_spread"), groups * max_samples
     whole = Window.partitionBy(topic).orderBy(*newest)
     kept = kept.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= max_samples)
     size = F.sum(F.octet_length(msg).cast("long")).over(whole.rowsBetween(Window.unboundedPreceding, 0))
     return kept.withColumn("_bytes", size).filter(F.col("_bytes") <= max_bytes).drop("_rank", "_bytes")
 
 
-def _since_cutoff(messages: DataFrame, wanted: int, topic: str, at: str) -> DataFrame:
-    """Drop messages that are older than the newest *wanted* of their topic can be.
+def _since_cutoff(messages: DataFrame, wanted: int, topic: str, at: str) -> tuple[DataFrame, int]:
+    """Drop messages that are older than the newest *wanted* of their topic can be; also the most that a topic has left.
 
-    The time range of each topic is divided into equal steps and the messages per step are counted, which combines
-    map-side. The cut-off is the newest step with at least *wanted* messages from its start on, so nothing is lost.
+    The cut-off is the quantile that leaves the smallest power-of-two share with *wanted* messages for certain, its error
+    included. Outliers in time do not move it, and a time that is null counts as oldest.
     """
     kind = messages.schema[at].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -60,17 +63,21 @@ def _since_cutoff(messages: DataFrame, wanted: int, topic: str, at: str) -> Data
     elif isinstance(kind, T.NumericType):
         value = F.col(at).cast("double")
     else:
-        return messages
-    ranges = broadcast_if_small(messages.groupBy(topic).agg(F.min(value).alias("_low"), F.max(value).alias("_high")))
-    width = (F.col("_high") - F.col("_low")) / SAMPLE_STEPS
-    step = F.when(width > 0, F.floor((value - F.col("_low")) / width)).otherwise(F.lit(0))
-    stepped = join_null_safe(messages, ranges, [topic]).withColumn("_step", F.coalesce(step, F.lit(0)))
-    counts = stepped.groupBy(topic, "_step").agg(F.count(F.lit(1)).alias("_count"))
-    newer = F.sum("_count").over(Window.partitionBy(topic).orderBy(F.col("_step").desc()))
-    cutoffs = counts.withColumn("_newer", newer).groupBy(topic).agg(
-        F.coalesce(F.max(F.when(F.col("_newer") >= wanted, F.col("_step"))), F.min("_step")).alias("_cut"))
-    recent = join_null_safe(stepped, broadcast_if_small(cutoffs), [topic]).filter(F.col("_step") >= F.col("_cut"))
-    return recent.drop("_low", "_high", "_step", "_cut")
+        return messages, group_sizes(messages, [topic]).largest
+    shares = [1 - 2.0 ** -k for k in range(1, SAMPLE_HALVINGS + 1)]
+    stats = messages.groupBy(topic).agg(
+        F.count(F.lit(1)).alias("_all"), F.count(value).alias("_n"), F.percentile_approx(value, shares, SAMPLE_ACCURACY).alias("_q"))
+    sure = F.col("_n") / (wanted + 2 + F.col("_n") * (2.0 / SAMPLE_ACCURACY))
+    halvings = F.least(F.floor(F.log2(F.greatest(sure, F.lit(1.0)))), F.lit(SAMPLE_HALVINGS)).cast("int")
+    stats = stats.withColumn("_halvings", halvings)
+    stats = scratch_table(stats.select(
+        topic, F.when(F.col("_halvings") > 0, F.element_at("_q", F.greatest("_halvings", F.lit(1)))).alias("_cut"),
+        F.when(F.col("_halvings") > 0, F.col("_n") / F.pow(F.lit(2.0), "_halvings") + F.col("_n") * (2.0 / SAMPLE_ACCURACY))
+        .otherwise(F.col("_all")).alias("_left")), "cutoffs")
+    largest = stats.agg(F.coalesce(F.max("_left"), F.lit(0.0))).first()[0]
+    recent = join_null_safe(messages, broadcast_if_small(stats), [topic])
+    recent = recent.filter(F.col("_cut").isNull() | (value >= F.col("_cut")))
+    return recent.drop("_cut", "_left"), math.ceil(largest)
 
 
 def sample_stats(

@@ -340,7 +340,10 @@ def test_sample_window_of_a_large_topic(spark, kind, monkeypatch):
     df = spark.createDataFrame(rows, "topic string, at long, seq long, msg string")
     at = {"long": F.col("at"), "timestamp": F.timestamp_micros("at"), "string": F.lpad(F.col("at").cast("string"), 12, "0")}
     kept = sample_window(df.withColumn("ts", at[kind]), 9, 1_000).collect()
-    for topic in "abc":
+    rows += [("d", 10 ** 9 * (k == 0) + k, k, "z") for k in range(300)]  # one time far from all others
+    df = spark.createDataFrame(rows, "topic string, at long, seq long, msg string")
+    kept = sample_window(df.withColumn("ts", at[kind]), 9, 1_000).collect()
+    for topic in "abcd":
         full = sorted((r for r in rows if r[0] == topic and r[3]), key=lambda r: r[1:3])
         assert sorted(r.seq for r in kept if r.topic == topic) == sorted(r[2] for r in full[-9:])
 
