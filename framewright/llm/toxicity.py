@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import byte_texts, small_batches
 
 #: Labelled documents of each class in the training sample, those whose hashed identifiers are smallest.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 2000
 #: Longer documents don't enter the sample.
 SAMPLE_CHARS = 20_000
 #: Words of a window and from one window to the next.
@@ -210,10 +210,11 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
     model = Model(zero, np.zeros((len(GRAMS), BUCKETS), np.float32))
     if len(set(label)) < 2:
         return model
-    flat = [w for t in texts for w in t]
     vocabulary: dict[bytes, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in flat])
-    words, counts = list(vocabulary), np.array([len(t) for t in texts])
+    counts = np.array([len(t) for t in texts])
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t), np.int32, int(counts.sum()))
+    words = list(vocabulary)
+    del texts
     whole, grams = _hash_words(words)
     own = [np.unique(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
     model.word_odds = _odds([np.unique(whole[x]) for x in own], label)
@@ -226,7 +227,7 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
     first, owner = windows_of(counts)
     index = first[:, None] + np.arange(WINDOW)
     ends = np.cumsum(counts)[owner][:, None]
-    index = np.where(index < ends, np.append(ids, 0)[np.minimum(index, len(ids) - 1)], len(words))
+    index = np.where(index < ends, ids[np.minimum(index, len(ids) - 1)], len(words)).astype(np.int32)
 
     rng = np.random.default_rng(SEED)
     shapes = {"A": (2 * HIDDEN, ATTENTION), "a": (ATTENTION,), "v": (ATTENTION,), "o": (2 * HIDDEN,), "c": (1,)}
@@ -266,7 +267,7 @@ def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
     if not counts.sum() or not model.weights:
         return scores
     vocabulary: dict[bytes, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for text in words for w in text])
+    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for text in words for w in text), np.int32, int(counts.sum()))
     rows = inputs(list(vocabulary), model)
     first, owner = windows_of(counts)
     ends = np.cumsum(counts)
