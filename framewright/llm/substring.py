@@ -30,7 +30,7 @@ HOT_COUNT, HOT_MEANS = 4096, 64
 BUCKET_WORDS = 2_000_000
 #: Hot windows that a task remembers, so that it sends them once.
 HOT_KEPT = 100_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 5 << 20
 
 _RUNS = ["key", "doc", "start", "count", "mark"]
 _KINDS = [np.uint32, np.int64, np.int32, np.int32, np.int32]
@@ -96,12 +96,13 @@ def _covered(docs: DataFrame, window: int) -> DataFrame:
             sizes = np.array([len(t) for t in texts], np.int64)
             if len(flat) < window:
                 continue
-            text = b" ".join(flat)
-            ends = np.cumsum([len(w) + 1 for w in flat])
-            offsets = np.concatenate([[0], ends])
-            row = np.repeat(np.arange(len(texts)), sizes)
+            text, words_here = b" ".join(flat), len(flat)
+            offsets = np.zeros(words_here + 1, np.int64)
+            np.cumsum(np.fromiter(map(len, flat), np.int64, words_here) + 1, out=offsets[1:])
+            del flat, texts
+            row = np.repeat(np.arange(len(sizes)), sizes)
             doc, mark = ids[order][row], batch.column("mark").to_numpy()[order][row]
-            place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            place = (np.arange(words_here) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             hashes, _ = word_hashes([text])
             mers = window_hashes(hashes, MER)
             where = sketch.bucket_of(mers)
