@@ -15,6 +15,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from framewright.session import scratch_table
@@ -29,6 +30,8 @@ LEAST_COUNT = 2
 #: Tokens of the corpus per bucket of trigrams.
 BUCKET_TOKENS = 4_000_000
 BATCH_BYTES = 4 << 20
+#: Pairs that a task gathers before it adds them up.
+MERGE_PAIRS = 2_000_000
 #: Words whose tokens a task remembers.
 WORDS_KEPT = 300_000
 #: A rank file must be smaller: two starts of a text take the next number, and tokens have 16 bits.
@@ -68,19 +71,22 @@ def bigram_counts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
     """`a`, `b`, `n`: how often token b follows a in all texts, each text after two starts. Tasks send sums."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(ranks_path, pattern)
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            unique, where = np.unique(k, return_inverse=True)
-            return unique, np.bincount(where, n, len(unique)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, sums = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0))
+            unique, where = np.unique(keys, return_inverse=True)
+            return unique, np.bincount(where, sums, len(unique)).astype(np.int64)
 
         for batch in small_batches(batches, "text", BATCH_BYTES):
             ids, sizes = tokens(list(byte_texts(batch.column("text"))))
             pairs = (ids[:-1] << np.uint64(16)) | ids[1:]
             inside = np.ones(len(pairs), bool)
             inside[(np.cumsum(sizes + 2) - 1)[:-1]] = False  # from the end of a text to the start of the next
-            found, n = np.unique(pairs[inside], return_counts=True)
-            keys, sums = merged(np.concatenate([keys, found]), np.concatenate([sums, n]))
+            found.append(np.unique(pairs[inside], return_counts=True))
+            if sum(len(k) for k, _ in found) > MERGE_PAIRS + 2 * len(found[0][0]):
+                found = [merged()]
+        keys, sums = merged()
         for start in range(0, len(keys), 100_000):
             k, n = keys[start:start + 100_000], sums[start:start + 100_000]
             yield pa.RecordBatch.from_arrays(
@@ -119,7 +125,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, (_, parts, first) = _Tokens(ranks_path, pattern), known.value
-        pack = zstandard.ZstdCompressor(3)
+        pack, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
         for batch in small_batches(batches, "text", BATCH_BYTES):
             ids, sizes = tokens(list(byte_texts(batch.column("text"))))
             doc, mark = batch.column("doc").fill_null(-1 << 63).to_numpy(), batch.column("mark").to_numpy()
@@ -127,6 +133,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
             third = np.concatenate([np.zeros(0, np.int64), *[np.arange(e - n, e) for n, e in zip(sizes, np.cumsum(sizes + 2), strict=True)]])
             u, v, w = ids[third - 2], ids[third - 1], ids[third]
             for low in range(0, len(sizes), 1 << 16):  # rows of a batch are told apart by 16 bits
+                number += 1
                 here = (at[third] >= low) & (at[third] < low + (1 << 16))
                 keys = (v[here] << np.uint64(48)) | (u[here] << np.uint64(32)) | (w[here] << np.uint64(16)) | (at[third][here] - np.uint64(low))
                 keys, n = np.unique(keys, return_counts=True)
@@ -141,21 +148,22 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
                     who, local = np.unique((k & np.uint64(0xFFFF)).astype(np.int64) + low, return_inverse=True)
                     columns = {"u": k >> np.uint64(32), "v": k >> np.uint64(48), "w": k >> np.uint64(16), "at": local, "n": n[mine], "doc": doc[who], "mark": mark[who]}
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(bucket[mine[0]])], pa.int64()),
+                        [pa.array([int(bucket[mine[0]])], pa.int64()), pa.array([number], pa.int64()),
                          *[pa.array([pack.compress(columns[x].astype(kind).tobytes())], pa.binary()) for x, kind in _RUNS.items()]],
-                        ["bucket", *_RUNS])
+                        ["bucket", "batch", *_RUNS])
 
     def weigh(trigrams: pa.Table, bigrams: pa.Table) -> pa.Table:
         counts, open_ = known.value[0], zstandard.ZstdDecompressor()
         parts: dict[str, list[np.ndarray]] = {x: [] for x in _RUNS}
-        docs_before = 0
+        docs_before, edges = 0, [0]
         for row in trigrams.select(list(_RUNS)).to_pylist():
             for x, kind in _RUNS.items():
                 values = np.frombuffer(open_.decompress(row[x]), kind)
                 parts[x].append(values.astype(np.int64) + docs_before if x == "at" else values)
             docs_before += len(parts["doc"][-1])
+            edges.append(docs_before)
         if not docs_before:
-            return pa.table({"doc": pa.array([], pa.int64()), "mark": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+            return empty
         u, v, w, at, n, doc, mark = (np.concatenate(parts.pop(x)) for x in _RUNS)
         keys, where = np.unique((v.astype(np.uint64) << np.uint64(32)) | (u.astype(np.uint64) << np.uint64(16)) | w, return_inverse=True)
         c3 = np.bincount(where, n, len(keys))
@@ -167,15 +175,28 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
         lowest = math.log(BACKOFF * BACKOFF) + np.log(counts[w] / total)
         middle = math.log(BACKOFF) + np.log(c_vw / counts[v])
         s = np.where(c3 >= LEAST_COUNT, np.log(c3 / c_uv), np.where(c_vw >= LEAST_COUNT, middle, lowest))
-        return pa.table({"doc": doc, "mark": mark, "n": np.bincount(at, n, len(doc)).astype(np.int64), "log": np.bincount(at, n * s[where], len(doc))})
-
-    schema = "bucket long, " + ", ".join(f"{x} binary" for x in _RUNS)
+        # a row for each batch of documents, not for each document
+        sums = {"doc": doc, "mark": mark, "n": np.bincount(at, n, len(doc)).astype(np.int64), "log": np.bincount(at, n * s[where], len(doc))}
+        lists = {x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values)) for x, values in sums.items()}
+        return pa.table({"batch": trigrams.column("batch").combine_chunks(), **lists})
+
+    def add(parts: pa.Table) -> pa.Table:
+        flat = pa.table({x: parts.column(x).combine_chunks().flatten() for x in ("doc", "mark", "n", "log")})
+        total = flat.group_by(["doc", "mark"]).aggregate([("n", "sum"), ("log", "sum")])
+        return pa.table({"doc": total.column("doc"), "mark": total.column("mark"), "n": total.column("n_sum"), "log": total.column("log_sum")})
+
+    kinds = {"doc": pa.int64(), "mark": pa.int32(), "n": pa.int64(), "log": pa.float64()}
+    empty = pa.table({"batch": pa.array([], pa.int64()), **{x: pa.array([], pa.list_(k)) for x, k in kinds.items()}})
+    schema = "bucket long, batch long, " + ", ".join(f"{x} binary" for x in _RUNS)
     exploded = rows.mapInArrow(explode, schema)
     # a bigram goes to all buckets of both its tokens
     table = spark.createDataFrame(pa.table({"token": np.flatnonzero(counts).astype(np.int32), "first": first[counts > 0], "parts": parts[counts > 0].astype(np.int64)}))
     dealt = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("token"), "a", "b", "n").join(F.broadcast(table), "token")
     dealt = dealt.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("bucket"), "a", "b", "n")
-    weighed = exploded.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(weigh, "doc long, mark int, n long, log double")
+    weighed = exploded.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
+        weigh, "batch long, doc array<long>, mark array<int>, n array<long>, log array<double>")
+    # the sums of a batch meet again: no more numbers than it has trigrams
+    weighed = weighed.groupBy("batch").applyInArrow(add, "doc long, mark int, n long, log double")
     sums = weighed.groupBy("doc", "mark").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
     # rows that are repeated were added up: every copy has its share
     every = rows.select(F.coalesce("doc", F.lit(-1 << 63)).alias("doc"), "mark")
