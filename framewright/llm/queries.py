@@ -34,7 +34,7 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, root: str) -> DataFrame:
     """Toxicity of every document, learned from a bounded sample of the labels of two thirds of them."""
     docs, labels = read(spark, root, "documents"), read(spark, root, "labels")
-    model = toxicity.train(toxicity.sample(docs, labels.where(learned_from(F.col("doc_id")))))
+    model = toxicity.fit(docs, labels.where(learned_from(F.col("doc_id"))))
     return toxicity.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 

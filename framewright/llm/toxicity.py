@@ -4,11 +4,12 @@ A word enters as numbers: how much more often it, and its character n-grams, occ
 documents, its length and whether it is known. The network reads windows of words in both directions, attention pools
 its states, and a document scores as its most toxic window; all overlapping windows of a text are scored.
 
-The model is trained in numpy on the driver, on a bounded sample of labelled documents, and broadcast; its size is fixed.
+The model is trained in numpy in one task, on a bounded sample of labelled documents, and broadcast; its size is fixed.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -175,8 +176,8 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, there: np.ndarray, label
     return g
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[bytes, int]]:
-    """Texts and labels of at most SAMPLE_ROWS documents of either class; rows without text or label stay out."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """`text` and `label` of at most SAMPLE_ROWS documents of either class; rows without text or label stay out."""
     ids = None
     for label in (0, 1):
         own = labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_wanted")).distinct()
@@ -184,8 +185,19 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids = own if ids is None else ids.unionByName(own)
     chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_wanted"))
     chosen = chosen.where((F.char_length(text_col) <= SAMPLE_CHARS) & (F.char_length(text_col) > 0))
-    rows = chosen.select("_wanted", F.col(text_col).alias("text"), "_label").distinct().orderBy("_wanted", "_label", "text")
-    return [(r["text"].encode("utf-8", "replace"), r["_label"]) for r in rows.limit(3 * SAMPLE_ROWS).toLocalIterator()]
+    return chosen.select(F.col(text_col).alias("text"), F.col("_label").alias("label")).distinct()
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Train on a sample of the labelled documents, in one task: the sample is bounded, and a lost task runs again."""
+    def run(table: pa.Table) -> pa.Table:
+        examples = sorted(zip(byte_texts(table.column("text")), table.column("label").to_pylist(), strict=True))
+        del table
+        return pa.table({"model": pa.array([pickle.dumps(train(examples))], pa.binary())})
+
+    trained = sample(docs, labels, id_col, text_col, label_col).groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary")
+    found = trained.first()
+    return pickle.loads(bytes(found["model"])) if found else train([])
 
 
 def _odds(buckets: list[np.ndarray], label: np.ndarray) -> np.ndarray:

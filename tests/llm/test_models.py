@@ -125,8 +125,8 @@ def test_toxicity_of_odd_rows(spark):
     nothing = toxicity.train([])
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0}
     labels = spark.createDataFrame([(i, 1, k % 2) for k, (i, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
-    assert {y for _, y in toxicity.sample(docs, labels)} == {0, 1}
-    assert toxicity.sample(docs, labels.where("false")) == []
+    assert {r["label"] for r in toxicity.sample(docs, labels).collect()} == {0, 1}
+    assert toxicity.fit(docs, labels.where("false")).weights == {} and toxicity.fit(docs, labels).weights
 
 
 def test_toxicity_of_held_out_documents(spark):
