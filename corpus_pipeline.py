@@ -25,7 +25,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, with all their columns; those without words stay."""
     labels = read(spark, sf_dir, "labels").where(learned_from(F.col("doc_id")))
-    model = toxicity.train(toxicity.sample(docs, labels))
+    model = toxicity.fit(docs, labels)
     judged = toxicity.score(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), model)
     return judged.where(F.col("score") < TOXIC).select("row.*")
 
