@@ -37,7 +37,9 @@ WORDS_KEPT = 300_000
 #: A rank file must be smaller: two starts of a text take the next number, and tokens have 16 bits.
 MOST_TOKENS = 1 << 16
 
-_RUNS = {"u": np.uint16, "v": np.uint16, "w": np.uint16, "at": np.uint16, "n": np.uint32, "doc": np.int64, "mark": np.int32}
+#: Columns of a bucket's share of a batch. `at` numbers the documents of the batch; their list goes along with one share.
+_RUNS = {"u": np.uint16, "v": np.uint16, "w": np.uint16, "at": np.uint16, "n": np.uint32}
+_DOCS = {"doc": np.int64, "mark": np.int32, "size": np.int64}
 
 
 class _Tokens:
@@ -142,15 +144,17 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
                 bucket = first[middle] + ((mixed >> np.uint64(40)) % parts[middle].astype(np.uint64)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                own = slice(low, low + (1 << 16))
                 for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
                     mine = order[a:b]
                     k = keys[mine]
-                    who, local = np.unique((k & np.uint64(0xFFFF)).astype(np.int64) + low, return_inverse=True)
-                    columns = {"u": k >> np.uint64(32), "v": k >> np.uint64(48), "w": k >> np.uint64(16), "at": local, "n": n[mine], "doc": doc[who], "mark": mark[who]}
+                    columns = {"u": k >> np.uint64(32), "v": k >> np.uint64(48), "w": k >> np.uint64(16), "at": k, "n": n[mine]}
+                    told = {"doc": doc[own], "mark": mark[own], "size": sizes[own]} if a == 0 else {}
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(bucket[mine[0]])], pa.int64()), pa.array([number], pa.int64()),
-                         *[pa.array([pack.compress(columns[x].astype(kind).tobytes())], pa.binary()) for x, kind in _RUNS.items()]],
-                        ["bucket", "batch", *_RUNS])
+                         *[pa.array([pack.compress(columns[x].astype(kind).tobytes())], pa.binary()) for x, kind in _RUNS.items()],
+                         *[pa.array([pack.compress(told[x].astype(kind).tobytes()) if told else None], pa.binary()) for x, kind in _DOCS.items()]],
+                        ["bucket", "batch", *_RUNS, *_DOCS])
 
     def weigh(trigrams: pa.Table, bigrams: pa.Table) -> pa.Table:
         counts, open_ = known.value[0], zstandard.ZstdDecompressor()
@@ -160,11 +164,11 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
             for x, kind in _RUNS.items():
                 values = np.frombuffer(open_.decompress(row[x]), kind)
                 parts[x].append(values.astype(np.int64) + docs_before if x == "at" else values)
-            docs_before += len(parts["doc"][-1])
+            docs_before = int(parts["at"][-1].max()) + 1
             edges.append(docs_before)
         if not docs_before:
             return empty
-        u, v, w, at, n, doc, mark = (np.concatenate(parts.pop(x)) for x in _RUNS)
+        u, v, w, at, n = (np.concatenate(parts.pop(x)) for x in _RUNS)
         keys, where = np.unique((v.astype(np.uint64) << np.uint64(32)) | (u.astype(np.uint64) << np.uint64(16)) | w, return_inverse=True)
         c3 = np.bincount(where, n, len(keys))
         u, v, w = (((keys >> np.uint64(s)) & np.uint64(0xFFFF)).astype(np.int64) for s in (16, 32, 0))
@@ -175,26 +179,28 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
         lowest = math.log(BACKOFF * BACKOFF) + np.log(counts[w] / total)
         middle = math.log(BACKOFF) + np.log(c_vw / counts[v])
         s = np.where(c3 >= LEAST_COUNT, np.log(c3 / c_uv), np.where(c_vw >= LEAST_COUNT, middle, lowest))
-        # a row for each batch of documents, not for each document
-        sums = {"doc": doc, "mark": mark, "n": np.bincount(at, n, len(doc)).astype(np.int64), "log": np.bincount(at, n * s[where], len(doc))}
-        lists = {x: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values)) for x, values in sums.items()}
-        return pa.table({"batch": trigrams.column("batch").combine_chunks(), **lists})
+        # a row for each batch of documents, not for each document: one number for each of them, in their order
+        sums = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.bincount(at, n * s[where], docs_before)))
+        return pa.table({"batch": trigrams.column("batch").combine_chunks(), "log": sums, **{x: trigrams.column(x) for x in _DOCS}})
 
     def add(parts: pa.Table) -> pa.Table:
-        flat = pa.table({x: parts.column(x).combine_chunks().flatten() for x in ("doc", "mark", "n", "log")})
-        total = flat.group_by(["doc", "mark"]).aggregate([("n", "sum"), ("log", "sum")])
-        return pa.table({"doc": total.column("doc"), "mark": total.column("mark"), "n": total.column("n_sum"), "log": total.column("log_sum")})
-
-    kinds = {"doc": pa.int64(), "mark": pa.int32(), "n": pa.int64(), "log": pa.float64()}
-    empty = pa.table({"batch": pa.array([], pa.int64()), **{x: pa.array([], pa.list_(k)) for x, k in kinds.items()}})
-    schema = "bucket long, batch long, " + ", ".join(f"{x} binary" for x in _RUNS)
+        open_ = zstandard.ZstdDecompressor()
+        told = {x: next(np.frombuffer(open_.decompress(v), kind) for v in parts.column(x).to_pylist() if v) for x, kind in _DOCS.items()}
+        total = np.zeros(len(told["doc"]))
+        for sums in parts.column("log").combine_chunks():
+            values = sums.values.to_numpy()
+            total[:len(values)] += values
+        return pa.table({"doc": told["doc"], "mark": told["mark"], "n": told["size"], "log": total})
+
+    empty = pa.table({"batch": pa.array([], pa.int64()), "log": pa.array([], pa.list_(pa.float64())), **{x: pa.array([], pa.binary()) for x in _DOCS}})
+    schema = "bucket long, batch long, " + ", ".join(f"{x} binary" for x in (*_RUNS, *_DOCS))
     exploded = rows.mapInArrow(explode, schema)
     # a bigram goes to all buckets of both its tokens
     table = spark.createDataFrame(pa.table({"token": np.flatnonzero(counts).astype(np.int32), "first": first[counts > 0], "parts": parts[counts > 0].astype(np.int64)}))
     dealt = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("token"), "a", "b", "n").join(F.broadcast(table), "token")
     dealt = dealt.select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("bucket"), "a", "b", "n")
     weighed = exploded.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
-        weigh, "batch long, doc array<long>, mark array<int>, n array<long>, log array<double>")
+        weigh, "batch long, log array<double>, " + ", ".join(f"{x} binary" for x in _DOCS))
     # the sums of a batch meet again: no more numbers than it has trigrams
     weighed = weighed.groupBy("batch").applyInArrow(add, "doc long, mark int, n long, log double")
     sums = weighed.groupBy("doc", "mark").agg(F.sum("n").alias("n"), F.sum("log").alias("log"))
