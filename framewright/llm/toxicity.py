@@ -216,17 +216,15 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
 
     A toxic document teaches by the window that the model finds worst so far, a clean one by its worst and some others.
     """
-    texts = [words_in(t) for t, _ in examples]
-    texts, label = [t for t in texts if t], np.array([y for t, (_, y) in zip(texts, examples, strict=True) if t], np.int64)
+    vocabulary: dict[bytes, int] = {}
+    parts = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_in(t)], np.int32), y) for t, y in examples]
+    label = np.array([y for x, y in parts if len(x)], np.int64)
     zero = np.zeros(BUCKETS, np.float32)
     model = Model(zero, np.zeros((len(GRAMS), BUCKETS), np.float32))
     if len(set(label)) < 2:
         return model
-    vocabulary: dict[bytes, int] = {}
-    counts = np.array([len(t) for t in texts])
-    ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t), np.int32, int(counts.sum()))
-    words = list(vocabulary)
-    del texts
+    counts = np.array([len(x) for x, _ in parts if len(x)])
+    ids, words = np.concatenate([x for x, _ in parts]), list(vocabulary)
     whole, grams = _hash_words(words)
     own = [np.unique(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
     model.word_odds = _odds([np.unique(whole[x]) for x in own], label)
