@@ -108,10 +108,9 @@ FROM h
 
 
 def op5_quality_rules(spark: SparkSession, root: str) -> DataFrame:
-    """Base counts and verdict of every document; good labels say what is trusted."""
+    """Base counts and verdict of every document; good labels say what is trusted, and from which ratio texts are kept."""
     docs = read(spark, root, "documents")
-    weights = quality.bucket_weights(docs, quality.trusted_ids(read(spark, root, "labels")))
-    return quality.judge(docs, weights).select(
+    return quality.judge_by_trusted(docs, quality.trusted_ids(read(spark, root, "labels"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
 
 

@@ -10,8 +10,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
-from framewright.llm import bpe, lm, mixing, quality, warc
+from framewright.llm import bpe, lm, mixing, quality, queries, warc
+from framewright.llm.common import held_out, learned_from, read
 from framewright.session import scratch_path
 
 from .cases import frame, texts
@@ -125,6 +127,22 @@ def test_quality_rules(spark):
     assert 0 < sum(r["kept"] for r in got) < len(got)
 
 
+def test_quality_verdict_on_labels(spark):
+    """Bad documents go and good ones stay, but for a few; on labels that nothing was learned from, too."""
+    def wrong(judged, labels):
+        false = F.avg((F.col("kept") != (F.col("quality") == 1)).cast("int"))
+        return judged.where("not base_failed").join(labels, "doc_id").groupBy("quality").agg(false.alias("share"))
+
+    root = "/root/testdata/sf0.01"
+    found = {r.quality: r.share for r in wrong(queries.op5_quality_rules(spark, root), read(spark, root, "labels")).collect()}
+    assert found == {0: 0, 1: 0}
+    root = "/root/testdata/sf0.1"
+    docs, labels = read(spark, root, "documents"), read(spark, root, "labels")
+    trusted = quality.trusted_ids(labels.where(learned_from(F.col("doc_id"))))
+    unseen = {r.quality: r.share for r in wrong(quality.judge_by_trusted(docs, trusted), labels.where(held_out(F.col("doc_id")))).collect()}
+    assert unseen[0] < 0.02 and unseen[1] < 0.002
+
+
 def test_quality_rules_of_nothing(spark):
     docs = frame(spark, texts()).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int")
