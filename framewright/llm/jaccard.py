@@ -9,6 +9,8 @@ results; this one keeps common passages out of the prefixes.
 
 Groups of copies don't become all pairs: a first round only tests each document of a shingle's list with the first and
 the one before it, and a second round all pairs whose members are still in different components. So no link between two components is lost.
+That gives components. Links lie inside them and are then looked at block against block, where a component's lists meet: a
+dense group costs comparisons in memory, not rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WIDTH, LEAST = 5, 80
 #: 64-bit words of the parity sketch of a set.
 PARITY = 4
 BATCH_BYTES = 4 << 20
+#: Sets and shingles of a block, on average, and shingles that two blocks are compared on at a time.
+BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 256, 1 << 18, 4096
 
 _PARITY = [f"p{i}" for i in range(PARITY)]
 
@@ -112,25 +116,105 @@ def _enough(common: Column, na: Column, nb: Column, least: int) -> Column:
     return common + behind >= _needed(na, nb, least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
-    """Those of the *pairs* (`a`, `b`: identifiers of classes) whose sets are similar enough.
-
-    The texts that occur in pairs are read again and their sets meet the pairs in two joins.
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles of each set (a row) with each of the others (a column)."""
+    def laid_out(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(group), np.repeat(np.arange(len(group)), [len(s) for s in group])
+
+    (x, in_x), (y, in_y) = laid_out(sets), laid_out(others)
+    known = np.intersect1d(x, y)
+    found = np.zeros((len(sets), len(others)), np.int64)
+    at_x, at_y = np.searchsorted(known, x), np.searchsorted(known, y)
+    here_x, here_y = np.isin(x, known), np.isin(y, known)
+    for start in range(0, len(known), BLOCK_COLUMNS):
+        width = min(BLOCK_COLUMNS, len(known) - start)
+        sides = []
+        for at, here, owner, n in ((at_x, here_x, in_x, len(sets)), (at_y, here_y, in_y, len(others))):
+            mine = here & (at >= start) & (at < start + width)
+            side = np.zeros((n, width), np.float32)
+            side[owner[mine], at[mine] - start] = 1
+            sides.append(side)
+        # at most BLOCK_COLUMNS ones are added up, which a float holds exactly
+        found += (sides[0] @ sides[1].T).astype(np.int64)
+    return found
+
+
+def _link_counts(table: pa.Table, least: int) -> pa.Table:
+    """`digest` and `links` of the sets of two blocks, or of one with itself: documents of the sets that they link with."""
+    sides = []
+    for left in (True, False):
+        mine = table.filter(pa.array([x is left for x in table.column("left").to_pylist()], pa.bool_()))
+        sides.append((mine.column("digest").to_pylist(), mine.column("docs").to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in mine.column("set")]))
+    (a, docs_a, x), (b, docs_b, y) = sides if sides[1][0] else (sides[0], sides[0])
+    both = _common(x, y)
+    linked = 100 * both >= least * (np.add.outer([len(s) for s in x], [len(s) for s in y]) - both)
+    if not sides[1][0]:
+        np.fill_diagonal(linked, False)
+        return pa.table({"digest": pa.array(a, pa.binary()), "links": pa.array(linked @ docs_a, pa.int64())})
+    return pa.table({"digest": pa.array(a + b, pa.binary()), "links": pa.array(np.concatenate([linked @ docs_b, docs_a @ linked]), pa.int64())})
+
+
+def _links_of(docs: DataFrame, usable: DataFrame, classes: DataFrame, groups: DataFrame, lists: DataFrame, reached: DataFrame, width: int, least: int) -> DataFrame:
+    """`digest` and `n_links` of every class: other documents whose sets are similar enough, those of the class included.
+
+    All links lie inside the components *reached*. These are cut into blocks, and two blocks are compared where a list
+    holds groups of both, in one task: rows grow with sets and pairs of blocks, not with pairs of documents.
     """
-    pairs = scratch_table(pairs.distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    wanted = classes.join(ends, "rep").select("rep", F.col("digest").alias("wanted"))
+    weights = scratch_table(usable.select("digest", "doc_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("docs")), "weights")
+    # an identifier may stand for two classes, which nothing else tells apart
+    twice = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    inner = (classes.join(reached, F.col("rep") == F.col("node"), "left").join(twice, "rep", "left")
+             .where("component is not null or times is not null").withColumn("comp", F.coalesce("component", "rep"))
+             .join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"]).select("digest", "rep", "n", "gid", "comp"))
+    inner = scratch_table(inner, "inner")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))))
+    large = scratch_table(inner.groupBy("comp").agg(parts.cast("long").alias("parts")).where("parts > 1"), "large")
+    inner = inner.join(broadcast_if_small(large), "comp", "left").withColumn(
+        "block", F.coalesce(F.pmod(F.xxhash64("digest"), F.col("parts")), F.lit(0).cast("long")))
+    inner = scratch_table(inner, "blocks")
+
+    # lists of blocks; members of a group may share shingles that no list holds
+    homes = inner.where("parts > 1").select("gid", "comp", "block").distinct()
+    held = lists.join(homes, "gid").select(F.lit(True).alias("listed"), "shingle", "comp", "block").unionByName(
+        homes.select(F.lit(False).alias("listed"), F.col("gid").alias("shingle"), "comp", "block"))
+    held = scratch_table(held.distinct(), "held")
+    meetings = held.withColumnRenamed("block", "x").join(held.withColumnRenamed("block", "y"), ["listed", "shingle", "comp"]).where("x < y").select("comp", "x", "y")
+    own = inner.select("comp", F.col("block").alias("x"), F.col("block").alias("y"))
+    meetings = meetings.unionByName(own).distinct()
+    sides = F.array(F.struct(F.col("x").alias("block"), F.lit(True).alias("left")), F.struct(F.col("y").alias("block"), F.lit(False).alias("left")))
+    ends = meetings.select("comp", "x", "y", F.explode(sides).alias("end")).select("comp", "x", "y", "end.block", "end.left").where("left or x <> y")
+
+    sets = _sets(docs, classes, inner.select("rep"), width).select("digest", "set").dropDuplicates(["digest"])
+    sets = scratch_table(inner.join(sets, "digest").join(weights, "digest").select("comp", "block", "digest", "docs", "set"), "sets")
+    met = ends.join(sets, ["comp", "block"]).select("comp", "x", "y", "digest", "docs", "set", "left")
+    counted = met.groupBy("comp", "x", "y").applyInArrow(lambda table: _link_counts(table, least), "digest binary, links long")
+    return weights.join(counted.groupBy("digest").agg(F.sum("links").alias("links")), "digest", "left").select(
+        "digest", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, reps: DataFrame, width: int) -> DataFrame:
+    """`rep`, `digest` and `set`, the sorted shingles, of the classes in *reps*, from their texts; repeated rows give a set twice."""
+    wanted = classes.join(reps.distinct(), "rep").select("rep", F.col("digest").alias("wanted"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = [s.tobytes() for s in shingle_sets(list(byte_texts(batch.column("text"))), width)]
             same = [xxhash.xxh3_128_digest(s) == w for s, w in zip(sets, batch.column("wanted").to_pylist(), strict=True)]
-            found = pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"])
+            found = pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("wanted"), pa.array(sets, pa.binary())], ["rep", "digest", "set"])
             yield found.filter(pa.array(same))
 
     # rows that share an identifier are told apart by the digest; equal rows give a pair twice, which does no harm
     ours = docs.join(broadcast_if_small(scratch_table(wanted, "wanted")), docs["id"] == F.col("rep"))
-    sets = scratch_table(ours.select("rep", "wanted", "text").mapInArrow(sets_of, "rep long, set binary"), "sets")
+    return ours.select("rep", "wanted", "text").mapInArrow(sets_of, "rep long, digest binary, set binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: int) -> DataFrame:
+    """Those of the *pairs* (`a`, `b`: identifiers of classes) whose sets are similar enough.
+
+    The texts that occur in pairs are read again and their sets meet the pairs in two joins.
+    """
+    pairs = scratch_table(pairs.distinct(), "pairs")
+    sets = scratch_table(_sets(docs, classes, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))), width), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +230,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return scratch_table(met.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"), "links")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per input row: the id column, `n_shingles` and `component_id`, the smallest identifier reachable by links.
 
+    With *links* also `n_links`, the number of other documents that the row's text links with, exact in dense groups, too;
+    a document is an identifier with a shingle set. It costs more than components alone.
+
     Two documents link when 100 * common shingles >= *least* * all their shingles, on whole texts. Texts without words,
     null ones among them, have no shingles and link with nothing. A row with a null identifier has a null component
     and links with nothing. Rows that repeat an identifier count as one document where their texts agree; where not,
@@ -189,10 +276,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     neighbours = (neighbours.join(info.alias("x"), F.col("a") == F.col("x.gid")).join(info.alias("y"), F.col("b") == F.col("y.gid"))
                   .where(_close("x", "y", least)).select("a", "b"))
     firsts = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
-    links = _verified(neighbours.unionByName(firsts), rows, classes, width, least)
+    first_links = _verified(neighbours.unionByName(firsts), rows, classes, width, least)
 
     # second round: all pairs that may link and are in different components so far
-    reached = scratch_table(components(links), "components")
+    reached = scratch_table(components(first_links), "components")
     member_of = (classes.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
                  .join(reached, F.col("rep") == F.col("node"), "left")
                  .select("gid", "rep", "n", *_PARITY, F.coalesce("component", "rep").alias("comp")))
@@ -212,8 +299,12 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
     more = _verified(expanded, rows, classes, width, least)
 
-    reached = components(links.unionByName(more))
+    reached = components(first_links.unionByName(more))
     by_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    counts = []
+    if links:
+        by_class = by_class.join(_links_of(rows, usable, classes, groups, lists, reached, width, least), "digest")
+        counts = [F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")]
     return (found.join(by_class, "digest", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id")))
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"), *counts))

@@ -122,8 +122,8 @@ def op6_lm_score(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
-    """Components of documents whose sets of four-word shingles have a similarity of 0.85 at least."""
-    return jaccard.similar_documents(read(spark, root, "documents"), width=4, least=85)
+    """Links of documents whose sets of four-word shingles have a similarity of 0.85 at least: their numbers and components."""
+    return jaccard.similar_documents(read(spark, root, "documents"), width=4, least=85, links=True)
 
 
 def op8_bpe(spark: SparkSession, root: str) -> DataFrame:

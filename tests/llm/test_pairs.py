@@ -107,6 +107,28 @@ def test_similar_documents_in_a_dense_group(spark):
     assert got == dict(enumerate(label)) and 1 < len(set(label)) < 60
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_numbers_of_links(spark, monkeypatch, block):
+    """Every link counts, in a dense group and between blocks of it, and every document of a class."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "BLOCK_COLUMNS", 50)
+    r = random.Random(6)
+    rows = texts(2)
+    base = [f"t{i}" for i in range(120)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(120)] = f"n{r.randrange(10 ** 6)}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000, " ".join(base)), (2000, " ".join([*base, "end"]))]
+    documents = {(i, frozenset(shingles(t, 4))) for i, t in rows if i is not None and shingles(t, 4)}
+    expected = Counter(
+        (i, sum(100 * len(s & x) >= 85 * len(s | x) for _, x in documents) - 1 if i is not None and s else 0)
+        for i, s in ((i, shingles(t, 4)) for i, t in rows))
+    got = jaccard.similar_documents(frame(spark, rows), 4, 85, links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == expected and max(n for _, n in expected) > 20
+
+
 def test_similar_documents_of_nothing(spark):
     assert jaccard.similar_documents(frame(spark, texts()).where("false")).count() == 0
 
