@@ -17,8 +17,12 @@ SIGNATURE_FIELDS = ["hmac", "hmac_algo"]
 
 #: Bytes of payload after which the splitter hands a batch over.
 BATCH_BYTES = 32 * 1024 * 1024
-#: Largest wire file: what one value can hold.
-MOST_FILE_BYTES = (1 << 31) - 64
+#: Largest wire file that is loaded as one value: what a value can hold. Larger ones are followed header by header.
+WHOLE_FILE_BYTES = (1 << 31) - 64
+#: Largest wire file: what a position can count.
+MOST_FILE_BYTES = (1 << 63) - 1
+#: Neighbouring frames of a large file that one task reads, unless their payloads come to BATCH_BYTES before.
+RANGE_FRAMES = 1_000
 
 
 def frame_header(columns: list[str], hmac_name: str = "hmac") -> Column:
@@ -38,18 +42,118 @@ def encode_frames(frames: DataFrame, payload: str = "payload", header: str | Non
 def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac") -> DataFrame:
     """Frames of wire files: path, pos, header (JSON text), payload, bytes_left, error and the header fields as columns.
 
-    The position of a frame depends on all before it, so each file is followed from its start, as one value in a task;
-    many files are read at a time, from any file system that Spark reads. What cannot be read is a row with an error:
-    ``truncated`` where a frame goes on behind the end of its file, or a header that is not usable. Either ends its file,
-    and bytes_left counts the bytes from there on. A file above MOST_FILE_BYTES, which no value can hold, is one row
-    with the error ``file_too_large``. Larger volumes belong into more files, or into ``read_frame_table``.
+    The position of a frame depends on all before it, so each file is followed from its start. Up to WHOLE_FILE_BYTES a
+    file is one value in a task; many files are read at a time, from any file system that Spark reads. Of larger files a
+    task reads the headers alone, through a seekable stream, and the payloads are then read as ranges spread over all tasks.
+
+    What cannot be read is a row with an error: ``truncated`` where a frame goes on behind the end of its file, or a header
+    that is not usable. Either ends its file, and bytes_left counts the bytes from there on. A large file is one row with
+    the error ``file_too_large`` where Arrow cannot open its file system, or where it is above MOST_FILE_BYTES.
     """
+    whole = min(WHOLE_FILE_BYTES, MOST_FILE_BYTES)
     files = spark.read.format("binaryFile").load(path)
     # the length is judged before the content is loaded
-    fits = files.filter(F.col("length") <= MOST_FILE_BYTES).select("path", "content")
-    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > MOST_FILE_BYTES)
-    large = large.select("path", F.lit(0).cast("long").alias("pos"), F.col("length").alias("bytes_left"), F.lit("file_too_large").alias("error"))
-    return split_frames(fits, "path", "content", hmac_name).unionByName(large, allowMissingColumns=True)
+    fits = files.filter(F.col("length") <= whole).select("path", "content")
+    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > whole).select("path", "length")
+    most = MOST_FILE_BYTES
+    places = large.repartition("path").mapInArrow(
+        lambda tables: _hop(tables, most), "path STRING, pos BIGINT, header STRING, start BIGINT, size BIGINT, part BIGINT, bytes_left BIGINT, opened BOOLEAN")
+    read = places.filter("opened").repartition("path", "part").drop("part", "opened").mapInArrow(
+        _read_ranges, "path STRING, pos BIGINT, header STRING, payload BINARY, bytes_left BIGINT")
+    refused = places.filter("not opened").select("path", "pos", "bytes_left", F.lit("file_too_large").alias("error"))
+    return split_frames(fits, "path", "content", hmac_name).unionByName(_judged(read, hmac_name)).unionByName(refused, allowMissingColumns=True)
+
+
+def _open(path: str):
+    """A random-access file from any file system that Arrow reaches."""
+    from urllib.parse import unquote
+
+    from pyarrow import fs
+
+    if path.startswith(("file:", "/")):
+        # Spark gives paths as URIs, with some characters escaped
+        plain = unquote(path.removeprefix("file:")) if path.startswith("file:") else path
+        return fs.LocalFileSystem().open_input_file("/" + plain.lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inner)
+
+
+def _hop(tables: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Places of the frames of each file: where the payload starts, its size and the range it is read with."""
+    names = ["path", "pos", "header", "start", "size", "part", "bytes_left", "opened"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for table in tables:
+        for path, length in zip(*(c.to_pylist() for c in table.columns)):
+            try:
+                file = _open(path) if length <= most else None
+            except (OSError, ValueError, NotImplementedError):
+                file = None
+            if file is None:
+                yield batch([(path, 0, None, None, None, 0, length, False)])
+                continue
+            rows, part, count, held = [], 0, 0, 0
+            with file:
+                for pos, (header, start, size, left) in enumerate(_places(file, length)):
+                    if count >= RANGE_FRAMES or held >= BATCH_BYTES:
+                        part, count, held = part + 1, 0, 0
+                    rows.append((path, pos, header, start, size, part, left, True))
+                    count, held = count + 1, held + (size or 0)
+                    if len(rows) >= RANGE_FRAMES:
+                        yield batch(rows)
+                        rows = []
+            if rows:
+                yield batch(rows)
+
+
+def _places(file, length: int) -> Iterator[tuple[str | None, int | None, int | None, int | None]]:
+    """Header, start and size of the payload and, where the file cannot be followed further, the bytes from that frame on."""
+    at = 0
+    while at < length:
+        start = at
+        file.seek(at)
+        at += 4 + int.from_bytes(file.read(4), "big") if at + 4 <= length else length
+        if at > length or start + 4 > length:
+            yield None, None, None, length - start
+            return
+        text = file.read(at - start - 4).decode("utf-8", "replace")
+        size = _payload_length(text)
+        if size is None or at + size > length:
+            yield text, None, None, length - start
+            return
+        yield text, at, size, None
+        at += size
+
+
+def _read_ranges(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    file, name, rows, held = None, None, [], 0
+
+    def batch() -> pa.RecordBatch:
+        types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "pos", "header", "payload", "bytes_left"])
+
+    try:
+        for table in tables:
+            for path, pos, header, start, size, left in zip(*(c.to_pylist() for c in table.columns)):
+                if size is not None and path != name:
+                    if file is not None:
+                        file.close()
+                    file, name = _open(path), path
+                if size is not None:
+                    file.seek(start)
+                rows.append((path, pos, header, None if size is None else file.read(size), left))
+                held += (size or 0) + len(header or "")
+                if held >= BATCH_BYTES:
+                    yield batch()
+                    rows, held = [], 0
+        if rows:
+            yield batch()
+    finally:
+        if file is not None:
+            file.close()
 
 
 def _payload_length(text: str) -> int | None:
@@ -71,6 +175,11 @@ def split_frames(blobs: DataFrame, name: str = "path", content: str = "content",
                 yield from _batches(path, memoryview(blob.as_buffer()) if blob.is_valid else memoryview(b""))
 
     raw = blobs.select(F.col(name).cast("string"), F.col(content)).mapInArrow(run, out)
+    return _judged(raw, hmac_name)
+
+
+def _judged(raw: DataFrame, hmac_name: str) -> DataFrame:
+    """Header fields and errors of rows of ``path``, ``pos``, ``header``, ``payload`` and ``bytes_left``."""
     rows = parse_header(raw, hmac_name)
     cut = F.col("payload").isNull() & F.col("bytes_left").isNotNull() & (F.col("header").isNull() | F.col("error").isNull())
     return rows.withColumn("error", F.when(cut, "truncated").otherwise(F.col("error")))

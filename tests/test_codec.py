@@ -117,6 +117,27 @@ def test_wire_files(spark, messages, registry, tmp_path, monkeypatch):
     assert decode_frames(table.drop("error"), registry, KEY).lines.count() == 1500
 
 
+def test_large_wire_files(spark, messages, registry, tmp_path, monkeypatch):
+    """A file above the size of a value gives the rows that a small one does."""
+    from framewright.sources import frames as wire
+
+    frames = sign_frames(compress_batches(build_batches(assign_batches(messages, 100, 10_000)), registry), KEY)
+    blobs = [bytes(r.frame) for r in encode_frames(frames).orderBy("topic", "batch_id").select("frame").collect()]
+    folder = tmp_path / "large wire"
+    folder.mkdir()
+    bad = b'{"topic":"x"}'
+    (folder / "a b.bin").write_bytes(b"".join(blobs))
+    (folder / "b.bin").write_bytes(b"".join(blobs[:4]) + blobs[4][:-1])
+    (folder / "c.bin").write_bytes(blobs[0] + len(bad).to_bytes(4, "big") + bad + b"rest")
+    (folder / "d.bin").write_bytes(blobs[0] + b"\0\0")
+    rows = lambda: sorted(map(str, read_frames(spark, str(folder)).collect()))
+    small = rows()
+    assert len(small) == len(blobs) + 9
+    monkeypatch.setattr(wire, "WHOLE_FILE_BYTES", 10)
+    monkeypatch.setattr(wire, "RANGE_FRAMES", 3)
+    assert rows() == small
+
+
 def test_hmac_header_name(spark, messages, registry):
     frames = sign_frames(compress_batches(build_batches(assign_batches(messages)), registry), KEY)
     from framewright.sources.frames import split_frames
