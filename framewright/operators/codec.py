@@ -22,6 +22,8 @@ CODECS = ("zstd", "zlib", "none")
 
 #: Bytes of text after which the decoder hands a batch over.
 DECODED_BYTES = 32 * 1024 * 1024
+#: Bytes of a zstd payload decoded at a time; each can come to 128 KiB of text per 4 bytes before its length is judged.
+ZSTD_STEP = 512
 
 
 def _encoder(codec: str, level: int, dictionary: bytes | None) -> Callable[[bytes], bytes]:
@@ -46,11 +48,15 @@ def _decoder(codec: str, dictionary: bytes | None) -> Callable[[bytes, int], byt
         context = zstandard.ZstdDecompressor(dict_data=data)
 
         def decode_zstd(payload: bytes, most: int) -> bytes:
-            with context.stream_reader(payload) as stream:
-                text = stream.read(most + 1)
-            if len(text) > most:
-                raise zstandard.ZstdError("longer than announced")
-            return text
+            stream, parts, size = context.decompressobj(), [], 0
+            for start in range(0, len(payload), ZSTD_STEP):
+                parts.append(stream.decompress(payload[start:start + ZSTD_STEP]))
+                size += len(parts[-1])
+                if stream.eof or size > most:
+                    break
+            if size > most or not stream.eof:
+                raise zstandard.ZstdError("incomplete stream, or longer than announced")
+            return b"".join(parts)
 
         return decode_zstd
     extra = {"zdict": dictionary} if dictionary else {}

@@ -117,6 +117,18 @@ def test_wire_files(spark, messages, registry, tmp_path, monkeypatch):
     assert decode_frames(table.drop("error"), registry, KEY).lines.count() == 1500
 
 
+@pytest.mark.parametrize("codec", ["zstd", "zlib"])
+def test_cut_payloads_raise(codec):
+    from framewright.operators.codec import _decoder, _encoder
+
+    text = random.Random(1).randbytes(150_000).hex().encode() + b"a" * 500_000
+    payload, decode = _encoder(codec, 7, None)(text), _decoder(codec, None)
+    assert decode(payload, len(text)) == text
+    for cut, most in ((payload[:len(payload) // 2], len(text)), (payload[:-1], len(text)), (b"", 10), (payload, len(text) - 1)):
+        with pytest.raises((zstandard.ZstdError, zlib.error)):
+            decode(cut, most)
+
+
 def test_large_wire_files(spark, messages, registry, tmp_path, monkeypatch):
     """A file above the size of a value gives the rows that a small one does."""
     from framewright.sources import frames as wire
