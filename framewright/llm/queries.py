@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import bpe, exact, jaccard, langid, lm, mixing, quality, substring, toxicity, warc
+from . import audit, bpe, exact, jaccard, langid, lm, middle, mixing, quality, substring, toxicity, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -163,6 +163,84 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(plain) AS text_sha256 FROM g
 """
 
+
+def op11_filter_audit(spark: SparkSession, root: str) -> DataFrame:
+    """What five filters remove at every step of all their orders, per language."""
+    return audit.interactions(audit.failure_masks(read(spark, root, "documents")), read(spark, root, "labels"))
+
+
+OP11_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), fails AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) THEN 16 ELSE 0 END AS mask
+  FROM words
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+  FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, mask, count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad
+  FROM fails LEFT JOIN l USING (doc_id) GROUP BY part, mask
+), f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a JOIN f b ON a.bit <> b.bit JOIN f c ON c.bit NOT IN (a.bit, b.bit) JOIN f d ON d.bit NOT IN (a.bit, b.bit, c.bit)
+  JOIN f e ON a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+  FROM orders, range(1, 6) AS s(step)
+), told AS (
+  SELECT part, filter_order, step, own, docs, good, bad, mask, (mask & own) > 0 AS fails, (mask & earlier) = 0 AS here FROM masks, steps
+), sums AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN here AND NOT fails THEN docs ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN here AND fails THEN docs ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN NOT here AND fails THEN docs ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = own THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN here AND fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN here AND fails THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM told GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley
+FROM sums
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with their middle moved to the end, and what is restored from them, as digests."""
+    done = middle.restore(middle.fill_in_middle(read(spark, root, "documents")))
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), e AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+), p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -174,10 +252,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op3_source_mix": OP3_SQL,
     "op4_archive": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
