@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framewright.session import scratch_path
 
-from . import audit, bpe, exact, jaccard, langid, lm, middle, mixing, quality, substring, toxicity, warc
+from . import audit, bpe, exact, jaccard, langid, lm, middle, mixing, quality, substring, suffixes, toxicity, warc
 from .common import held_out, learned_from, read
 
 #: Target weights of the sources; all others share OTHER_SOURCES.
@@ -241,6 +241,13 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM p
 """
 
+
+def op13_suffix_array_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without the byte strings of a hundred bytes or more that stand earlier somewhere."""
+    done = suffixes.remove_repeated_bytes(read(spark, root, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -254,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {
