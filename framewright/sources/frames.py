@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.checks import validate_header
 from ..schemas import FRAME_HEADER
+from ..session import scratch_table
 
 # Header fields in wire order.
 HEADER_FIELDS = ["v", "topic", "codec", "level", "dict_id", "schema_id", "count", "raw_len", "comp_len", "t0", "t1"]
@@ -17,12 +21,18 @@ SIGNATURE_FIELDS = ["hmac", "hmac_algo"]
 
 #: Bytes of payload after which the splitter hands a batch over.
 BATCH_BYTES = 32 * 1024 * 1024
-#: Largest wire file that is loaded as one value: what a value can hold. Larger ones are followed header by header.
-WHOLE_FILE_BYTES = (1 << 31) - 64
-#: Largest wire file: what a position can count.
-MOST_FILE_BYTES = (1 << 63) - 1
-#: Neighbouring frames of a large file that one task reads, unless their payloads come to BATCH_BYTES before.
-RANGE_FRAMES = 1_000
+#: Bytes of a wire file that one task searches for frames, and of payloads that it reads afterwards.
+RANGE_BYTES = 64 * 1024 * 1024
+#: Bytes read beyond a range, for the header of its last frame; a longer one is read by itself.
+BEYOND_BYTES = 64 * 1024
+#: A header of this many bytes or more is not usable.
+MOST_HEADER_BYTES = 1 << 24
+# File systems that Arrow opens, by scheme; Spark has other names for some of them.
+ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+# A length below MOST_HEADER_BYTES, and the start of a JSON object behind it; matches may overlap.
+_HEADER = re.compile(rb"(?=(\x00[\x00-\xff]{3})[ \t\r\n]*\{)")
 
 
 def frame_header(columns: list[str], hmac_name: str = "hmac") -> Column:
@@ -39,29 +49,29 @@ def encode_frames(frames: DataFrame, payload: str = "payload", header: str | Non
     return frames.withColumn("frame", F.concat(size, F.encode(text, "utf-8"), F.col(payload)))
 
 
-def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac") -> DataFrame:
+def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Frames of wire files: path, pos, header (JSON text), payload, bytes_left, error and the header fields as columns.
 
-    The position of a frame depends on all before it, so each file is followed from its start. Up to WHOLE_FILE_BYTES a
-    file is one value in a task; many files are read at a time, from any file system that Spark reads. Of larger files a
-    task reads the headers alone, through a seekable stream, and the payloads are then read as ranges spread over all tasks.
+    Files are read in ranges of *range_bytes*, many ranges of a file at a time. Where a frame starts depends on all frames
+    before it, which a range doesn't know: it tests every place that may be a header and links each to the place behind its
+    payload. Joining the ranges' chains from the start of the file keeps the frames and drops what only looks like one, such
+    as a frame inside a payload. Payloads are read last, in ranges too, so a task never holds more than a range and a frame.
 
     What cannot be read is a row with an error: ``truncated`` where a frame goes on behind the end of its file, or a header
-    that is not usable. Either ends its file, and bytes_left counts the bytes from there on. A large file is one row with
-    the error ``file_too_large`` where Arrow cannot open its file system, or where it is above MOST_FILE_BYTES.
+    that is not usable, as one of MOST_HEADER_BYTES or more. It ends its file, and bytes_left counts the bytes from there
+    on. An empty file has no rows.
+
+    Ranges need a file system that Arrow opens (ARROW_SCHEMES). In any other one, Spark loads each file as a value,
+    whatever its size, so files there must stay below 2 GiB.
     """
-    whole = min(WHOLE_FILE_BYTES, MOST_FILE_BYTES)
-    files = spark.read.format("binaryFile").load(path)
-    # the length is judged before the content is loaded
-    fits = files.filter(F.col("length") <= whole).select("path", "content")
-    large = spark.read.format("binaryFile").load(path).filter(F.col("length") > whole).select("path", "length")
-    most = MOST_FILE_BYTES
-    places = large.repartition("path").mapInArrow(
-        lambda tables: _hop(tables, most), "path STRING, pos BIGINT, header STRING, start BIGINT, size BIGINT, part BIGINT, bytes_left BIGINT, opened BOOLEAN")
-    read = places.filter("opened").repartition("path", "part").drop("part", "opened").mapInArrow(
-        _read_ranges, "path STRING, pos BIGINT, header STRING, payload BINARY, bytes_left BIGINT")
-    refused = places.filter("not opened").select("path", "pos", "bytes_left", F.lit("file_too_large").alias("error"))
-    return split_frames(fits, "path", "content", hmac_name).unionByName(_judged(read, hmac_name)).unionByName(refused, allowMissingColumns=True)
+    files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
+    ranged = [(f.path, f.length) for f in files if f.path.split(":", 1)[0] in ARROW_SCHEMES]
+    if len(ranged) < len(files):
+        return split_frames(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content", hmac_name)
+    spark.dataSource.register(WireSource)
+    source = spark.read.format("wire_frames").option("files", json.dumps(ranged)).option("range_bytes", range_bytes)
+    found = scratch_table(source.load(), "wire-frames")
+    return _judged(_payloads(_chained(found, range_bytes), range_bytes), hmac_name)
 
 
 def _open(path: str):
@@ -74,86 +84,172 @@ def _open(path: str):
         # Spark gives paths as URIs, with some characters escaped
         plain = unquote(path.removeprefix("file:")) if path.startswith("file:") else path
         return fs.LocalFileSystem().open_input_file("/" + plain.lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(path)
+    scheme, rest = path.split(":", 1)
+    system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}:{rest}")
     return system.open_input_file(inner)
 
 
-def _hop(tables: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Places of the frames of each file: where the payload starts, its size and the range it is read with."""
-    names = ["path", "pos", "header", "start", "size", "part", "bytes_left", "opened"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+@dataclass(frozen=True)
+class WireRange(InputPartition):
+    """Bytes *begin* to *end* of a file; frames that start there belong to it."""
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    path: str
+    begin: int
+    end: int
+    length: int
 
-    for table in tables:
-        for path, length in zip(*(c.to_pylist() for c in table.columns)):
-            try:
-                file = _open(path) if length <= most else None
-            except (OSError, ValueError, NotImplementedError):
-                file = None
-            if file is None:
-                yield batch([(path, 0, None, None, None, 0, length, False)])
-                continue
-            rows, part, count, held = [], 0, 0, 0
-            with file:
-                for pos, (header, start, size, left) in enumerate(_places(file, length)):
-                    if count >= RANGE_FRAMES or held >= BATCH_BYTES:
-                        part, count, held = part + 1, 0, 0
-                    rows.append((path, pos, header, start, size, part, left, True))
-                    count, held = count + 1, held + (size or 0)
-                    if len(rows) >= RANGE_FRAMES:
-                        yield batch(rows)
-                        rows = []
-            if rows:
-                yield batch(rows)
 
+class WireSource(DataSource):
+    """Places of wire files that may be frames, with the chains that they form inside their range.
 
-def _places(file, length: int) -> Iterator[tuple[str | None, int | None, int | None, int | None]]:
-    """Header, start and size of the payload and, where the file cannot be followed further, the bytes from that frame on."""
-    at = 0
-    while at < length:
-        start = at
-        file.seek(at)
-        at += 4 + int.from_bytes(file.read(4), "big") if at + 4 <= length else length
-        if at > length or start + 4 > length:
-            yield None, None, None, length - start
-            return
-        text = file.read(at - start - 4).decode("utf-8", "replace")
-        size = _payload_length(text)
-        if size is None or at + size > length:
-            yield text, None, None, length - start
-            return
-        yield text, at, size, None
-        at += size
+    A chain is a run of places each of which starts behind the payload of the one before; `chain` is its first place and
+    `idx` counts from there. `next` is the place behind the payload. A payload that goes on behind the end of the file has
+    no size, and `left` counts the bytes from its frame on. Every file has a row with chain -1, whose next place is 0.
+    """
 
+    @classmethod
+    def name(cls) -> str:
+        return "wire_frames"
+
+    def schema(self) -> str:
+        return "path STRING, at BIGINT, header STRING, start BIGINT, size BIGINT, left BIGINT, next BIGINT, chain BIGINT, idx BIGINT, ends BOOLEAN, length BIGINT"
+
+    def reader(self, schema: T.StructType) -> WireReader:
+        return WireReader(json.loads(self.options["files"]), int(self.options["range_bytes"]))
+
+
+class WireReader(DataSourceReader):
+    def __init__(self, files: list[tuple[str, int]], range_bytes: int) -> None:
+        self.files, self.range_bytes = files, range_bytes
+
+    def partitions(self) -> list[WireRange]:
+        return [WireRange(path, begin, min(begin + self.range_bytes, length), length)
+                for path, length in self.files for begin in range(0, length, self.range_bytes)]
+
+    def read(self, partition: WireRange) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        names = ["path", "at", "header", "start", "size", "left", "next", "chain", "idx", "ends", "length"]
+        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.int64()]
+        rows = _places(partition)
+        if partition.begin == 0:
+            rows.append((None, None, None, None, None, 0, -1, 0, True))
+        for first in range(0, len(rows), 10_000):
+            part = rows[first:first + 10_000]
+            columns = [[partition.path] * len(part), *zip(*part, strict=True), [partition.length] * len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _places(part: WireRange) -> list[tuple]:
+    """Everything in a range that may be a frame: at, header, start, size, left, next, chain, idx, ends."""
+    found: list[tuple] = []
+    with _open(part.path) as file:
+        file.seek(part.begin)
+        data = file.read(min(part.end + BEYOND_BYTES, part.length) - part.begin)
+        for match in _HEADER.finditer(data):
+            at = part.begin + match.start()
+            if at >= part.end:
+                break
+            start = at + 4 + int.from_bytes(match[1], "big")
+            if start > part.length:
+                continue
+            text = data[at + 4 - part.begin:start - part.begin]
+            if len(text) < start - at - 4:
+                file.seek(at + 4)
+                text = file.read(start - at - 4)
+            text = text.decode("utf-8", "replace")
+            size = _payload_length(text)
+            if size is not None:
+                cut = start + size > part.length
+                found.append((at, text, start, None if cut else size, part.length - at if cut else None, part.length if cut else start + size))
+    place = {row[0]: i for i, row in enumerate(found)}
+    chain, idx, ends = [row[0] for row in found], [0] * len(found), [True] * len(found)
+    taken = set()
+    for i, row in enumerate(found):
+        after = place.get(row[5])
+        # of several places that lead to one, the first goes on; the others' chains end there
+        if after is not None and after not in taken:
+            taken.add(after)
+            chain[after], idx[after], ends[i] = chain[i], idx[i] + 1, False
+    return [(*row, c, k, e) for row, c, k, e in zip(found, chain, idx, ends, strict=True)]
+
+
+def _chained(found: DataFrame, range_bytes: int) -> DataFrame:
+    """The frames among the places, with their position; and where a file can't be followed further, a row without header."""
+    ends = found.filter("ends").select("path", "chain", "idx", F.col("next").alias("exit"), "length")
+    targets = found.filter("chain >= 0").select(F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("chain").alias("to_chain"), F.col("idx").alias("to_idx"))
+    links = ends.join(targets, (F.col("path") == F.col("_path")) & (F.col("exit") == F.col("_at")), "left").drop("_path", "_at")
+
+    def walk(table: pa.Table) -> pa.Table:
+        """Chains that are entered, from which place on, and the position of that place; chain -2 stands for a broken end."""
+        link = {row.pop("chain"): row for row in table.to_pylist()}
+        path, chain, since, pos, out = table.column("path")[0].as_py(), -1, 0, -1, []
+        while chain is not None:
+            here = link[chain]
+            out.append((path, chain, since, pos, here["exit"]))
+            pos += here["idx"] + 1 - since
+            chain, since = here["to_chain"], here["to_idx"]
+        if here["exit"] < here["length"]:
+            out.append((path, -2, 0, pos, here["exit"]))
+        return pa.Table.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["path", "chain", "since", "first", "exit"])
+
+    entered = links.groupBy("path").applyInArrow(walk, "path STRING, chain BIGINT, since BIGINT, first BIGINT, exit BIGINT")
+    entered = scratch_table(entered, "wire-chains")
+    frames = found.filter("chain >= 0").join(entered.drop("exit"), ["path", "chain"]).filter("idx >= since").select(
+        "path", (F.col("first") + F.col("idx") - F.col("since")).alias("pos"), "at", "header", "start", "size", "left")
+    broken = entered.filter("chain = -2").join(found.filter("chain = -1").select("path", "length"), "path").select(
+        "path", F.col("first").alias("pos"), F.col("exit").alias("at"), F.lit(None).cast("string").alias("header"),
+        F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("size"), (F.col("length") - F.col("exit")).alias("left"))
+    return frames.unionByName(broken)
+
+
+def _payloads(frames: DataFrame, range_bytes: int) -> DataFrame:
+    """Rows of ``path``, ``pos``, ``header``, ``payload`` and ``bytes_left`` from places in files."""
+    names = ["path", "pos", "header", "payload", "bytes_left"]
+
+    def read(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, name, rows, held = None, None, [], 0
+
+        def batch() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        try:
+            for table in tables:
+                for row in table.to_pylist():
+                    if row["path"] != name:
+                        if file is not None:
+                            file.close()
+                        file, name = _open(row["path"]), row["path"]
+                    header, payload = row["header"], None
+                    if row["size"] is not None:
+                        file.seek(row["start"])
+                        payload = file.read(row["size"])
+                    elif header is None:
+                        header = _broken_header(file, row["at"], row["left"])
+                    rows.append((name, row["pos"], header, payload, row["left"]))
+                    held += (row["size"] or 0) + len(header or "")
+                    if held >= BATCH_BYTES:
+                        yield batch()
+                        rows, held = [], 0
+            if rows:
+                yield batch()
+        finally:
+            if file is not None:
+                file.close()
 
-def _read_ranges(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    file, name, rows, held = None, None, [], 0
+    part = F.floor(F.col("at") / range_bytes)
+    dealt = frames.repartition("path", part).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(read, "path STRING, pos BIGINT, header STRING, payload BINARY, bytes_left BIGINT")
 
-    def batch() -> pa.RecordBatch:
-        types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["path", "pos", "header", "payload", "bytes_left"])
 
-    try:
-        for table in tables:
-            for path, pos, header, start, size, left in zip(*(c.to_pylist() for c in table.columns)):
-                if size is not None and path != name:
-                    if file is not None:
-                        file.close()
-                    file, name = _open(path), path
-                if size is not None:
-                    file.seek(start)
-                rows.append((path, pos, header, None if size is None else file.read(size), left))
-                held += (size or 0) + len(header or "")
-                if held >= BATCH_BYTES:
-                    yield batch()
-                    rows, held = [], 0
-        if rows:
-            yield batch()
-    finally:
-        if file is not None:
-            file.close()
+def _broken_header(file, at: int, left: int) -> str | None:
+    """The text of a header that can't be used, or its beginning if it is too large; none if it is cut off."""
+    file.seek(at)
+    size = int.from_bytes(file.read(4), "big") if left >= 4 else left
+    if 4 + size > left:
+        return None
+    return file.read(size if size < MOST_HEADER_BYTES else BEYOND_BYTES).decode("utf-8", "replace")
 
 
 def _payload_length(text: str) -> int | None:

@@ -1,6 +1,7 @@
 import json
 import random
 import zlib
+from urllib.parse import unquote
 
 import pytest
 import zstandard
@@ -87,7 +88,7 @@ def test_signature_is_checked_below_the_decoder(spark, messages, registry):
     assert "Filter isnull(error" in below
 
 
-def test_wire_files(spark, messages, registry, tmp_path, monkeypatch):
+def test_wire_files(spark, messages, registry, tmp_path):
     frames = sign_frames(compress_batches(build_batches(assign_batches(messages, 100, 10_000)), registry), KEY)
     wire = encode_frames(frames).orderBy("topic", "batch_id").select("frame")
     blobs = [bytes(r.frame) for r in wire.collect()]
@@ -105,9 +106,6 @@ def test_wire_files(spark, messages, registry, tmp_path, monkeypatch):
     assert broken == {
         "b": (len(blobs) - 5, "truncated", len(blobs[0]) - 1), "c": (1, "missing:codec,comp_len,count,raw_len,v", 4 + len(bad) + 4),
         "d": (0, "truncated", 2)}
-    monkeypatch.setattr("framewright.sources.frames.MOST_FILE_BYTES", 10)
-    large = read_frames(spark, str(folder)).filter("error = 'file_too_large'")
-    assert {r.path[-5]: r.bytes_left for r in large.collect()} == {x: (folder / f"{x}.bin").stat().st_size for x in "abc"}
     whole = read.filter(F.col("path").rlike("[ab].bin")).filter("error is null")
     assert [r.pos for r in whole.filter(F.col("path").endswith("a.bin")).orderBy("pos").collect()] == list(range(5))
     lines = decode_frames(whole.drop("error"), registry, KEY).lines
@@ -129,25 +127,58 @@ def test_cut_payloads_raise(codec):
             decode(cut, most)
 
 
-def test_large_wire_files(spark, messages, registry, tmp_path, monkeypatch):
-    """A file above the size of a value gives the rows that a small one does."""
-    from framewright.sources import frames as wire
-
-    frames = sign_frames(compress_batches(build_batches(assign_batches(messages, 100, 10_000)), registry), KEY)
-    blobs = [bytes(r.frame) for r in encode_frames(frames).orderBy("topic", "batch_id").select("frame").collect()]
-    folder = tmp_path / "large wire"
+def _followed(path, blob):
+    """Position, header, payload and bytes left of all frames of a file, one after the other."""
+    out, at = [], 0
+    while at < len(blob):
+        size = int.from_bytes(blob[at:at + 4], "big")
+        if at + 4 > len(blob) or at + 4 + size > len(blob):
+            return [*out, (path, len(out), None, None, len(blob) - at)]
+        text = blob[at + 4:at + 4 + size].decode("utf-8", "replace")
+        try:
+            length = json.loads(text)["comp_len"]
+        except (ValueError, KeyError):
+            length = None
+        if length is None or at + 4 + size + length > len(blob):
+            return [*out, (path, len(out), text, None, len(blob) - at)]
+        out.append((path, len(out), text, blob[at + 4 + size:at + 4 + size + length], None))
+        at += 4 + size + length
+    return out
+
+
+def _wire(header, payload):
+    text = json.dumps({**header, "comp_len": len(payload)}).encode()
+    return len(text).to_bytes(4, "big") + text + payload
+
+
+@pytest.mark.parametrize("range_bytes", [29, 500, 1 << 20])
+def test_ranges_of_wire_files(spark, tmp_path, range_bytes):
+    """Any cutting into ranges gives what following a file from its start gives, forged frames in payloads included."""
+    r, folder = random.Random(8), tmp_path / "wire files"
     folder.mkdir()
-    bad = b'{"topic":"x"}'
-    (folder / "a b.bin").write_bytes(b"".join(blobs))
-    (folder / "b.bin").write_bytes(b"".join(blobs[:4]) + blobs[4][:-1])
-    (folder / "c.bin").write_bytes(blobs[0] + len(bad).to_bytes(4, "big") + bad + b"rest")
-    (folder / "d.bin").write_bytes(blobs[0] + b"\0\0")
-    rows = lambda: sorted(map(str, read_frames(spark, str(folder)).collect()))
-    small = rows()
-    assert len(small) == len(blobs) + 9
-    monkeypatch.setattr(wire, "WHOLE_FILE_BYTES", 10)
-    monkeypatch.setattr(wire, "RANGE_FRAMES", 3)
-    assert rows() == small
+    inner = [_wire({"topic": "forged", "n": k}, r.randbytes(20)) for k in range(4)]
+    # forged frames that lead to one another, to a true frame, into another payload, or behind the end of the file
+    payloads = [b"", r.randbytes(200), b"".join(inner), b"xx" + inner[0], inner[1][:-5], b"\0\0\0\x02{}" * 9, b"{" * 40,
+                b"\0\0\0\x11{\"comp_len\": 9999}", b"\0\0\0\x10{\"comp_len\": 300}", inner[2] + b"tail"]
+    frames = [_wire({"topic": "t", "n": k, "pad": "é" * r.randrange(30)}, p) for k, p in enumerate(payloads * 3)]
+    spaced = b" \n" + json.dumps({"comp_len": 2, "topic": "spaced"}).encode()
+    whole = b"".join(frames) + len(spaced).to_bytes(4, "big") + spaced + b"ab" + b"".join(frames[:2])
+    files = {"a b%.bin": whole, "cut.bin": whole[:-1], "short.bin": whole + b"\0\0", "bad.bin": frames[2] + b"\0\0\0\x0d{\"topic\":\"x\"}" + inner[0],
+             "junk.bin": b"\xff" * 50, "text.bin": b"\0\0\0\x05{nojs" + inner[0], "empty.bin": b"", "one.bin": frames[2]}
+    for name, blob in files.items():
+        (folder / name).write_bytes(blob if range_bytes > 100 else blob[:900])
+    got = read_frames(spark, str(folder), range_bytes=range_bytes).select("path", "pos", "header", "payload", "bytes_left").collect()
+    want = [row for f in folder.iterdir() for row in _followed(f.name, f.read_bytes())]
+    plain = lambda p: unquote(p).rsplit("/", 1)[1]
+    assert sorted(((plain(x[0]), x[1], x[2], bytes(x[3] or b"") or None, x[4]) for x in got), key=repr) == sorted(((*w[:3], w[3] or None, w[4]) for w in want), key=repr)
+
+
+def test_ranges_are_bounded():
+    from framewright.sources.frames import RANGE_BYTES, WireReader
+
+    parts = WireReader([("file:/x", 3 * 10**9), ("file:/y", 0), ("file:/z", 5)], RANGE_BYTES).partitions()
+    assert len(parts) == -(-3 * 10**9 // RANGE_BYTES) + 1
+    assert max(p.end - p.begin for p in parts) <= 256 << 20
 
 
 def test_hmac_header_name(spark, messages, registry):
