@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .fold import Entry, fold_rows
 from .ordered import N, order_rows
 
-#: Messages of one topic handled by one task; their text passes through Arrow, so this is lower than for plain scans.
+#: Messages of one topic that one task walks.
 CHUNK_MESSAGES = 200_000
 
 
@@ -29,9 +26,16 @@ def successors(times: np.ndarray, batch_max: int, span: int, mode: str) -> np.nd
     return np.minimum(late, np.arange(len(times)) + batch_max)
 
 
-def _times(table: pa.Table) -> np.ndarray:
-    """Times in microseconds; messages without one come first and count as very old."""
-    return pc.fill_null(table.column("_us"), -(2 ** 62)).to_numpy()
+def _reach(times: np.ndarray, since: int, room: int, own: int, span: int, mode: str) -> tuple[int, bool]:
+    """How many messages join the batch opened at *since*, which has *room* for more, and whether it is closed then.
+
+    *own* is 1 if the first message is the one that opens the batch.
+    """
+    late = int(np.searchsorted(times, since + span, side="left"))
+    if mode == "timer":
+        late = max(late, own)
+    closed = late < len(times) or room <= len(times)
+    return min(late + (mode == "arrival"), room, len(times)), closed
 
 
 def assign_batches(
@@ -53,8 +57,8 @@ def assign_batches(
     looked at when a message arrives, so that message is the last of the old batch. *ts* is a timestamp and with *seq*
     orders the messages of a topic.
 
-    The position of the next opener depends on the opener alone, and lies at most *batch_max* messages ahead. A chunk
-    of a hot topic is therefore summarized as a map over its first *batch_max* messages: if that message opens a batch,
+    Only times and positions are walked in Python; texts stay where they are. The position of the next opener depends on
+    the opener alone, and lies at most *batch_max* messages ahead. A chunk of a hot topic is therefore summarized as a map over its first *batch_max* messages: if that message opens a batch,
     which message of the next chunk opens one.
     """
     if mode not in ("timer", "arrival"):
@@ -64,25 +68,40 @@ def assign_batches(
     span = int(round(batch_ms * 1000))
     chunk_rows = max(chunk_rows, batch_max)
     rows = order_rows(messages, [topic], [ts, seq], chunk_rows=chunk_rows, strategy=strategy)
-    rows = rows.add(_us=F.unix_micros(F.col(ts).cast("timestamp")))
-
-    def apply(table: pa.Table, entry: Entry) -> list[pa.Array]:
-        times = _times(table)
-        first = table.column(N)[0].as_py()
-        following = successors(times, batch_max, span, mode)
-        ids = np.full(len(times), entry["opener"], dtype=np.int64)
-        at = entry["offset"]
-        while at < len(times):
-            end = following[at]
-            ids[at:end] = first + at
-            at = end
-        return [pa.array(ids)]
+    # messages without a time come first and count as very old
+    rows = rows.add(_us=F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2 ** 62))))
+
+    def scan(columns: list[pa.Array], state: Entry) -> tuple[list[pa.Array], Entry]:
+        numbers, times = (c.to_numpy() for c in columns)
+        size, opener, since = len(times), state["opener"], state["since"]
+        ids = np.full(size, opener, dtype=np.int64)
+        if since is None:  # so many messages belong to it, then another batch opens
+            at = min(state["offset"], size)
+            if at == size:
+                return [pa.array(ids)], {**state, "offset": state["offset"] - size}
+        else:
+            at, closed = _reach(times, since, batch_max - state["count"], 0, span, mode)
+            if not closed:
+                return [pa.array(ids)], {**state, "count": state["count"] + size}
+        if at < size:
+            openers, following = [], successors(times, batch_max, span, mode).tolist()
+            while at < size:
+                openers.append(at)
+                at = following[at]
+            starts = np.array(openers)
+            ids[starts[0]:] = np.repeat(numbers[starts], np.diff(np.append(starts, size)))
+            last = openers[-1]
+            opener, since = int(numbers[last]), int(times[last])
+            _, closed = _reach(times[last:], since, batch_max, 1, span, mode)
+        if closed:
+            since = None
+        return [pa.array(ids)], {"offset": 0, "opener": opener, "since": since, "count": size - last if since is not None else 0}
 
     def summarize(table: pa.Table) -> Entry:
         positions = table.column(N).to_numpy()
         first = int(positions[0])
         size = min(chunk_rows, len(positions))
-        following = successors(_times(table), batch_max, span, mode)
+        following = successors(table.column("_us").to_numpy(), batch_max, span, mode)
         # jump along the openers, doubling the stride, until each one has left the chunk
         at = np.arange(min(batch_max, size))
         opener = at.copy()
@@ -96,20 +115,23 @@ def assign_batches(
             inside = jump[:size] < size
         return {"exits": (jump[at] - size).tolist(), "openers": (first + last[opener]).tolist()}
 
-    def chain(summaries: Iterable[Entry]) -> Iterable[Entry]:
-        state = {"offset": 0, "opener": 1}
-        for s in summaries:
-            yield state
-            if state["offset"] < len(s["exits"]):
-                at = state["offset"]
-                state = {"offset": s["exits"][at], "opener": s["openers"][at]}
+    def compose(a: Entry, b: Entry) -> Entry:
+        led = [step({"offset": x, "opener": o}, b) for x, o in zip(a["exits"], a["openers"], strict=True)]
+        return {"exits": [e["offset"] for e in led], "openers": [e["opener"] for e in led]}
+
+    def step(state: Entry, s: Entry) -> Entry:
+        at = state["offset"]
+        # only the last chunk of a topic is shorter than an offset
+        out = (s["exits"][at], s["openers"][at]) if at < len(s["exits"]) else (at, state["opener"])
+        return {"offset": out[0], "opener": out[1], "since": None, "count": 0}
 
     rows = fold_rows(
-        rows, ["_us"], [T.StructField("batch_id", T.LongType())], apply, {"offset": 0, "opener": 1},
+        rows, [N, "_us"], [T.StructField("batch_id", T.LongType())], scan, {"offset": 0, "opener": 1, "since": None, "count": 0},
         [T.StructField("exits", T.ArrayType(T.LongType())), T.StructField("openers", T.ArrayType(T.LongType()))],
         summarize,
-        [T.StructField("offset", T.LongType()), T.StructField("opener", T.LongType())], chain,
-        overlap=batch_max,
+        [T.StructField("offset", T.LongType()), T.StructField("opener", T.LongType()), T.StructField("since", T.LongType()),
+         T.StructField("count", T.LongType())],
+        step, compose, overlap=batch_max,
     )
     return rows.on(rows.df.drop("_us")).result()
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,23 +75,26 @@ def breaker_states(
     if rules.failures < 1 or rules.successes < 1:
         raise ValueError("failures and successes must be at least 1")
     machine = _Machine(rules)
+    # by code; the open state is the last one, which -1 finds
+    names = np.array([machine.name(c) for c in [*range(machine.codes), -1]], object)
     rows = order_rows(attempts, [target], order, chunk_rows=chunk_rows, strategy=strategy)
     rows = rows.add(_t=F.col(order[0]).cast("double"), _ok=F.coalesce(F.col("ok"), F.lit(False)))
 
-    def apply(table: pa.Table, entry: Entry) -> list[pa.Array]:
-        code, since = entry["code"], entry["since"]
-        met, allowed, after = [], [], []
-        for now, ok in zip(table.column("_t").to_pylist(), table.column("_ok").to_pylist()):
+    def scan(columns: list[pa.Array], state: Entry) -> tuple[list[pa.Array], Entry]:
+        code, since = state["code"], state["since"]
+        met, after = [], []
+        for now, ok in zip(*[c.to_pylist() for c in columns], strict=True):
             if code < 0 and machine.ready(since, now):
                 code = machine.half
-            met.append(machine.name(code))
-            allowed.append(code >= 0)
+            met.append(code)
             if code >= 0:
                 code = machine.after(code, ok)
                 if code < 0:
                     since = now
-            after.append(machine.name(code))
-        return [pa.array(met, pa.string()), pa.array(allowed, pa.bool_()), pa.array(after, pa.string())]
+            after.append(code)
+        met, after = np.array(met), np.array(after)
+        named = lambda codes: pa.array(names[codes], pa.string())
+        return [named(met), pa.array(met >= 0), named(after)], {"code": code, "since": since}
 
     def summarize(table: pa.Table) -> Entry:
         times = table.column("_t").to_numpy()
@@ -120,28 +123,36 @@ def breaker_states(
             "open_codes": [c for c, _ in exits], "open_times": [t for _, t in exits],
         }
 
-    def chain(summaries: Iterable[Entry]) -> Iterable[Entry]:
-        code, since = 0, math.nan
-        for s in summaries:
-            yield {"code": code, "since": since}
-            if code >= 0:
-                code, since = s["codes"][code], s["times"][code]
-                continue
-            upto = np.asarray(s["upto"])
-            at = int(np.searchsorted(upto, since + rules.timeout, side="right" if rules.late else "left"))
-            if at < len(upto):
-                code, since = s["open_codes"][at], s["open_times"][at]
+    def step(state: Entry, s: Entry) -> Entry:
+        code, since = state["code"], state["since"]
+        if code >= 0:
+            return {"code": s["codes"][code], "since": s["times"][code]}
+        at = int(np.searchsorted(s["upto"], since + rules.timeout, side="right" if rules.late else "left"))
+        return {"code": s["open_codes"][at], "since": s["open_times"][at]} if at < len(s["upto"]) else state
+
+    def compose(a: Entry, b: Entry) -> Entry:
+        led = [step({"code": c, "since": t}, b) for c, t in zip(a["codes"], a["times"], strict=True)]
+        # a circuit opened before both: the attempts of the first part that find it half open, then those of the second
+        exits = [(u, *step({"code": c, "since": t}, b).values()) for u, c, t in zip(a["upto"], a["open_codes"], a["open_times"], strict=True)]
+        exits += [x for x in zip(b["upto"], b["open_codes"], b["open_times"], strict=True) if not exits or x[0] > a["upto"][-1]]
+        kept: list[tuple] = []
+        for x in exits:
+            if kept and _same(kept[-1][1:], x[1:]):
+                kept.pop()
+            kept.append(x)
+        return {"codes": [e["code"] for e in led], "times": [e["since"] for e in led], "upto": [x[0] for x in kept],
+                "open_codes": [x[1] for x in kept], "open_times": [x[2] for x in kept]}
 
     many = lambda name, kind: T.StructField(name, T.ArrayType(kind))
     rows = fold_rows(
         rows, ["_t", "_ok"],
         [T.StructField("state_before", T.StringType()), T.StructField("allowed", T.BooleanType()),
          T.StructField("state_after", T.StringType())],
-        apply, {"code": 0, "since": math.nan},
+        scan, {"code": 0, "since": math.nan},
         [many("codes", T.IntegerType()), many("times", T.DoubleType()), many("upto", T.DoubleType()),
          many("open_codes", T.IntegerType()), many("open_times", T.DoubleType())],
         summarize,
-        [T.StructField("code", T.IntegerType()), T.StructField("since", T.DoubleType())], chain,
+        [T.StructField("code", T.IntegerType()), T.StructField("since", T.DoubleType())], step, compose,
     )
     return rows.on(rows.df.drop("_t", "_ok")).result()
 
