@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from framewright.session import scratch_table
 from . import sketch
 from .common import byte_texts, small_batches
 
-#: Bytes of a window, and of the sequences whose least hash deals it out (three times eight).
-WINDOW, MER = 100, 24
+#: Bytes of a window, and of the sequences whose least hash deals it out (eight at three places).
+WINDOW, MER = 100, 20
 #: A least hash may be that of this many runs, or this many times as many as the mean; windows of others go one by one.
 HOT_COUNT, HOT_MEANS = 4096, 64
 #: Windows of the input per bucket.
@@ -38,7 +39,7 @@ KEPT = 200_000
 SEND_BYTES, SORT_BYTES = 24 << 20, 1 << 20
 BATCH_BYTES = 2 << 20
 
-_COLUMNS = {"key": np.uint64, "doc": np.int64, "mark": np.int64, "start": np.int32, "count": np.int32, "inner": np.int8}
+_COLUMNS = {"key": np.uint32, "doc": np.int64, "mark": np.int64, "start": np.int32, "count": np.int32, "inner": np.int8}
 _LAST = np.iinfo(np.int64).max
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -53,8 +54,8 @@ def _mers(eights: np.ndarray) -> np.ndarray:
     """64-bit hashes of all sequences of MER bytes."""
     places = max(len(eights) - MER + 8, 0)
     mixed = np.zeros(places, np.uint64)
-    for k, factor in enumerate(_MIX):
-        mixed ^= eights[8 * k:8 * k + places]
+    for at, factor in zip((0, 8, MER - 8), _MIX, strict=True):
+        mixed ^= eights[at:at + places]
         mixed *= factor
         mixed ^= mixed >> np.uint64(31)
     return mixed
@@ -128,12 +129,17 @@ def _together(*columns: np.ndarray) -> np.ndarray:
     return result
 
 
-def _smaller(values: np.ndarray, than: np.ndarray) -> np.ndarray:
-    """How many *values* are smaller than each of the others."""
-    order = np.argsort(than)
-    result = np.empty(len(than), np.int64)
-    result[order] = np.searchsorted(np.sort(values), than[order])
-    return result
+def _below(ids: np.ndarray, count: int) -> np.ndarray:
+    """For every id below *count*, how many *ids* are smaller."""
+    return np.cumsum(np.bincount(ids, minlength=count)) - np.bincount(ids, minlength=count)
+
+
+def _merged(zeros: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many zeros are smaller than each zero, how many others than each zero, and how many zeros than each other."""
+    distinct, ids = np.unique(np.concatenate([zeros, others]), return_inverse=True)
+    zero, other = ids[:len(zeros)], ids[len(zeros):]
+    zeros_below = _below(zero, len(distinct))
+    return zeros_below[zero], _below(other, len(distinct))[zero], zeros_below[other]
 
 
 def difference_cover_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -156,14 +162,12 @@ def difference_cover_ranks(symbols: np.ndarray, depth: int) -> np.ndarray:
     rank[cover] = names + 1
     # a suffix of the remaining third against the two others: by one symbol or two, then by the rank behind them
     at = np.concatenate([zeros, ones])
-    zero_one, one = np.split(_together(s[at], rank[at + 1]), [len(zeros)])
+    among, below_one, over_one = _merged(*np.split(_together(s[at], rank[at + 1]), [len(zeros)]))
     at = np.concatenate([zeros, twos])
-    zero_two, two = np.split(_together(s[at], s[at + 1], rank[at + 2]), [len(zeros)])
+    _, below_two, over_two = _merged(*np.split(_together(s[at], s[at + 1], rank[at + 2]), [len(zeros)]))
     result = np.empty(size, np.int64)
-    result[cover] = _smaller(names, names)
-    result[ones] += _smaller(zero_one, one)
-    result[twos] += _smaller(zero_two, two)
-    result[zeros] = _smaller(zero_one, zero_one) + _smaller(one, zero_one) + _smaller(two, zero_two)
+    result[cover] = _below(names, int(names.max(initial=0)) + 1)[names] + np.concatenate([over_one, over_two])
+    result[zeros] = among + below_one + below_two
     return result[:n]
 
 
@@ -219,12 +223,15 @@ def _ranges(owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(values).tobytes())
+    """Compressed numbers, first all their first bytes, then all second ones and so on: most of them agree."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    return zstandard.ZstdCompressor(3).compress(planes.T.tobytes())
 
 
 def _unpack(values: list[bytes], kind: type) -> np.ndarray:
-    open_ = zstandard.ZstdDecompressor()
-    return np.concatenate([np.frombuffer(open_.decompress(v), kind) for v in values]) if values else np.zeros(0, kind)
+    open_, size = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize
+    planes = [np.frombuffer(open_.decompress(v), np.uint8).reshape(size, -1) for v in values]
+    return np.concatenate([np.ascontiguousarray(p.T).view(kind).reshape(-1) for p in planes]) if planes else np.zeros(0, kind)
 
 
 class _Outbox:
@@ -236,7 +243,7 @@ class _Outbox:
         self.known: list[tuple] = []
 
     def add(self, run: tuple, string: bytes) -> None:
-        self.runs[run[0] % self.buckets].append((*run, string))
+        self.runs[run[0] % self.buckets].append((run[0] >> 32, *run[1:], string))
         self.size += len(string) + 100
 
     def sent(self) -> Iterator[pa.RecordBatch]:
@@ -244,6 +251,7 @@ class _Outbox:
             runs = [np.array(c, k) for c, k in zip(zip(*self.known, strict=True), _COLUMNS.values(), strict=True)]
             yield self._row(self.known[0][1] % self.buckets, runs, None)
         for bucket, rows in self.runs.items():
+            rows.sort(key=itemgetter(0))
             *runs, strings = zip(*rows, strict=True)
             yield self._row(bucket, [np.array(c, k) for c, k in zip(runs, _COLUMNS.values(), strict=True)], b"".join(strings))
         self.__init__(self.buckets)
@@ -392,18 +400,28 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "
     bits; null ones come after all others and count as one document, as do rows that repeat an identifier: of those the
     earlier place wins whatever its row, and none is earlier at the same place. Other columns are left out.
 
-    A bucket has about BUCKET_WINDOWS windows, and one least hash a bounded number of runs in it; windows beyond that go
+    Texts meet their ranges compressed. A bucket has about BUCKET_WINDOWS windows, and one least hash a bounded number of runs in it; windows beyond that go
     to the buckets of their own hashes. Equal strings leave a task once, and SORT_BYTES of strings, or those of one
     least hash, are sorted at a time.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("mark"))
+    # rows without identifier, which may be many, are told apart by more bits than rows that share one
+    mark = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.hash(F.col(text_col)).cast("long"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), mark.alias("mark"))
     ranges = scratch_table(_repeated(rows, window), "repeated-bytes")
     by_row = ranges.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(3)
         for batch in small_batches(batches, "text", BATCH_BYTES):
+            texts = pa.array([press.compress(t) for t in byte_texts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc").fill_null(_LAST), batch.column("mark"), texts], ["doc", "mark", "text"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+        for batch in small_batches(batches, "text", BATCH_BYTES // 4):
             sizes, removed, spans, kept = [], [], [], []
             for text, ranges in zip(byte_texts(batch.column("text")), batch.column("ranges"), strict=True):
+                text = open_.decompress(text)
                 sizes.append(len(text))
                 if not ranges.is_valid or not len(ranges.values):
                     removed.append(0), spans.append(0), kept.append(text)
@@ -420,6 +438,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, id_col: str = "
                 [batch.column("id"), *[pa.array(c, pa.int64()) for c in (sizes, removed, spans)], pa.array(kept, pa.binary())],
                 [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    keyed = rows.withColumn("doc", F.coalesce("doc", F.lit(_LAST)))
+    keyed = rows.mapInArrow(pressed, "doc long, mark long, text binary")
     told = keyed.join(by_row, ["doc", "mark"], "left").select(F.nullif("doc", F.lit(_LAST)).alias("id"), "text", "ranges")
     return told.mapInArrow(keep, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
