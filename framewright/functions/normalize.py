@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -64,7 +62,6 @@ def _lone_surrogate(value: object) -> bool:
 
 def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg: str) -> DataFrame:
     paths = [path.partition(".")[::2] for path in drop]
-    index = messages.columns.index(msg)
 
     def clean(text: str | None) -> str | None:
         try:
@@ -82,11 +79,8 @@ def _any_json(messages: DataFrame, drop: tuple[str, ...], sort_keys: bool, msg:
         broken = "\\ud" in text.lower() and _lone_surrogate(value)
         return json.dumps(value, ensure_ascii=broken, separators=(",", ":"), sort_keys=sort_keys)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([clean(t) for t in batch.column(index).to_pylist()], pa.string())
-            columns = list(batch.columns)
-            columns[index] = texts
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([clean(t) for t in texts.to_pylist()], pa.string())
 
-    return messages.mapInArrow(run, messages.schema)
+    # other columns don't go to Python
+    return messages.withColumn(msg, F.arrow_udf(run, T.StringType())(F.col(msg)))

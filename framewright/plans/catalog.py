@@ -1104,11 +1104,12 @@ def _late_files(spark: SparkSession, rows: DataFrame, ends: DataFrame | None = N
 SELECT topic, batch_id, count, raw_len, first_us / 1000000.0 AS t0, last_us / 1000000.0 AS t1 FROM x""")
 def streamed_batches(spark, root):
     """All messages, some files late; a last row per topic ends the input, so the open batches come out as well."""
-    messages = i.messages(spark, root).select("topic", "ts", "seq", "msg")
-    ends = messages.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("msg", F.lit(None).cast("string"))
+    messages = i.messages(spark, root).select("topic", "ts", "seq", "msg", F.lit(False).alias("ends"))
+    ends = messages.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumns({
+        "msg": F.lit(None).cast("string"), "ends": F.lit(True)})
     stream, delay = _late_files(spark, messages, ends)
-    valid = ingest(stream).filter(F.col("error").isNull() | F.col("msg").isNull()).drop("error")
-    return run_available(stream_batches(valid, 20, 6 * 3_600_000, delay_ms=delay), "batches").drop("payload")
+    valid = ingest(stream).filter(F.col("error").isNull() | F.col("ends")).drop("error")
+    return run_available(stream_batches(valid, 20, 6 * 3_600_000, delay_ms=delay, end="ends"), "batches").drop("payload")
 
 
 @query(f"""WITH {i.FLUSHED}, x AS (SELECT topic, us // {6 * HOUR_US} AS k, {TOTALS},

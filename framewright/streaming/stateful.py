@@ -15,6 +15,9 @@ from ..operators.breaker import VARIANTS, Rules, _Machine
 
 
 _NEVER, _ALWAYS = -(1 << 62), 1 << 62
+_FIELDS = ["at", "us", "seq", "msg"]
+#: Slots of time that the age of a batch spans, and the least length of one in microseconds.
+SLOTS, LEAST_SLOT = 8, 1000
 
 
 def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -23,70 +26,101 @@ def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
 
 
 class _Batcher(StatefulProcessor):
-    """Rows that no closed batch has yet, put in order as far as they can be final.
+    """Rows by slot of time until their slot is final, and the rows of the open batch.
 
-    A row is final once a row of its key is *delay* younger. Rows that come after younger ones have become final join at
-    the end of those. A batch closes by its number of rows, or when a final row, or the delay, has passed its deadline.
+    A slot is final once a row of its key is *delay* younger than its end. Rows that come for a final slot go to the front
+    of the first one that isn't. A batch closes by its number of rows, or when its deadline lies in a final slot. A
+    micro-batch reads and writes the slots that its rows belong to and those that become final, and no others.
     """
 
     def __init__(self, keys: list[str], batch_max: int, span_us: int, delay_us: int, idle_ms: int | None):
         self.keys, self.batch_max, self.span, self.delay, self.idle = keys, batch_max, span_us, delay_us, idle_ms
+        self.width = max(span_us // SLOTS, LEAST_SLOT)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lines = handle.getListState("lines", "at BIGINT, us BIGINT, seq BIGINT, msg STRING")
-        self.place = handle.getValueState("place", "newest BIGINT, final BIGINT, position BIGINT, timer BIGINT")
-
-    def _restored(self) -> tuple[pd.DataFrame, tuple]:
-        held = list(self.lines.get()) if self.lines.exists() else []
-        place = self.place.get() if self.place.exists() else (_NEVER, _NEVER, 0, -1)
-        return pd.DataFrame(held, columns=["at", "us", "seq", "msg"]), place
-
-    def _kept(
-        self, key: Any, rows: pd.DataFrame, newest: int, passed: int, position: int, horizon: int, timer: int
-    ) -> Iterator[pd.DataFrame]:
-        """Give out the batches that are closed at *horizon* and keep the other rows."""
-        rows = rows.sort_values(["at", "us", "seq"], kind="stable")
-        at = rows["at"].to_numpy()
-        final = int(np.searchsorted(at, horizon, side="right"))
+        rows = "at ARRAY<BIGINT>, us ARRAY<BIGINT>, seq ARRAY<BIGINT>, msg ARRAY<STRING>"
+        self.slots = handle.getMapState("slots", "slot BIGINT", rows)
+        self.open = handle.getValueState("open", rows)
+        self.place = handle.getValueState("place", "newest BIGINT, final BIGINT, lowest BIGINT, position BIGINT, timer BIGINT")
+
+    def _placed(self) -> tuple:
+        """Newest time, first time that isn't final, lowest slot with rows, rows given out, timer."""
+        return tuple(self.place.get()) if self.place.exists() else (_NEVER, _NEVER, _ALWAYS, 0, -1)
+
+    def _store(self, rows: pd.DataFrame) -> int:
+        """Add rows to their slots; the lowest of these."""
+        lowest = _ALWAYS
+        for slot, part in rows.groupby(rows["at"] // self.width):
+            held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ([], [], [], [])
+            self.slots.updateValue((slot,), tuple([*h, *part[c].tolist()] for h, c in zip(held, _FIELDS)))
+            lowest = min(lowest, int(slot))
+        return lowest
+
+    def _taken(self, before: int) -> tuple[list[pd.DataFrame], int]:
+        """The rows of all slots below *before*, which are removed, and the lowest slot that stays."""
+        numbers = [int(k[0]) for k in self.slots.keys()]
+        done = [k for k in numbers if k < before]
+        parts = [pd.DataFrame(dict(zip(_FIELDS, map(list, self.slots.getValue((k,)))))) for k in done]
+        for k in done:
+            self.slots.removeKey((k,))
+        return parts, min((k for k in numbers if k >= before), default=_ALWAYS)
+
+    def _closed(self, key: Any, parts: list[pd.DataFrame], position: int, final: int) -> tuple[list[dict], int]:
+        """The batches that are closed when no row below *final* can come any more, and how many rows have been given out."""
+        if self.open.exists():
+            parts = [pd.DataFrame(dict(zip(_FIELDS, map(list, self.open.get())))), *parts]
+        rows = pd.concat(parts, ignore_index=True).sort_values(["at", "us", "seq"], kind="stable") if parts else pd.DataFrame(columns=_FIELDS)
+        at = rows["at"].to_numpy(dtype=np.int64)
         done, start = [], 0
-        while start < final:
-            end = min(start + self.batch_max, int(np.searchsorted(at[:final], at[start] + self.span, side="left")))
-            if end - start < self.batch_max and end == final and horizon < at[start] + self.span:
+        while start < len(at):
+            late = int(np.searchsorted(at, at[start] + self.span, side="left"))
+            end = min(start + self.batch_max, max(late, start + 1))
+            if end - start < self.batch_max and end == len(at) and final < at[start] + self.span:
                 break
             done.append(self._batch(key, position + start + 1, rows.iloc[start:end]))
             start = end
-        rows = rows.iloc[start:]
-        if len(rows):
-            self.lines.put(list(zip(*[rows[c].tolist() for c in ("at", "us", "seq", "msg")])))
-        else:
-            self.lines.clear()
-        passed = max(passed, int(at[final - 1])) if final else passed
-        self.place.update((newest, passed, position + start, timer))
+        if start < len(at):
+            self.open.update(tuple(rows[c].iloc[start:].tolist() for c in _FIELDS))
+        elif self.open.exists():
+            self.open.clear()
+        return done, position + start
+
+    def _advanced(self, key: Any, new: pd.DataFrame, place: tuple, until: int) -> Iterator[pd.DataFrame]:
+        """Everything below the time *until* is final from now on; *new* rows at or above it are stored."""
+        newest, final, lowest, position, timer = place
+        lowest = min(lowest, self._store(new[new["at"] >= until]))
+        parts = [new[new["at"] < until]] if (new["at"] < until).any() else []
+        if lowest < until // self.width:
+            stored, lowest = self._taken(until // self.width)
+            parts += stored
+        done, position = self._closed(key, parts, position, until) if parts or until > final else ([], position)
+        # what ended may go on: times then count from the last one seen
+        final = until if until < _ALWAYS else max(final, (newest // self.width + 1) * self.width)
+        self.place.update((newest, final, lowest, position, timer))
         if done:
             yield pd.DataFrame(done)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held, (newest, passed, position, timer) = self._restored()
+        newest, final, lowest, position, timer = self._placed()
         data = pd.concat(list(rows), ignore_index=True)
-        ended = bool(data["msg"].isna().any())
+        ended = bool(data["ends"].any())
         data = data[data["msg"].notna()]
         if len(data):
             newest = max(newest, int(data["us"].max()))
-        data = data.assign(at=data["us"].clip(lower=passed))[["at", "us", "seq", "msg"]]
+        data = data.assign(at=data["us"].clip(lower=final))[_FIELDS]
         if self.idle is not None:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + self.idle
             self.handle.registerTimer(timer)
-        horizon = _ALWAYS if ended else newest - self.delay
-        both = data if held.empty else pd.concat([held, data], ignore_index=True)
-        yield from self._kept(key, both, newest, passed, position, max(horizon, passed), timer)
+        until = _ALWAYS if ended else max(final, (newest - self.delay + 1) // self.width * self.width)
+        yield from self._advanced(key, data, (newest, final, lowest, position, timer), until)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        held, (newest, passed, position, timer) = self._restored()
-        if timer == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._kept(key, held, newest, passed, position, _ALWAYS, -1)
+        place = self._placed()
+        if place[-1] == expiredTimerInfo.getExpiryTimeInMs():
+            yield from self._advanced(key, pd.DataFrame(columns=_FIELDS), (*place[:-1], -1), _ALWAYS)
 
     def _batch(self, key: tuple, first: int, rows: pd.DataFrame) -> dict:
         text = "".join(f"{m}\n" for m in rows["msg"]).encode()
@@ -100,20 +134,22 @@ class _Batcher(StatefulProcessor):
 
 def stream_batches(
     messages: DataFrame, batch_max: int = 100, batch_ms: float = 250, *, delay_ms: float, idle_ms: int | None = None,
-    shard: str | None = None,
+    shard: str | None = None, end: str | None = None,
 ) -> DataFrame:
     """Count-or-age batches of a stream (topic, ts, seq, msg), as ``assign_batches`` in mode ``timer`` forms them.
 
     No message is dropped. Those that are up to *delay_ms* older than the newest of their topic are put in order, so the
-    batches equal those of the whole table; older ones still join the batches that are open when they come. State is the
-    open batch and the messages of the last *delay_ms* of a key.
+    batches equal those of the whole table; older ones still join the batches that are open when they come. A row whose
+    msg is null is no message and changes nothing. State is the open batch and the messages of the last *delay_ms* of a
+    key, in slots of time: a micro-batch writes those that change, however long the delay is.
 
-    A row whose msg is null ends the input of its key: all that is held comes out. So it does when no message has
-    arrived for *idle_ms* of processing time. A topic that is too much for one task needs a *shard* column: each shard
-    then forms batches of its own.
+    A row whose boolean column *end* is true ends the input of its key: all that is held comes out. So it does when no
+    message has arrived for *idle_ms* of processing time; what comes afterwards opens a new batch. A topic that is too
+    much for one task needs a *shard* column: each shard then forms batches of its own.
     """
     keys = ["topic", *([shard] if shard else [])]
-    rows = messages.select(*keys, F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "msg")
+    ends = F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)
+    rows = messages.select(*keys, F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "msg", ends.alias("ends"))
     out = T.StructType([
         *[rows.schema[k] for k in keys],
         *T.StructType.fromDDL(
@@ -134,11 +170,12 @@ class _Monitor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ema, base, n, state, run = self.state.get() if self.state.exists() else (None, None, 0, "warmup", 0)
         out = []
-        for row in _in_order(rows).itertuples(index=False):
-            if row.retrain:
+        data = _in_order(rows)
+        ratios = data["comp_len"].to_numpy() / np.maximum(data["raw_len"].to_numpy(), 1)
+        for us, seq, retrain, ratio in zip(*[c.tolist() for c in (data["us"], data["seq"], data["retrain"], ratios)], strict=True):
+            if retrain:
                 base, state, run = ema, "normal", 0
                 continue
-            ratio = row.comp_len / max(row.raw_len, 1)
             n += 1
             ema = ratio if ema is None else ema + self.alpha * (ratio - ema)
             event = "ratio_update"
@@ -151,7 +188,7 @@ class _Monitor(StatefulProcessor):
                     state, event = "drifted", "drift_detected"
             elif state == "drifted" and rel is not None and rel <= self.recovery:
                 state, event, run = "normal", "recovered", 0
-            out.append((key[0], row.us, row.seq, ratio, ema, base, 0.0 if base is None else ema - base, event, n, state, run))
+            out.append((key[0], us, seq, ratio, ema, base, 0.0 if base is None else ema - base, event, n, state, run))
         self.state.update((ema, base, n, state, run))
         if out:
             yield pd.DataFrame(out, columns=[
@@ -192,15 +229,16 @@ class _Breaker(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         code, since = self.state.get() if self.state.exists() else (0, math.nan)
         out = []
-        for row in _in_order(rows).itertuples(index=False):
-            now = row.us / 1e6
+        data = _in_order(rows)
+        for us, seq, ok in zip(*[data[c].tolist() for c in ("us", "seq", "ok")], strict=True):
+            now = us / 1e6
             if code < 0 and self.machine.ready(since, now):
                 code = self.machine.half
             met = code
             if code >= 0:
-                code = self.machine.after(code, bool(row.ok))
+                code = self.machine.after(code, ok)
                 since = now if code < 0 else since
-            out.append((key[0], row.us, row.seq, bool(row.ok), self.machine.name(met), met >= 0, self.machine.name(code)))
+            out.append((key[0], us, seq, ok, self.machine.name(met), met >= 0, self.machine.name(code)))
         self.state.update((code, since))
         yield pd.DataFrame(out, columns=["target", "us", "seq", "ok", "state_before", "allowed", "state_after"])
 

@@ -13,7 +13,7 @@ from framewright.functions.auth import sign_frames
 from framewright.sources.registry_store import current_registry, publish_snapshot
 from framewright.streaming.flows import (
     decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, stream_metrics, window_metrics)
-from framewright.streaming.stateful import stream_batches, stream_breaker, stream_monitor
+from framewright.streaming.stateful import _Batcher, stream_batches, stream_breaker, stream_monitor
 
 
 def as_stream(spark, df, path, files=3, order="seq"):
@@ -36,8 +36,13 @@ def messages(spark, n=120, seed=1):
 
 
 def ended(df):
-    """A last row without a message per topic."""
-    return df.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).withColumn("msg", F.lit(None).cast("string"))
+    """A last row per topic that ends its input."""
+    last = df.groupBy("topic").agg(F.max("ts").alias("ts"), F.max("seq").alias("seq"))
+    return last.withColumns({"msg": F.lit(None).cast("string"), "ends": F.lit(True)}).select("topic", "seq", "msg", "ts", "ends")
+
+
+def going_on(df):
+    return df.select("topic", "seq", "msg", "ts", F.lit(False).alias("ends"))
 
 
 def in_files(spark, parts, path):
@@ -55,7 +60,7 @@ def test_stream_batches_equal_batch_form(spark, tmp_path):
     df = messages(spark).cache()
     late = F.floor(F.col("seq") / 20) + F.when(F.col("seq") % 7 == 0, 3).when(F.col("seq") % 5 == 0, 1).otherwise(0)
     parts = [df.filter(late == k) for k in range(9)]
-    got = run_available(stream_batches(in_files(spark, [*parts, ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=2_000), "batches")
+    got = run_available(stream_batches(in_files(spark, [*map(going_on, parts), ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=2_000, end="ends"), "batches")
     assert got.count() == len(all_batches(got))
     assert all_batches(got) == all_batches(build_batches(assign_batches(df, 7, 20)))
 
@@ -64,7 +69,7 @@ def test_stream_batches_lose_no_late_row(spark, tmp_path):
     """Without a delay late rows can't be put in order, but in equals out."""
     df = messages(spark).cache()
     parts = [df.filter(F.col("seq") % 4 == k) for k in (3, 0, 2, 1)]
-    got = run_available(stream_batches(in_files(spark, [*parts, ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=0), "batches")
+    got = run_available(stream_batches(in_files(spark, [*map(going_on, parts), ended(df)], str(tmp_path / "in")), 7, 20, delay_ms=0, end="ends"), "batches")
     lines = sorted(x for r in got.collect() for x in bytes(r.payload).decode().split("\n")[:-1])
     assert lines == sorted(r.msg for r in df.collect()) and got.agg(F.sum("count")).first()[0] == 120
     assert got.filter("count > 7").isEmpty()
@@ -72,6 +77,112 @@ def test_stream_batches_lose_no_late_row(spark, tmp_path):
     assert len(ids) == len(set(ids))
 
 
+class _Cell:
+    """A state variable in memory that counts the values written to it."""
+
+    def __init__(self):
+        self.held, self.written = {}, 0
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, value):
+        self.updateValue((), value)
+
+    def clear(self):
+        del self.held[()]
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.written += sum(len(v) if isinstance(v, list) else 1 for v in value)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+class _Handle:
+    def __init__(self):
+        self.cells = {}
+
+    def getValueState(self, name, schema):
+        return self.cells.setdefault(name, _Cell())
+
+    def getMapState(self, name, key, value):
+        return self.cells.setdefault(name, _Cell())
+
+
+def _fed(files, batch_max, span_us, delay_us):
+    """Batches of the processor for files of (us, seq, msg, ends), and the numbers written per file."""
+    import pandas as pd
+
+    handle, processor = _Handle(), _Batcher(["topic"], batch_max, span_us, delay_us, None)
+    processor.init(handle)
+    out, written = [], []
+    for rows in files:
+        before = sum(c.written for c in handle.cells.values())
+        for part in processor.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["us", "seq", "msg", "ends"])]), None):
+            out += part.to_dict("records")
+        written.append(sum(c.written for c in handle.cells.values()) - before)
+    return out, written
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_batcher_equals_loop(seed):
+    """Rows late by less than the delay, nulls among them, in micro-batches of any size."""
+    r = random.Random(seed)
+    span, most = r.choice([0, 5_000, 20_000, 900_000]), r.choice([1, 4, 9])
+    now, rows = 0, []
+    for k in range(300):
+        now += r.choice([0, 0, 1, 500, 4_000, 70_000])
+        rows.append((now, k, f"m{k}"))
+    delay, files = 300_000, []
+    arrival = sorted(rows, key=lambda x: x[0] + r.randrange(delay))
+    while arrival:
+        n = r.randrange(1, 40)
+        files.append([(*x, False) for x in arrival[:n]] + [(arrival[0][0], 10_000, None, False)])
+        arrival = arrival[n:]
+    got, _ = _fed([*files, [(0, 0, None, True)]], most, span, delay)
+    want, at = [], 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and end - at < most and rows[end][0] < rows[at][0] + span:
+            end += 1
+        want.append((at + 1, end - at, "".join(f"{m}\n" for _, _, m in rows[at:end]).encode()))
+        at = end
+    assert [(b["batch_id"], b["count"], b["payload"]) for b in got] == want
+
+
+def test_null_messages_change_no_batch():
+    rows = [(1000 * k, k, f"m{k}", False) for k in range(20)]
+    clean, _ = _fed([rows, [(0, 0, None, True)]], 10, 10**9, 0)
+    holed, _ = _fed([rows[:5], [(5000, 99, None, False)], rows[5:], [(0, 0, None, True)]], 10, 10**9, 0)
+    assert [b["count"] for b in holed] == [10, 10] and [b["payload"] for b in holed] == [b["payload"] for b in clean]
+
+
+def test_input_may_go_on_after_its_end():
+    first = [(1000 * k, k, f"m{k}", k == 4) for k in range(5)]
+    got, _ = _fed([first, [(6000, 6, "m6", False), (100, 7, "late", False)], [(0, 0, None, True)]], 10, 10**9, 0)
+    assert [(b["batch_id"], b["count"]) for b in got] == [(1, 5), (6, 2)]
+
+
+def test_state_written_does_not_grow_with_the_delay():
+    files = [[(10_000 * (10 * k + j), 10 * k + j, "m", False) for j in range(10)] for k in range(100)]
+    most = [max(_fed(files, 50, 200_000, delay)[1][20:]) for delay in (1_000_000, 5_000_000, 1_000_000_000)]
+    assert max(most) <= 1.3 * most[0]
+
+
 def test_metrics_sink_counts_late_rows(spark, tmp_path):
     df = messages(spark).select(
         "topic", "ts", "seq", F.lit(2).cast("long").alias("count"), (F.col("seq") + 10).alias("raw_len"),
@@ -93,7 +204,7 @@ def test_stream_monitor_equals_batch_form(spark, tmp_path):
     df = spark.createDataFrame(rows, "topic string, seq long, raw_len long, comp_len long").withColumn(
         "ts", F.timestamp_micros(F.col("seq")))
     columns = ["topic", "seq", "event_type", "state", "batch_count", "consecutive_drift"]
-    got = run_available(stream_monitor(as_stream(spark, df, str(tmp_path / "in")), 0.3, 10, 0.2, 3, 0.05), "monitor")
+    got = run_available(stream_monitor(as_stream(spark, df, str(tmp_path / "in"), files=7), 0.3, 10, 0.2, 3, 0.05), "monitor")
     want = ratio_events(df, alpha=0.3, warmup=10)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     assert {"drift_detected", "warmup_complete"} <= {r.event_type for r in got.collect()}
