@@ -2,7 +2,7 @@
 
 from .functions.auth import hmac_hex, sign_frames, verify_frames
 from .functions.checks import (
-    quarantine, quarantine_counts, validate_dict_id, validate_header, validate_sizes, validate_topic)
+    observe_outcomes, outcome_counts, quarantine, quarantine_counts, validate_dict_id, validate_header, validate_sizes, validate_topic)
 from .functions.normalize import normalize
 from .functions.scalars import dict_file_name, dict_id, pressure_cols, ratio_cols, trained_dict_id
 from .operators.batching import assign_batches, build_batches, payload_size
@@ -26,7 +26,8 @@ from .sources.files import (
     log_events, read_log_events, read_messages, read_samples, read_timeline, sample_files)
 from .sources.frames import encode_frames, read_frame_table, read_frames, split_frames
 from .sources.registry_store import (
-    current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index, write_dict_files, write_dict_index)
+    change_registry, current_registry, expire_snapshots, index_report, index_to_registry, publish_snapshot, read_dict_index,
+    write_dict_files, write_dict_index)
 from .sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
 from .streaming.flows import (
     decode_sink, ingest, metrics_sink, retrain_step, run_available, run_each, stream_metrics, window_metrics)

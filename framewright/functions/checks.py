@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 # Size limits and name patterns.
 MAX_TOPIC_LENGTH = 255
@@ -14,6 +14,9 @@ DICT_ID_PATTERN = r"^[a-zA-Z0-9:_-]+\z"
 DICT_ID_PATTERN_WITH_DOT = r"^[a-zA-Z0-9.:_-]+\z"
 REQUIRED_FIELDS = ["codec", "comp_len", "count", "raw_len", "topic", "v"]
 
+#: What topic_error can say.
+TOPIC_ERRORS = ["empty", "too_long", "path_traversal", "leading_separator", "bad_character", "trailing_dot"]
+
 
 def topic_error(topic: Column) -> Column:
     return (
@@ -111,3 +114,22 @@ def quarantine(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFram
 def quarantine_counts(df: DataFrame, error: str = "error") -> DataFrame:
     """Rows per outcome, ``valid`` for those without an error."""
     return df.groupBy(F.coalesce(F.col(error), F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("frames"))
+
+
+def observe_outcomes(df: DataFrame, kinds: list[str], error: str = "error") -> tuple[DataFrame, Observation]:
+    """Count the outcomes of rows while they are written: no pass of its own.
+
+    *kinds* are the errors that may occur; any others count as ``other``. ``outcome_counts`` gives the numbers after the
+    first action on the frame. On a stream they come with every micro-batch, to a listener or in the query's progress.
+    """
+    seen = Observation("outcomes")
+    value = F.col(error)
+    counts = [F.count_if(value.isNull()).alias("valid"), *[F.count_if(value == k).alias(k) for k in kinds],
+              F.count_if(value.isNotNull() & ~value.isin(kinds)).alias("other")]
+    return (df.observe("outcomes", *counts) if df.isStreaming else df.observe(seen, *counts)), seen
+
+
+def outcome_counts(spark: SparkSession, seen: Observation) -> DataFrame:
+    """Rows per outcome that occurred, as ``quarantine_counts`` has them."""
+    rows = [(k, n) for k, n in seen.get.items() if n]
+    return spark.createDataFrame(rows, "outcome string, frames long")

@@ -250,12 +250,13 @@ def dict_as_of(
 ) -> DataFrame:
     """Add the version in force at the time of each batch: created_at <= t < end, as dict_id and version.
 
-    The end of a version is its retirement or the creation of the next one. A registry of checked size with few versions
+    The end of a version is its retirement or the creation of the next one; a version without a creation date is never in
+    force, and at no time no version is. A registry of checked size with few versions
     per topic is broadcast as one sorted array per topic; otherwise versions and batches are put into one order and the
     last version is taken. strategy: ``lookup``, ``scan`` or ``auto``.
     """
     following = F.lead("created_at").over(Window.partitionBy("topic").orderBy("created_at", "version"))
-    spans = registry.select("topic", "version", "dict_id", "created_at", "retired_at").withColumn(
+    spans = registry.filter(F.col("created_at").isNotNull()).select("topic", "version", "dict_id", "created_at", "retired_at").withColumn(
         "_end", F.least(F.col("retired_at"), following))
     if strategy == "auto":
         sizes = group_sizes(registry, ["topic"])
@@ -265,7 +266,7 @@ def dict_as_of(
         span = F.struct(F.col("created_at").alias("start"), "version", "dict_id", F.col("_end").alias("end"))
         per_topic = spans.groupBy("topic").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
         t = F.col(at)
-        rows = batches.join(F.broadcast(per_topic), "topic", "left")
+        rows = batches.join(broadcast_if_small(per_topic), "topic", "left")
         hit = F.filter("_spans", lambda s: (s["start"] <= t) & (s["end"].isNull() | (t < s["end"])))
         rows = rows.withColumn("_hit", F.try_element_at(hit, F.lit(-1)))
         return rows.withColumns({

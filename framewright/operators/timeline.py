@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import broadcast_if_small
 from .ordered import CHUNK_ROWS, N, order_rows, previous, running_sums
@@ -57,25 +57,32 @@ def state_intervals(
 
 def outage_latency(
     timeline: DataFrame, incidents: DataFrame | None = None, *, at: str = "timestamp", state: str = "breaker_state",
-    incident: str = "incident",
+    incident: str = "incident", slice_seconds: float = 3600.0,
 ) -> DataFrame:
     """Per incident: seconds from the start of the outage to the first OPEN, and from that to the next CLOSED.
 
     *timeline* has the incident id on each row, and *incidents* (incident, outage_start) tells when the outage began;
     without it the first sample of the incident is taken.
+
+    The samples are read once and dealt out by incident and slice of time, so a long incident is not one task. A slice
+    tells its first OPEN, its first CLOSED and its first CLOSED from the former on; the slices of an incident then
+    tell the rest: that of its first OPEN the last of these, later ones their first CLOSED.
     """
-    first = lambda name: F.min(F.when(F.col(state) == name, F.col(at)))
-    if incidents is None:
-        # every sample of an incident is at or after its first one
-        spans = timeline.groupBy(incident).agg(F.min(at).alias("outage_start"), first("OPEN").alias("opened_at"))
-        starts, opened = spans.select(incident, "outage_start"), spans.filter("opened_at IS NOT NULL").select(incident, "opened_at")
-    else:
+    samples = timeline.select(incident, F.col(at).alias("_at"), F.col(state).alias("_state"))
+    if incidents is not None:
         starts = incidents.select(incident, "outage_start")
-        later = timeline.join(broadcast_if_small(starts), incident).filter(F.col(at) >= F.col("outage_start"))
-        opened = later.groupBy(incident).agg(first("OPEN").alias("opened_at")).filter("opened_at IS NOT NULL")
-    later = timeline.join(broadcast_if_small(opened), incident).filter(F.col(at) >= F.col("opened_at"))
-    closed = later.groupBy(incident).agg(first("CLOSED").alias("closed_at"))
-    out = starts.join(opened, incident, "left").join(closed, incident, "left")
+        samples = samples.join(broadcast_if_small(starts), incident).filter(F.col("_at") >= F.col("outage_start")).drop("outage_start")
+    first = lambda name, since=None: F.min(F.when(
+        F.col("_state") == name if since is None else (F.col("_state") == name) & (F.col("_at") >= F.col(since)), F.col("_at")))
+    sliced = samples.withColumn("_slice", F.floor(F.col("_at") / slice_seconds))
+    sliced = sliced.withColumn("_open", first("OPEN").over(Window.partitionBy(incident, "_slice")))
+    told = sliced.groupBy(incident, "_slice").agg(
+        F.min("_at").alias("_first"), F.min("_open").alias("_open"), first("CLOSED").alias("_closed"), first("CLOSED", "_open").alias("_after"))
+    told = told.withColumn("_opened", F.min("_open").over(Window.partitionBy(incident)))
+    closed = F.coalesce(F.when(F.col("_closed") >= F.col("_opened"), F.col("_closed")), F.when(F.col("_after") >= F.col("_opened"), F.col("_after")))
+    out = told.groupBy(incident).agg(F.min("_first").alias("outage_start"), F.min("_opened").alias("opened_at"), F.min(closed).alias("closed_at"))
+    if incidents is not None:
+        out = starts.join(out.drop("outage_start"), incident, "left")
     return out.withColumns({
         "detection_seconds": F.col("opened_at") - F.col("outage_start"),
         "recovery_seconds": F.col("closed_at") - F.col("opened_at"),

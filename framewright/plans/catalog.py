@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.auth import sign_frames, verify_frames
 from ..functions.checks import (
-    quarantine, quarantine_counts, validate_dict_id, validate_header, validate_sizes, validate_topic)
+    TOPIC_ERRORS, observe_outcomes, outcome_counts, quarantine, validate_dict_id, validate_header, validate_sizes, validate_topic)
 from ..functions.normalize import normalize
 from ..functions.scalars import dict_id, pressure_cols, ratio_cols, trained_dict_id
 from ..operators.batching import assign_batches, build_batches, payload_size
@@ -209,7 +209,11 @@ def topic_checks(spark, root):
 
 @query(f"WITH {CANDIDATES} SELECT {TOPIC_RULES} AS outcome, count(*) AS frames FROM c GROUP BY 1")
 def topic_quarantine(spark, root):
-    return quarantine_counts(validate_topic(_candidates(spark, root)))
+    """Valid and rejected rows written in one pass over the input, which counts them as well."""
+    rows, seen = observe_outcomes(validate_topic(_candidates(spark, root)), TOPIC_ERRORS)
+    path = scratch_path(spark, "judged")
+    rows.withColumn("usable", F.col("error").isNull()).write.partitionBy("usable").parquet(path)
+    return outcome_counts(spark, seen)
 
 
 @query(f"""WITH {CANDIDATES} SELECT id, CASE WHEN topic = '' THEN 'valid' WHEN length(topic) > 128 THEN 'too_long'

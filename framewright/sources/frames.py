@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.checks import validate_header
 from ..schemas import FRAME_HEADER
 from ..session import scratch_table
+from .stores import ARROW_SCHEMES, open_input, scheme_of
 
 # Header fields in wire order.
 HEADER_FIELDS = ["v", "topic", "codec", "level", "dict_id", "schema_id", "count", "raw_len", "comp_len", "t0", "t1"]
@@ -27,8 +28,7 @@ RANGE_BYTES = 64 * 1024 * 1024
 BEYOND_BYTES = 64 * 1024
 #: A header of this many bytes or more is not usable.
 MOST_HEADER_BYTES = 1 << 24
-# File systems that Arrow opens, by scheme; Spark has other names for some of them.
-ARROW_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
 
 
 # A length below MOST_HEADER_BYTES, and the start of a JSON object behind it; matches may overlap.
@@ -65,7 +65,7 @@ def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac", range_b
     whatever its size, so files there must stay below 2 GiB.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").collect()
-    ranged = [(f.path, f.length) for f in files if f.path.split(":", 1)[0] in ARROW_SCHEMES]
+    ranged = [(f.path, f.length) for f in files if scheme_of(f.path) in ARROW_SCHEMES]
     if len(ranged) < len(files):
         return split_frames(spark.read.format("binaryFile").load(path).select("path", "content"), "path", "content", hmac_name)
     spark.dataSource.register(WireSource)
@@ -74,21 +74,6 @@ def read_frames(spark: SparkSession, path: str, hmac_name: str = "hmac", range_b
     return _judged(_payloads(_chained(found, range_bytes), range_bytes), hmac_name)
 
 
-def _open(path: str):
-    """A random-access file from any file system that Arrow reaches."""
-    from urllib.parse import unquote
-
-    from pyarrow import fs
-
-    if path.startswith(("file:", "/")):
-        # Spark gives paths as URIs, with some characters escaped
-        plain = unquote(path.removeprefix("file:")) if path.startswith("file:") else path
-        return fs.LocalFileSystem().open_input_file("/" + plain.lstrip("/"))
-    scheme, rest = path.split(":", 1)
-    system, inner = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}:{rest}")
-    return system.open_input_file(inner)
-
-
 @dataclass(frozen=True)
 class WireRange(InputPartition):
     """Bytes *begin* to *end* of a file; frames that start there belong to it."""
@@ -143,7 +128,7 @@ class WireReader(DataSourceReader):
 def _places(part: WireRange) -> list[tuple]:
     """Everything in a range that may be a frame: at, header, start, size, left, next, chain, idx, ends."""
     found: list[tuple] = []
-    with _open(part.path) as file:
+    with open_input(part.path) as file:
         file.seek(part.begin)
         data = file.read(min(part.end + BEYOND_BYTES, part.length) - part.begin)
         for match in _HEADER.finditer(data):
@@ -220,7 +205,7 @@ def _payloads(frames: DataFrame, range_bytes: int) -> DataFrame:
                     if row["path"] != name:
                         if file is not None:
                             file.close()
-                        file, name = _open(row["path"]), row["path"]
+                        file, name = open_input(row["path"]), row["path"]
                     header, payload = row["header"], None
                     if row["size"] is not None:
                         file.seek(row["start"])

@@ -13,7 +13,7 @@ from ..operators.codec import DICT_SIZE, decode_frames, train_dicts
 from ..operators.metrics import _derived, _flush_throughput, _totals
 from ..operators.registry import publish_versions, retrain_candidates, sample_window, training_readiness
 from ..session import SETTINGS, broadcast_if_small, scratch_path, scratch_table
-from ..sources.registry_store import current_name, current_registry, publish_snapshot
+from ..sources.registry_store import change_registry, current_registry
 from ..sources.sinks import frame_metrics
 
 
@@ -135,9 +135,8 @@ def retrain_step(
             trained = train_dicts(samples.join(chosen, "topic", "left_semi"), size).filter(F.col("error").isNull())
             trained = trained.select("topic", "dict_bytes").persist()
             if not trained.isEmpty():
-                at, before = now(), current_name(spark, registry_root)
-                changed = publish_versions(current_registry(spark, registry_root, before), trained, at)
-                publish_snapshot(changed, registry_root, based_on=before)
+                at = now()
+                change_registry(spark, registry_root, lambda known: publish_versions(known, trained, at))
                 if on_retrained is not None:
                     on_retrained(current_registry(spark, registry_root).filter(F.col("created_at") == at))
             trained.unpersist()

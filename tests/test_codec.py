@@ -1,5 +1,6 @@
 import json
 import random
+import threading
 import zlib
 from urllib.parse import unquote
 
@@ -21,8 +22,9 @@ from framewright.session import scratch_table
 from framewright.sources.files import read_log_events, read_messages, read_samples, sample_files
 from framewright.sources.frames import encode_frames, read_frame_table, read_frames
 from framewright.sources.registry_store import (
-    MovedOn, current_name, current_registry, index_report, index_to_registry, publish_snapshot, read_dict_index,
+    MovedOn, change_registry, current_name, current_registry, expire_snapshots, index_report, index_to_registry, publish_snapshot, read_dict_index,
     write_dict_files, write_dict_index)
+from framewright.sources.stores import create_once, names_in, read_small
 from framewright.sources.sinks import frame_metrics, write_metrics, write_topic_jsonl
 
 KEY = "0b" * 32
@@ -366,6 +368,67 @@ def test_publishing_notices_another_publisher(spark, registry, tmp_path):
     assert current_name(spark, root) == second and not current_registry(spark, root).isEmpty()
 
 
+def test_two_publishers_at_once_both_land(spark, registry, tmp_path):
+    """Every change is made on the state that the other one left: none is lost."""
+    root = str(tmp_path / "registry")
+    publish_snapshot(registry.limit(0), root)
+    meet = threading.Barrier(2)
+
+    def add(topic):
+        met = []
+
+        def change(known):
+            if not met:  # both look at the same state first
+                met.append(meet.wait(60))
+            one = spark.createDataFrame([(topic, 1, "d", bytearray(b"x"), 1.0, None)], known.schema)
+            return known.unionByName(one)
+
+        change_registry(spark, root, change)
+
+    threads = [threading.Thread(target=add, args=(t,)) for t in ("a", "b")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {r.topic for r in current_registry(spark, root).collect()} == {"a", "b"}
+    newest = current_name(spark, root)
+    assert len(expire_snapshots(spark, root, keep=1)) == 2 and expire_snapshots(spark, root, keep=1) == []
+    assert current_name(spark, root) == newest and current_registry(spark, root).count() == 2
+    assert len(list((tmp_path / "registry" / "snapshots").iterdir())) == 1
+
+
+def test_a_name_is_given_once(spark, tmp_path):
+    path = str(tmp_path / "p" / "1")
+    assert create_once(spark, path, b"first") and not create_once(spark, path, b"second")
+    assert read_small(spark, path) == "first" and names_in(spark, str(tmp_path / "p")) == ["1"]
+
+
+def test_an_aborted_write_leaves_no_entry(spark, registry, tmp_path):
+    root = str(tmp_path / "dicts")
+    active = active_versions(registry)
+    write_dict_files(active.filter("topic = 'sensors.temp'"), root)
+    before = sorted(p.name for p in (tmp_path / "dicts").iterdir() if not p.name.endswith(".crc"))
+    fails = F.udf(lambda b: (_ for _ in ()).throw(ValueError("broken")), "binary")
+    broken = active.filter("topic <> 'sensors.temp'").withColumn("dict_bytes", fails("dict_bytes"))
+    good = active.withColumn("version", F.col("version") + 5).withColumn("topic", F.concat("topic", F.lit("x")))
+    with pytest.raises(Exception, match="broken"):
+        write_dict_files(good.unionByName(broken), root)
+    assert {r.topic for r in read_dict_index(spark, root).collect()} == {"sensors.temp"}
+    left = sorted(p.name for p in (tmp_path / "dicts").iterdir() if not p.name.endswith(".crc"))
+    assert "dict_index.json" in left and set(before) <= set(left)
+
+
+def test_versions_without_a_date_are_never_in_force(spark):
+    versions = spark.createDataFrame(
+        [("a", 1, "d1", None, None), ("a", 2, "d2", 10.0, None), ("b", 1, "d3", None, None)],
+        "topic string, version int, dict_id string, created_at double, retired_at double")
+    batches = spark.createDataFrame([("a", 5.0, 1), ("a", 15.0, 2), ("a", None, 3), ("b", 5.0, 4)], "topic string, t0 double, batch_id long")
+    want = {1: "", 2: "d2", 3: "", 4: ""}
+    for strategy in ("lookup", "scan", "auto", "chunked"):
+        got = {r.batch_id: r.dict_id for r in dict_as_of(batches, versions, strategy=strategy, chunk_rows=2).collect()}
+        assert got == want, strategy
+
+
 def test_files(spark, tmp_path):
     for topic, n in (("a.b", 2), ("c", 1)):
         folder = tmp_path / "samples" / topic

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.auth import sign_frames, verify_frames
 from framewright.functions.checks import (
-    MAX_MESSAGE_BYTES, quarantine, quarantine_counts, size_error, validate_dict_id, validate_header, validate_sizes,
+    MAX_MESSAGE_BYTES, TOPIC_ERRORS, observe_outcomes, outcome_counts, quarantine, quarantine_counts, size_error, validate_dict_id, validate_header, validate_sizes,
     validate_topic)
 from framewright.functions.normalize import normalize
 from framewright.functions.scalars import dict_file_name, dict_id, pressure_cols, ratio_cols, trained_dict_id
@@ -145,3 +145,22 @@ def test_ratios_and_ids(spark):
         dict_id(F.col("t"), F.col("v"), F.col("b")).alias("a"), trained_dict_id(F.col("t"), F.col("b")).alias("b"),
         dict_file_name(F.col("t"), F.col("v")).alias("c")).first()
     assert tuple(row) == (f"d:sensors_te_mp:v3:{digest[:12]}", f"d:sensors.te-mp:{digest[:16]}", "sensors_te-mp.v3.dict")
+
+
+def test_outcomes_are_counted_while_rows_are_written(spark, tmp_path):
+    rows = validate_topic(column(spark, ["a.b", "", "c..d", "x y", "x y", "p.", None]), "x")
+    watched, seen = observe_outcomes(rows, [k for k in TOPIC_ERRORS if k != "trailing_dot"])
+    watched.write.parquet(str(tmp_path / "out"))
+    counted = {r.outcome: r.frames for r in outcome_counts(spark, seen).collect()}
+    plain = {r.outcome: r.frames for r in quarantine_counts(rows).collect()}
+    assert counted == {"other" if k == "trailing_dot" else k: n for k, n in plain.items()}
+
+
+def test_outcomes_of_a_stream(spark, tmp_path):
+    column(spark, ["a.b", "", "x y"]).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x string").parquet(str(tmp_path / "in"))
+    watched, _ = observe_outcomes(validate_topic(stream, "x"), TOPIC_ERRORS)
+    query = watched.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = [p["observedMetrics"]["outcomes"] for p in query.recentProgress if "outcomes" in p["observedMetrics"]]
+    assert sum(c["valid"] for c in counts) == 1 and sum(c["bad_character"] for c in counts) == 1

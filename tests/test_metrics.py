@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +121,37 @@ def test_outage(spark):
     assert rows == {"i1": (1.0, 6.0), "i2": (None, None)}
 
 
+def _funnel(rows, starts):
+    out = {}
+    for k in {i for i, _, _ in rows} | set(starts or {}):
+        mine = sorted((t, s) for i, t, s in rows if i == k)
+        start = starts.get(k) if starts is not None else mine[0][0]
+        if start is None:
+            continue
+        opened = min((t for t, s in mine if s == "OPEN" and t >= start), default=None)
+        closed = min((t for t, s in mine if s == "CLOSED" and opened is not None and t >= opened), default=None)
+        out[k] = (None if opened is None else opened - start, None if closed is None else closed - opened)
+    return out
+
+
+@pytest.mark.parametrize("seconds", [1.0, 7.0, 1e9])
+@pytest.mark.parametrize("known", [False, True])
+def test_outage_in_any_slices(spark, seconds, known):
+    r = random.Random(int(seconds))
+    rows = [(f"i{k}", float(r.randrange(60)), r.choice(["OPEN", "CLOSED", "HALF_OPEN", "CLOSED"])) for k in range(12) for _ in range(r.randrange(1, 12))]
+    starts = {f"i{k}": float(r.randrange(50)) for k in range(0, 14, 2)} if known else None
+    tl = spark.createDataFrame(rows, "incident string, timestamp double, breaker_state string")
+    given = spark.createDataFrame(list(starts.items()), "incident string, outage_start double") if known else None
+    got = outage_latency(tl, given, slice_seconds=seconds)
+    assert {x.incident: (x.detection_seconds, x.recovery_seconds) for x in got.collect()} == _funnel(rows, starts)
+
+
+def test_outage_reads_its_input_once(spark, tmp_path):
+    timeline(spark).withColumn("incident", F.lit("i1")).write.parquet(str(tmp_path / "t"))
+    plan = outage_latency(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_dictionary_pays_for_small_batches(spark):
     """A feed of small batches: with a dictionary they take well below what they take without."""
     i = F.col("id")
