@@ -117,7 +117,7 @@ def _covered(docs: DataFrame, window: int) -> DataFrame:
                 return text[offsets[i]:offsets[i + n + window - 1] - 1]  # noqa: B023
 
             # equal windows of this batch: the first in order stands for the others
-            by_hash = valid[np.argsort(whole[valid], kind="stable")]
+            by_hash = valid[np.lexsort((place[valid], doc[valid], whole[valid]))]
             again = np.flatnonzero(whole[by_hash[1:]] == whole[by_hash[:-1]]) + 1
             known = np.zeros(len(whole), bool)
             first, before = -1, -2
@@ -174,22 +174,32 @@ def _covered(docs: DataFrame, window: int) -> DataFrame:
             order = np.lexsort((start, doc, key))
             same = key[order[1:]] == key[order[:-1]]
             several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            seen: dict[bytes, tuple[int, int]] = {}
-            current, found = None, []
-            for r in order[several]:
+            found = []
+
+            def settle(windows: list[tuple[bytes, int, int, int]]) -> None:
+                """Sort the windows of one key: of equal ones, all after the first place are repeated."""
+                windows.sort()
+                first, twice = (None, 0, 0, 0), []
+                for w in windows:
+                    if w[0] != first[0]:
+                        first = w
+                    elif w[1:3] != first[1:3]:
+                        twice.append((w[3], w[2]))
+                if not twice:
+                    return
+                twice.sort()
+                run, place = (np.array(x) for x in zip(*twice, strict=True))
+                f, n = _ranges(place, run)
+                found.append((doc[run[f]], mark[run[f]], place[f], n))
+
+            current, windows = None, []
+            for r in order[several].tolist():
                 if key[r] != current:
-                    current, seen = key[r], {}
-                words = strings[r].split(b" ")
-                at = int(start[r])
-                twice = []
-                for j in range(len(words) - window + 1):
-                    here = (int(doc[r]), at + j)
-                    if seen.setdefault(b" ".join(words[j:j + window]), here) != here:
-                        twice.append(at + j)
-                if twice:
-                    twice = np.array(twice)
-                    f, n = _ranges(twice, np.zeros(len(twice)))
-                    found.append((np.full(len(f), doc[r]), np.full(len(f), mark[r]), twice[f], n))
+                    settle(windows)
+                    current, windows = key[r], []
+                words, at, d = strings[r].split(b" "), int(start[r]), int(doc[r])
+                windows += [(b" ".join(words[j:j + window]), d, at + j, r) for j in range(len(words) - window + 1)]
+            settle(windows)
             for column, parts in zip(out, zip(*found, strict=True), strict=False):
                 column.extend(parts)
         names = ["doc", "mark", "start", "count"]
@@ -206,8 +216,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     A word goes if it lies in a window of *window* words that also starts earlier: in a document with a smaller
     identifier, or further to the front of the same one. Windows are judged on the whole input texts, not on what is
     left. Texts with fewer words lose nothing; null and empty ones have no words and keep an empty text. Null identifiers
-    come after all others and count as one document, as do rows that repeat an identifier: of those none is earlier at
-    the same place, and each keeps a row of its own. Other columns are left out.
+    come after all others and count as one document, as do rows that repeat an identifier: of those the earlier place wins
+    whatever its row, none is earlier at the same place, and each keeps a row of its own. Other columns are left out.
 
     Buckets have about BUCKET_WORDS words each: a minimiser belongs to a bounded number of windows, all others are
     spread by their own hash and sent once per task. Equal windows are compared word by word.
