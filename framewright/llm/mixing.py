@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Steps of a uniform number; 13 hexadecimal digits fit into a double exactly.
 _STEPS = 16.0 ** 13
 
+#: Largest mean that one table inverts, and copies that are listed at once.
+MOST_RATE, BLOCK = 50.0, 10_000
+
 
 def _hash_hex(*parts: Column | str) -> Column:
     texts = [F.coalesce(p.cast("string"), F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -59,19 +62,36 @@ def mix(docs: DataFrame, weights: dict[str, float], other: float, epochs: float
     among them, share the weight *other*. Rows that repeat an identifier are drawn alike; a null identifier counts as
     an empty text. An input column named `copy` is replaced. Texts play no part, whether null, empty or long.
 
-    The distribution tables go into the plan, one per named source; documents cross the network once, for the order.
+    The distribution tables go into the plan, one per named source and of bounded size: a mean above MOST_RATE is the sum of
+    equal smaller ones, drawn one by one from hashes of seed, identifier and number. Copies come in blocks, so a
+    document with very many of them is no long list. Documents cross the network once, for the order.
     """
     means = rates(docs, weights, other, epochs, source_col)
-    u = F.col("_draw")
+    # names that the input doesn't have
+    draw, times, start = (_free(c, docs.columns) for c in ("_draw", "_times", "_start"))
+    u = F.col(draw)
 
     def drawn(source: str | None) -> Column:
-        steps = F.array(*map(F.lit, poisson_steps(means.get(source, 0.0))))
-        return F.size(F.filter(steps, lambda p: p < u))
-
-    named = F.lit(None).cast("int")
+        mean = means.get(source, 0.0)
+        parts = max(1, math.ceil(mean / MOST_RATE))
+        steps = F.expr(f"array({', '.join(f'{p!r}D' for p in poisson_steps(mean / parts))})")
+        below = lambda x: F.size(F.filter(steps, lambda p: p < x)).cast("long")
+        if parts == 1:
+            return below(u)
+        draws = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: uniform(seed, F.col(id_col), k))
+        return F.aggregate(draws, F.lit(0).cast("long"), lambda total, x: total + below(x))
+
+    named = F.lit(None).cast("long")
     for source in weights:
         named = F.when(F.col(source_col) == source, drawn(source)).otherwise(named)
-    times = F.coalesce(named, drawn(None))
-    counted = docs.drop("copy").withColumn("_draw", uniform(seed, F.col(id_col))).withColumn("_times", times)
-    copies = counted.where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).drop("_draw", "_times")
+    counted = docs.drop("copy").withColumn(draw, uniform(seed, F.col(id_col))).withColumn(times, F.coalesce(named, drawn(None)))
+    blocks = counted.where(F.col(times) > 0).withColumn(start, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(BLOCK).cast("long"))))
+    last = F.least(F.col(times), F.col(start) + BLOCK) - 1
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col(start), last).cast("array<int>"))).drop(draw, times, start)
     return copies.orderBy(_hash_hex(seed + ":order", F.col(id_col), F.col("copy")), id_col, "copy")
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name

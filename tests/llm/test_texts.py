@@ -214,3 +214,24 @@ def test_lm_scores(spark, monkeypatch, bucket):
 def test_lm_scores_of_nothing(spark):
     assert lm.score(frame(spark, texts()).where("false"), RANKS, PATTERN).count() == 0
     assert lm.score(frame(spark, [(1, None), (2, "")]), RANKS, PATTERN).count() == 2
+
+
+def test_a_rare_source_with_a_high_rate(spark):
+    """The plan stays small, copies are numbered from 0, and their number is near the mean."""
+    import time
+
+    rows = [(1, "rare", "a", "b", "c")] + [(i, "common", "a", "b", "c") for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _draw string, _times string, row string")
+    start = time.time()
+    out = mixing.mix(df, {"rare": 0.5}, 0.5, epochs=300.0)
+    assert mixing.rates(df, {"rare": 0.5}, 0.5, 300.0)["rare"] > 50_000 and time.time() - start < 30
+    assert out.columns == ["doc_id", "source", "_draw", "_times", "row", "copy"]
+    copies = [r["copy"] for r in out.where("source = 'rare'").select("copy").collect()]
+    assert sorted(copies) == list(range(len(copies))) and abs(len(copies) - 59_850) < 1500
+
+
+@pytest.mark.parametrize("mean", [0.3, 49.0, 51.0, 400.0])
+def test_draws_have_the_mean(spark, mean):
+    df = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
+    n = mixing.mix(df, {"s": 1.0}, 0.0, epochs=mean).count() / 400
+    assert abs(n - mean) < 5 * math.sqrt(mean / 400)
