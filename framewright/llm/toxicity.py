@@ -21,8 +21,10 @@ from .common import byte_texts, small_batches
 
 #: Labelled documents of each class in the training sample, those whose hashed identifiers are smallest.
 SAMPLE_ROWS = 2000
-#: Longer documents don't enter the sample.
+#: Characters of a document that enter the sample.
 SAMPLE_CHARS = 20_000
+#: Parts that a longer text is sampled by.
+SAMPLE_PARTS = 10
 #: Words of a window and from one window to the next.
 WINDOW, STRIDE = 64, 32
 #: Buckets of hashed words and n-grams, and the lengths of n-grams in bytes, word ends included.
@@ -177,19 +179,28 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, there: np.ndarray, label
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """`text` and `label` of at most SAMPLE_ROWS documents of either class; rows without text or label stay out."""
+    """`text` and `label` of at most SAMPLE_ROWS documents of either class; rows without text or label stay out.
+
+    A text above SAMPLE_CHARS stands in the sample with SAMPLE_PARTS evenly spread parts that are as long together.
+    """
     ids = None
     for label in (0, 1):
         own = labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_wanted")).distinct()
         own = own.orderBy(F.xxhash64("_wanted"), "_wanted").limit(SAMPLE_ROWS).withColumn("_label", F.lit(label))
         ids = own if ids is None else ids.unionByName(own)
     chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("_wanted"))
-    chosen = chosen.where((F.char_length(text_col) <= SAMPLE_CHARS) & (F.char_length(text_col) > 0))
-    return chosen.select(F.col(text_col).alias("text"), F.col("_label").alias("label")).distinct()
+    chosen = chosen.where(F.char_length(text_col) > 0).select(F.col(text_col).alias("text"), F.col("_label").alias("label"))
+    size = SAMPLE_CHARS // SAMPLE_PARTS
+    step = (F.char_length("text") - size) / F.lit(float(SAMPLE_PARTS - 1))
+    parts = [F.substring(F.col("text"), (F.floor(step * k) + 1).cast("int"), F.lit(size)) for k in range(SAMPLE_PARTS)]
+    return chosen.withColumn("text", F.when(F.char_length("text") > SAMPLE_CHARS, F.concat_ws("\n", *parts)).otherwise(F.col("text"))).distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on a sample of the labelled documents, in one task: the sample is bounded, and a lost task runs again."""
+    """Train on a sample of the labelled documents, in one task: the sample is bounded, and a lost task runs again.
+
+    Raises if documents with words are labelled with either class but the sample has words of one class only.
+    """
     def run(table: pa.Table) -> pa.Table:
         examples = sorted(zip(byte_texts(table.column("text")), table.column("label").to_pylist(), strict=True))
         del table
@@ -197,7 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     trained = sample(docs, labels, id_col, text_col, label_col).groupBy(F.lit(0).alias("all")).applyInArrow(run, "model binary")
     found = trained.first()
-    return pickle.loads(bytes(found["model"])) if found else train([])
+    model = pickle.loads(bytes(found["model"])) if found else train([])
+    if not model.weights:
+        known = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).join(labels.where(F.col(label_col).isin(0, 1)).select(id_col, label_col), id_col)
+        if known.select(label_col).distinct().count() == 2:
+            raise ValueError("the sample of labelled documents has words of one class only: raise SAMPLE_ROWS")
+    return model
 
 
 def _odds(buckets: list[np.ndarray], label: np.ndarray) -> np.ndarray:

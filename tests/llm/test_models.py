@@ -5,6 +5,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from framewright.llm import jaccard, langid, queries, toxicity
@@ -198,3 +200,33 @@ def test_folds(spark):
     df = spark.createDataFrame([(i,) for i in (None, *range(300))], "doc_id long")
     rows = df.select("doc_id", held_out(df.doc_id).alias("h"), learned_from(df.doc_id).alias("l")).collect()
     assert all(r["h"] != r["l"] for r in rows if r["doc_id"] is not None) and not (rows[0]["h"] or rows[0]["l"])
+
+
+def test_long_labelled_texts_teach_too(spark):
+    """Toxic labels on long texts only: they are sampled by parts; with nothing to learn from, fitting says so."""
+    r = random.Random(2)
+    clean = [f"good{i}" for i in range(60)]
+    docs = [(i, " ".join(r.choices([*clean, "vile", "nasty"], k=5000))) for i in range(20)] + [(100 + i, " ".join(r.choices(clean, k=50))) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, toxic int")
+    found = toxicity.sample(df, labels).collect()
+    assert len(found) == 40 and max(len(x.text) for x in found) <= toxicity.SAMPLE_CHARS + toxicity.SAMPLE_PARTS
+    model = toxicity.fit(df, labels)
+    assert model.weights
+    scores = toxicity.score_texts([b"vile nasty good1 vile nasty", b"good1 good2 good3"], model)
+    assert scores[0] > scores[1]
+    with pytest.raises(ValueError, match="one class"):
+        _one_class(spark)
+
+
+def _one_class(spark):
+    """Both classes are labelled, but the only sampled toxic identifier has an empty text beside one with words."""
+    docs = spark.createDataFrame([(1, ""), (2, "vile words"), (3, "good words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    before, toxicity.SAMPLE_ROWS = toxicity.SAMPLE_ROWS, 1
+    try:
+        first = labels.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+        texts = docs.withColumn("text", F.when(F.col("doc_id") == first, F.lit("")).when(F.col("doc_id") < 3, F.lit("vile words")).otherwise(F.col("text")))
+        toxicity.fit(texts, labels)
+    finally:
+        toxicity.SAMPLE_ROWS = before
