@@ -55,14 +55,15 @@ def validate_dict_id(
 
 
 def validate_sizes(
-    df: DataFrame, msg: str | None = "msg", batch: str | None = None, error: str = "error"
+    df: DataFrame, msg: str | None = "msg", batch: str | None = None, error: str = "error", *,
+    msg_bytes: int = MAX_MESSAGE_BYTES, batch_bytes: int = MAX_BATCH_BYTES,
 ) -> DataFrame:
-    """Check a message column, a batch payload column, or both."""
+    """Check a message column, a batch payload column, or both, against the usual limits or lower ones."""
     checks = []
     if msg:
-        checks.append(F.when(size_error(F.col(msg)).isNotNull(), "message_too_large"))
+        checks.append(F.when(size_error(F.col(msg), msg_bytes).isNotNull(), "message_too_large"))
     if batch:
-        checks.append(F.when(size_error(F.col(batch), MAX_BATCH_BYTES).isNotNull(), "batch_too_large"))
+        checks.append(F.when(size_error(F.col(batch), batch_bytes).isNotNull(), "batch_too_large"))
     if not checks:
         raise ValueError("name a message or a batch column")
     return df.withColumn(error, F.coalesce(*checks))

@@ -223,10 +223,12 @@ def dict_id_checks(spark, root):
     return checked.select("id", F.coalesce("error", F.lit("valid")).alias("outcome"))
 
 
-@query("""SELECT count(*) AS messages, count(*) FILTER (strlen(text) > 10485760) AS too_large FROM documents""")
+@query("""SELECT count(*) AS messages, count(*) FILTER (strlen(text) > 10485760) AS too_large,
+  count(*) FILTER (strlen(text) > 1500) AS above_lower FROM documents""")
 def message_size_checks(spark, root):
     checked = validate_sizes(i.document_messages(spark, root))
-    return checked.agg(F.count(F.lit(1)).alias("messages"), F.count("error").alias("too_large"))
+    checked = validate_sizes(checked, error="lower", msg_bytes=1500)
+    return checked.agg(F.count(F.lit(1)).alias("messages"), F.count("error").alias("too_large"), F.count("lower").alias("above_lower"))
 
 
 def _headers(spark: SparkSession, root: str) -> DataFrame:
