@@ -5,7 +5,8 @@ shingles of their prefixes are compared by size, number of those and a parity sk
 compared, and what remains is verified on the full sets.
 
 A prefix holds the rarest shingles, by classes of an approximate frequency, then by hash. Any such order gives exact
-results; this one keeps common passages out of the prefixes.
+results; this one keeps common passages out of the prefixes. Pairs are met at the first shingle that they share, not at all
+of them, and a parity sketch as long as the sets tells most of those that can't link before texts are read again.
 
 Groups of copies don't become all pairs: a first round only tests each document of a shingle's list with the first and
 the one before it, and a second round all pairs whose members are still in different components. So no link between two components is lost.
@@ -36,6 +37,9 @@ BATCH_BYTES = 4 << 20
 #: Sets and shingles of a block, on average, and shingles that two blocks are compared on at a time.
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 256, 1 << 18, 4096
 
+#: Shingles before one in a prefix that its list remembers.
+EARLIER = 4
+
 _PARITY = [f"p{i}" for i in range(PARITY)]
 
 
@@ -64,8 +68,24 @@ def _parity(shingles: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _wide_parity(shingles: np.ndarray) -> bytes:
+    """The same with about as many bits as there are shingles, so that large sets that differ much show it."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _apart_by(a: bytes, b: bytes) -> int:
+    """A lower bound of the shingles that only one of two sets has, from their wide sketches."""
+    sides = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in (a, b)]
+    bits = min(map(len, sides))
+    # places are lowest bits of a hash: the longer sketch is folded
+    x, y = (s.reshape(-1, bits).sum(axis=0) & 1 for s in sides)
+    return int((x != y).sum())
+
+
 def _prefixes(docs: DataFrame, width: int, least: int, frequency: np.ndarray) -> DataFrame:
-    """Size, digests, parity sketch and prefix of every row's set; other columns are the identifier alone."""
+    """Size, digests, parity sketches and prefix of every row's set; other columns are the identifier alone."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +96,14 @@ def _prefixes(docs: DataFrame, width: int, least: int, frequency: np.ndarray) ->
                 ordered = s[np.argsort(shared.value[sketch.bucket_of(s)], kind="stable")]
                 prefix = ordered[:n - -(-least * n // 100) + 1] if n else ordered
                 rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), xxhash.xxh3_128_digest(prefix.tobytes()),
-                             prefix.view(np.int64), *_parity(s)))
+                             prefix.view(np.int64), _wide_parity(s), *_parity(s)))
             columns = list(zip(*rows, strict=True))
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * PARITY]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), *[pa.int64()] * PARITY]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *[pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]],
-                ["doc_id", "n", "digest", "prefix_digest", "prefix", *_PARITY])
+                ["doc_id", "n", "digest", "prefix_digest", "prefix", "wide", *_PARITY])
 
-    schema = "doc_id long, n int, digest binary, prefix_digest binary, prefix array<long>, " + ", ".join(f"{p} long" for p in _PARITY)
+    schema = "doc_id long, n int, digest binary, prefix_digest binary, prefix array<long>, wide binary, " + ", ".join(f"{p} long" for p in _PARITY)
     return docs.mapInArrow(run, schema)
 
 
@@ -116,6 +136,33 @@ def _enough(common: Column, na: Column, nb: Column, least: int) -> Column:
     return common + behind >= _needed(na, nb, least)
 
 
+def _first_common(least: int) -> Column:
+    """False where `x` and `y` can't link with this shingle as the first one they share.
+
+    Sets that link have so many common shingles that the first one, in the global order, leaves room for them all behind
+    it in both; and where shingles shortly before agree, the pair is met there.
+    """
+    nx, ny = F.col("x.n"), F.col("y.n")
+    needed = _needed(nx, ny, least)
+    room = (nx - F.col("x.at") >= needed) & (ny - F.col("y.at") >= needed)
+    return room & ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False))
+
+
+def _not_too_far(pairs: DataFrame, groups: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """Pairs of groups `ga`, `gb` that their wide sketches don't rule out; a group of several classes has none."""
+    single = groups.where("members = 1").select("n", "prefix_digest", "gid").join(classes, ["n", "prefix_digest"]).select("gid", "n", "wide")
+    sides = [single.select(F.col("gid").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
+    met = pairs.join(sides[0], "ga", "left").join(sides[1], "gb", "left").withColumn("most", F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), least))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = zip(*[batch.column(c).to_pylist() for c in ("wide_a", "wide_b", "most")], strict=True)
+            keep = [a is None or b is None or _apart_by(a, b) <= most for a, b, most in told]
+            yield batch.select(["ga", "gb"]).filter(pa.array(keep, pa.bool_()))
+
+    return met.select("ga", "gb", "wide_a", "wide_b", "most").mapInArrow(near, "ga long, gb long")
+
+
 def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Numbers of common shingles of each set (a row) with each of the others (a column)."""
     def laid_out(group: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +295,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
 
     usable = found.where("n > 0 and doc_id is not null")
     classes = scratch_table(usable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"),
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("wide").alias("wide"),
         *[F.first(p).alias(p) for p in _PARITY]), "classes")
     groups = classes.groupBy("n", "prefix_digest").agg(
         F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"), *[F.min(p).alias(p) for p in _PARITY])
@@ -257,10 +304,13 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
 
     # lists of the groups that share a prefix shingle
     entries = (found.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
-               .where("doc_id = gid").select("gid", "n", F.explode("prefix").alias("shingle")))
+               .where("doc_id = gid").select("gid", "n", "prefix", F.posexplode("prefix").alias("at", "shingle")))
+    earlier = F.slice("prefix", F.greatest(F.col("at") - EARLIER + 1, F.lit(1)), F.least(F.col("at"), F.lit(EARLIER)))
+    entries = entries.select("gid", "n", "at", "shingle", earlier.alias("earlier"))
     in_list = Window.partitionBy("shingle").orderBy("gid")
-    lists = entries.select("shingle", "gid", "n", F.lag("gid").over(in_list).alias("before"), F.lead("gid").over(in_list).alias("after"))
+    lists = entries.select("*", F.lag("gid").over(in_list).alias("before"), F.lead("gid").over(in_list).alias("after"))
     lists = scratch_table(lists.where("before is not null or after is not null").drop("before", "after"), "lists")
+    placed, lists = lists, lists.select("shingle", "gid", "n")
 
     # first round: groups with the one before them and the first one in a list, and the members of a group with its
     # first. Groups with the most company come first: what copies were made from rather than copies with many changes
@@ -286,13 +336,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     member_of = scratch_table(member_of, "members")
     whole = member_of.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("most"))
     whole = groups.join(whole, "gid").select("gid", *_PARITY, F.when(F.col("comp") == F.col("most"), F.col("comp")).alias("comp"))
-    told = lists.join(whole, "gid")
+    told = placed.join(whole, "gid")
+    # lists within one component have nothing to tell
+    across = told.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed"))
+    told = scratch_table(told.join(across.where("low <> high or mixed > 0").select("shingle"), "shingle", "left_semi"), "across")
     apart = F.coalesce(F.col("x.comp") != F.col("y.comp"), F.lit(True))
     pairs = (told.alias("x").join(told.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
-                                  & apart & _close("x", "y", least))
-             .groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb"))
-             .agg(F.count(F.lit(1)).alias("common"), F.first("x.n").alias("na"), F.first("y.n").alias("nb")))
-    pairs = pairs.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("ga", "gb")
+                                  & apart & _first_common(least) & _close("x", "y", least))
+             .select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
+    pairs = _not_too_far(pairs, groups, classes, least)
     mixed = whole.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     expanded = (pairs.unionByName(mixed).join(member_of.alias("x"), F.col("ga") == F.col("x.gid")).join(
         member_of.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", least))

@@ -173,3 +173,67 @@ def test_sketch_is_never_below_a_count(spark):
     exact_counts = Counter(x for _, t in texts() for x in sketch.bucket_of(substring._mers([(t or "").encode()])).tolist())
     # sequences that span two texts of a batch only add
     assert all(counts[b] >= n for b, n in exact_counts.items()) and counts.sum() < 2 * sum(exact_counts.values())
+
+
+def _windows_removed(rows, width):
+    """Removed words per row; rows of one identifier are one document, whose earlier place wins."""
+    first, data = {}, [(i, (t or "").split()) for i, t in rows]
+    for i, w in data:
+        for p in range(len(w) - width + 1):
+            k = tuple(w[p:p + width])
+            first[k] = min(first.get(k, (i, p)), (i, p))
+    out = Counter()
+    for i, w in data:
+        gone = [False] * len(w)
+        for p in range(len(w) - width + 1):
+            if first[tuple(w[p:p + width])] < (i, p):
+                gone[p:p + width] = [True] * width
+        out[i, len(w), " ".join(x for x, g in zip(w, gone) if not g)] += 1
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_the_earlier_place_wins_among_rows_of_one_id(spark, parts):
+    r = random.Random(parts)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    x, lead = words(30), words(40)
+    rows = [(7, " ".join(lead + words(4) + x)), (7, " ".join(words(12) + x + words(3))), (7, " ".join(lead[10:] + words(2) + x)),
+            (3, " ".join(words(9) + x[:25])), (9, " ".join(x)), (7, " ".join(words(12) + x + words(5)))]
+    for k in range(6):
+        cut = r.randrange(40)
+        rows.append((20 + k % 2, " ".join(words(r.randrange(15)) + lead[cut:] + x[:r.randrange(31)])))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = Counter((g.doc_id, g.n_words, g.kept) for g in substring.remove_repeats(df).collect())
+    assert got == _windows_removed(rows, 20)
+
+
+def test_wide_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**63, r.integers(0, 600)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) < r.random()], r.integers(0, 2**63, r.integers(0, 300)).astype(np.uint64)]))
+        difference = len(np.setxor1d(a, b))
+        assert jaccard._apart_by(jaccard._wide_parity(a), jaccard._wide_parity(b)) <= difference
+    assert jaccard._apart_by(jaccard._wide_parity(a), jaccard._wide_parity(a)) == 0
+
+
+def test_pairs_are_met_about_once(spark, monkeypatch):
+    """Rows of the join grow with the pairs that may link, not with the shingles that these share."""
+    r = random.Random(1)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for k in range(30):  # more than half in common, and too far from each other to link
+        w = list(base)
+        for at in r.sample(range(400), 16):
+            w[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(w)))
+    seen = []
+    real = jaccard._not_too_far
+    monkeypatch.setattr(jaccard, "_not_too_far", lambda pairs, *args: (seen.append(pairs), real(pairs, *args))[1])
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.component_id for x in got.collect()} == set(range(30))
+    joined = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "earlier" in joined and seen[0].count() <= 30 * 29 // 2
