@@ -38,7 +38,7 @@ BATCH_BYTES = 4 << 20
 BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 256, 1 << 18, 4096
 
 #: Shingles before one in a prefix that its list remembers.
-EARLIER = 4
+EARLIER = 3
 
 _PARITY = [f"p{i}" for i in range(PARITY)]
 
@@ -145,7 +145,11 @@ def _first_common(least: int) -> Column:
     nx, ny = F.col("x.n"), F.col("y.n")
     needed = _needed(nx, ny, least)
     room = (nx - F.col("x.at") >= needed) & (ny - F.col("y.at") >= needed)
-    return room & ~F.coalesce(F.arrays_overlap("x.earlier", "y.earlier"), F.lit(False))
+    before = F.lit(False)
+    for i in range(1, EARLIER + 1):
+        for j in range(1, EARLIER + 1):
+            before = before | F.coalesce(F.col(f"x.e{i}") == F.col(f"y.e{j}"), F.lit(False))
+    return room & ~before
 
 
 def _not_too_far(pairs: DataFrame, groups: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -304,13 +308,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
 
     # lists of the groups that share a prefix shingle
     entries = (found.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
-               .where("doc_id = gid").select("gid", "n", "prefix", F.posexplode("prefix").alias("at", "shingle")))
-    earlier = F.slice("prefix", F.greatest(F.col("at") - EARLIER + 1, F.lit(1)), F.least(F.col("at"), F.lit(EARLIER)))
-    entries = entries.select("gid", "n", "at", "shingle", earlier.alias("earlier"))
+               .where("doc_id = gid").select("gid", "n", F.explode("prefix").alias("shingle")))
     in_list = Window.partitionBy("shingle").orderBy("gid")
-    lists = entries.select("*", F.lag("gid").over(in_list).alias("before"), F.lead("gid").over(in_list).alias("after"))
+    lists = entries.select("shingle", "gid", "n", F.lag("gid").over(in_list).alias("before"), F.lead("gid").over(in_list).alias("after"))
     lists = scratch_table(lists.where("before is not null or after is not null").drop("before", "after"), "lists")
-    placed, lists = lists, lists.select("shingle", "gid", "n")
 
     # first round: groups with the one before them and the first one in a list, and the members of a group with its
     # first. Groups with the most company come first: what copies were made from rather than copies with many changes
@@ -336,10 +337,14 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     member_of = scratch_table(member_of, "members")
     whole = member_of.groupBy("gid").agg(F.min("comp").alias("comp"), F.max("comp").alias("most"))
     whole = groups.join(whole, "gid").select("gid", *_PARITY, F.when(F.col("comp") == F.col("most"), F.col("comp")).alias("comp"))
-    told = placed.join(whole, "gid")
-    # lists within one component have nothing to tell
+    told = lists.join(whole, "gid")
+    # lists within one component have nothing to tell; in the others, entries learn what stands before them in their prefix
     across = told.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count_if(F.col("comp").isNull()).alias("mixed"))
     told = scratch_table(told.join(across.where("low <> high or mixed > 0").select("shingle"), "shingle", "left_semi"), "across")
+    prefixes = (found.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"]).where("doc_id = gid").select("gid", "prefix")
+                .join(told.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(F.first("prefix").alias("prefix")))
+    told = told.join(prefixes, "gid").withColumn("at", (F.array_position("prefix", F.col("shingle")) - 1).cast("int"))
+    told = scratch_table(told.withColumns({f"e{k}": F.get("prefix", F.col("at") - k) for k in range(1, EARLIER + 1)}).drop("prefix"), "placed")
     apart = F.coalesce(F.col("x.comp") != F.col("y.comp"), F.lit(True))
     pairs = (told.alias("x").join(told.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
                                   & apart & _first_common(least) & _close("x", "y", least))
