@@ -1,6 +1,6 @@
 """Stupid-backoff scores of documents under a trigram model of the whole corpus, computed by joins.
 
-Units are the tokens of a byte-level BPE rank file, word by word, so the vocabulary is bounded: unigram counts are
+Units are the tokens of a byte-level BPE rank file, word by word, written once. The vocabulary is bounded: unigram counts are
 broadcast, and a token has a bounded number of neighbours. Trigrams are exploded from the documents and dealt by their
 middle token, where both bigrams that a backoff may need are at hand; a frequent middle token has several buckets, dealt
 by a hash of the trigram. Scores of trigrams are summed per document.
@@ -52,27 +52,42 @@ class _Tokens:
             raise ValueError(f"the rank file has {self.start} tokens or more, not below {MOST_TOKENS - 1}")
         self.known: dict[bytes, list[int]] = {}
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens, two starts before each text, and the number of tokens per text, starts not counted."""
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The tokens of every text."""
         if len(self.known) > WORDS_KEPT:
             self.known = {}
-        known, starts, parts, sizes = self.known, [self.start] * 2, [], []
+        known, parts = self.known, []
         for text in texts:
             words = text.split()
             for w in words:
                 if w not in known:
                     known[w] = self.codec.encode_ordinary(" " + w.decode("utf-8", "replace"))
             own = list(chain.from_iterable(map(known.__getitem__, words)))
-            parts.append(starts + own)
-            sizes.append(len(own))
-        total = sum(sizes) + 2 * len(sizes)
-        return np.fromiter(chain.from_iterable(parts), np.uint64, total), np.array(sizes, np.int64)
+            parts.append(np.array(own, np.uint16))
+        return parts
 
 
-def bigram_counts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """`a`, `b`, `n`: how often token b follows a in all texts, each text after two starts. Tasks send sums."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_table(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """`doc`, `mark` and `ids` (16-bit numbers) of rows with `doc`, `mark` and `text`, written once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(ranks_path, pattern)
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            ids = [x.tobytes() for x in tokens(list(byte_texts(batch.column("text"))))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(ids, pa.binary())], ["doc", "mark", "ids"])
+
+    return scratch_table(docs.select("doc", "mark", "text").mapInArrow(run, "doc long, mark int, ids binary"), "tokens")
+
+
+def _with_starts(column: pa.Array, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a batch, two starts before each text, and the number of tokens per text, starts not counted."""
+    own = [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
+    starts = np.full(2, start, np.uint16)
+    return np.concatenate([x for ids in own for x in (starts, ids)]).astype(np.uint64), np.array([len(x) for x in own], np.int64)
+
+
+def bigram_counts(tokens: DataFrame, start: int) -> DataFrame:
+    """`a`, `b`, `n`: how often token b follows a in all texts of a token table, each after two starts. Tasks send sums."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -80,8 +95,8 @@ def bigram_counts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
             unique, where = np.unique(keys, return_inverse=True)
             return unique, np.bincount(where, sums, len(unique)).astype(np.int64)
 
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            ids, sizes = tokens(list(byte_texts(batch.column("text"))))
+        for batch in small_batches(batches, "ids", BATCH_BYTES // 2):
+            ids, sizes = _with_starts(batch.column("ids"), start)
             pairs = (ids[:-1] << np.uint64(16)) | ids[1:]
             inside = np.ones(len(pairs), bool)
             inside[(np.cumsum(sizes + 2) - 1)[:-1]] = False  # from the end of a text to the start of the next
@@ -89,13 +104,12 @@ def bigram_counts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str
             if sum(len(k) for k, _ in found) > MERGE_PAIRS + 2 * len(found[0][0]):
                 found = [merged()]
         keys, sums = merged()
-        for start in range(0, len(keys), 100_000):
-            k, n = keys[start:start + 100_000], sums[start:start + 100_000]
+        for begin in range(0, len(keys), 100_000):
+            k, n = keys[begin:begin + 100_000], sums[begin:begin + 100_000]
             yield pa.RecordBatch.from_arrays(
                 [pa.array((k >> np.uint64(16)).astype(np.int32)), pa.array((k & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n)], ["a", "b", "n"])
 
-    texts = docs.select(F.col(text_col).alias("text"))
-    return texts.mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,12 +123,13 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.hash(F.col(text_col)).alias("mark"))
-    pairs = scratch_table(bigram_counts(rows, ranks_path, pattern), "bigrams")
+    start_token = encoding(ranks_path, pattern).max_token_value + 1
+    told = token_table(rows, ranks_path, pattern)
+    pairs = scratch_table(bigram_counts(told, start_token), "bigrams")
     single = pairs.groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # a row per token of the rank file at most
     counts = np.zeros(MOST_TOKENS, np.int64)
     if single.num_rows:
         counts[single.column("b").to_numpy()] = single.column("n").to_numpy()
-    start_token = encoding(ranks_path, pattern).max_token_value + 1
     total = int(counts.sum() - counts[start_token])
     counts[start_token] *= 2  # the first of the two starts follows nothing
 
@@ -126,10 +141,10 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
     known = spark.sparkContext.broadcast((counts, parts, first))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, (_, parts, first) = _Tokens(ranks_path, pattern), known.value
+        _, parts, first = known.value
         pack, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            ids, sizes = tokens(list(byte_texts(batch.column("text"))))
+        for batch in small_batches(batches, "ids", BATCH_BYTES // 2):
+            ids, sizes = _with_starts(batch.column("ids"), start_token)
             doc, mark = batch.column("doc").fill_null(-1 << 63).to_numpy(), batch.column("mark").to_numpy()
             at = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes + 2)
             third = np.concatenate([np.zeros(0, np.int64), *[np.arange(e - n, e) for n, e in zip(sizes, np.cumsum(sizes + 2), strict=True)]])
@@ -194,7 +209,7 @@ def score(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id"
 
     empty = pa.table({"batch": pa.array([], pa.int64()), "log": pa.array([], pa.list_(pa.float64())), **{x: pa.array([], pa.binary()) for x in _DOCS}})
     schema = "bucket long, batch long, " + ", ".join(f"{x} binary" for x in (*_RUNS, *_DOCS))
-    exploded = rows.mapInArrow(explode, schema)
+    exploded = told.mapInArrow(explode, schema)
     # a bigram goes to all buckets of both its tokens
     table = spark.createDataFrame(pa.table({"token": np.flatnonzero(counts).astype(np.int32), "first": first[counts > 0], "parts": parts[counts > 0].astype(np.int64)}))
     dealt = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("token"), "a", "b", "n").join(F.broadcast(table), "token")
