@@ -149,6 +149,32 @@ def test_quality_rules_of_nothing(spark):
     assert quality.judge(docs, quality.bucket_weights(docs, quality.trusted_ids(labels))).count() == 0
 
 
+def test_every_good_label_is_trusted(spark, monkeypatch):
+    """More good documents than any sample had; ids that are broadcast and ids that are shuffled weigh the same."""
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert quality.trusted_ids(labels.unionByName(labels)).count() == 30_000
+    docs = frame(spark, texts())
+    both = []
+    for most in (quality.BROADCAST_IDS, 1):
+        monkeypatch.setattr(quality, "BROADCAST_IDS", most)
+        both.append({r.bucket: r.weight for r in quality.bucket_weights(docs, quality.trusted_ids(labels)).collect()})
+    assert both[0] == both[1] and any(both[0].values())
+
+
+def test_threshold_is_the_exact_quantile(spark):
+    r = random.Random(7)
+    ratios = [r.choice([r.random(), 0.25]) for _ in range(1234)]
+    measured = spark.createDataFrame([(i, x, i % 5 == 0) for i, x in enumerate(ratios)], "doc_id long, ratio double, base_failed boolean")
+    ids = spark.range(1000).withColumnRenamed("id", "doc_id")
+    used = sorted(x for i, x in enumerate(ratios) if i < 1000 and i % 5)
+    at = (len(used) - 1) * quality.TRUSTED_QUANTILE
+    want = used[int(at)] + (at - int(at)) * (used[int(at) + 1] - used[int(at)]) - quality.MARGIN
+    for chunk_rows in (100, 10_000):
+        got = spark.range(1).select(quality.learned_threshold(measured, ids, chunk_rows)).first()[0]
+        assert math.isclose(got, want, rel_tol=1e-12)
+    assert spark.range(1).select(quality.learned_threshold(measured, ids.where("false"))).first()[0] == quality.THRESHOLD
+
+
 def test_mixing(spark):
     rows = texts()
     docs = frame(spark, rows)
