@@ -1072,6 +1072,24 @@ def _stream(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("ts", F.timestamp_micros(i.micros("ts"))).withColumnRenamed("event_id", "seq")
 
 
+#: Rows of a file, and so of a micro-batch, where rows must come in order.
+FILE_ROWS = 2_000_000
+
+
+def _ordered_stream(spark: SparkSession, rows: DataFrame, file_rows: int | None = None) -> DataFrame:
+    """A stream of *rows* in order of time, in as many files of some *file_rows* as it takes, one per micro-batch."""
+    ranges, path = scratch_path(spark, "ranges"), scratch_path(spark, "in-order")
+    parts = -(-rows.count() // (file_rows or FILE_ROWS)) or 1
+    laid = rows.repartitionByRange(parts, "ts", "seq").withColumn("step", F.spark_partition_id())
+    laid.write.partitionBy("step").parquet(ranges)
+    written = spark.read.schema(laid.schema).parquet(ranges)
+    rows.limit(0).write.parquet(path)
+    # a file stream reads files in the order in which they were written
+    for (step,) in written.select("step").distinct().orderBy("step").collect():
+        spark.read.schema(rows.schema).parquet(f"{ranges}/step={step}").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _stream_messages(spark: SparkSession, root: str) -> DataFrame:
     kind = F.col("event_type")
     msg = i._json(*i._body(kind, F.col("props")), ',"headers":{"Accept":"*/*", "X-Amzn-Trace-Id":"Root=', F.col("seq"), '"}}')
@@ -1134,18 +1152,14 @@ def streamed_metrics(spark, root):
 
 @query(_monitor_sql(False) + EVENTS_SELECT)
 def streamed_monitor(spark, root):
-    rows = _stream(spark, root).select(
-        F.col("event_type").alias("topic"), "ts", "seq", F.lit(1000).cast("long").alias("raw_len"),
-        F.floor(50 + F.col("value")).alias("comp_len"))
-    return _events(run_available(stream_monitor(rows), "monitor"))
+    rows = i.ratio_series(spark, root).drop("us")
+    return _events(run_available(stream_monitor(_ordered_stream(spark, rows)), "monitor"))
 
 
 @query(_breaker_sql(7200.0, ">", 3, 2, BREAKER_ROWS))
 def streamed_breaker(spark, root):
-    rows = _stream(spark, root).select(
-        F.concat(F.lit("u"), (F.col("user_id") % 8).cast("string")).alias("target"), "ts", "seq",
-        (~F.col("event_type").isin("error", "purchase", "view")).alias("ok"))
-    return run_available(stream_breaker(rows, rules=RULES), "breaker").select(
+    rows = i.attempts(spark, root).drop("at")
+    return run_available(stream_breaker(_ordered_stream(spark, rows), rules=RULES), "breaker").select(
         "target", "seq", "state_before", "allowed", "state_after")
 
 

@@ -20,9 +20,26 @@ _FIELDS = ["at", "us", "seq", "msg"]
 SLOTS, LEAST_SLOT = 8, 1000
 
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch by time and sequence."""
-    return pd.concat(list(parts), ignore_index=True).sort_values(["us", "seq"], kind="stable")
+#: Rows of a key that are walked, and given out, at a time.
+BLOCK_ROWS = 20_000
+
+
+def _in_order(parts: Iterator[pd.DataFrame], names: list[str]) -> Iterator[list[list]]:
+    """The rows of one key in one micro-batch by time and sequence, in blocks, as one list per column of *names*.
+
+    All that is held of a micro-batch is one array of numbers per column; *names* begin with us and seq.
+    """
+    held: list[list[np.ndarray]] = [[] for _ in names]
+    for part in parts:
+        for values, name in zip(held, names, strict=True):
+            values.append(part[name].to_numpy(copy=True))
+    columns = []
+    while held:
+        columns.append(np.concatenate(held.pop(0)))
+    order = np.lexsort((columns[1], columns[0]))
+    for first in range(0, len(order), BLOCK_ROWS):
+        block = order[first:first + BLOCK_ROWS]
+        yield [c[block].tolist() for c in columns]
 
 
 class _Batcher(StatefulProcessor):
@@ -169,31 +186,30 @@ class _Monitor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ema, base, n, state, run = self.state.get() if self.state.exists() else (None, None, 0, "warmup", 0)
-        out = []
-        data = _in_order(rows)
-        ratios = data["comp_len"].to_numpy() / np.maximum(data["raw_len"].to_numpy(), 1)
-        for us, seq, retrain, ratio in zip(*[c.tolist() for c in (data["us"], data["seq"], data["retrain"], ratios)], strict=True):
-            if retrain:
-                base, state, run = ema, "normal", 0
-                continue
-            n += 1
-            ema = ratio if ema is None else ema + self.alpha * (ratio - ema)
-            event = "ratio_update"
-            rel = None if base is None else (ema - base) / max(base, 1e-9)
-            if state == "warmup" and n >= self.warmup:
-                base, state, event = ema, "normal", "warmup_complete"
-            elif state == "normal":
-                run = run + 1 if rel is not None and rel > self.drift else 0
-                if run >= self.consecutive:
-                    state, event = "drifted", "drift_detected"
-            elif state == "drifted" and rel is not None and rel <= self.recovery:
-                state, event, run = "normal", "recovered", 0
-            out.append((key[0], us, seq, ratio, ema, base, 0.0 if base is None else ema - base, event, n, state, run))
+        for block in _in_order(rows, ["us", "seq", "retrain", "ratio"]):
+            out = []
+            for us, seq, retrain, ratio in zip(*block, strict=True):
+                if retrain:
+                    base, state, run = ema, "normal", 0
+                    continue
+                n += 1
+                ema = ratio if ema is None else ema + self.alpha * (ratio - ema)
+                event = "ratio_update"
+                rel = None if base is None else (ema - base) / max(base, 1e-9)
+                if state == "warmup" and n >= self.warmup:
+                    base, state, event = ema, "normal", "warmup_complete"
+                elif state == "normal":
+                    run = run + 1 if rel is not None and rel > self.drift else 0
+                    if run >= self.consecutive:
+                        state, event = "drifted", "drift_detected"
+                elif state == "drifted" and rel is not None and rel <= self.recovery:
+                    state, event, run = "normal", "recovered", 0
+                out.append((key[0], us, seq, ratio, ema, base, 0.0 if base is None else ema - base, event, n, state, run))
+            if out:
+                yield pd.DataFrame(out, columns=[
+                    "topic", "us", "seq", "ratio", "ema", "baseline", "drift_magnitude", "event_type", "batch_count",
+                    "state", "consecutive_drift"])
         self.state.update((ema, base, n, state, run))
-        if out:
-            yield pd.DataFrame(out, columns=[
-                "topic", "us", "seq", "ratio", "ema", "baseline", "drift_magnitude", "event_type", "batch_count",
-                "state", "consecutive_drift"])
 
     def close(self) -> None:
         pass
@@ -209,8 +225,8 @@ def stream_monitor(
     """
     retrain = F.coalesce(F.col("retrain"), F.lit(False)) if "retrain" in batches.columns else F.lit(False)
     rows = batches.select(
-        "topic", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), "raw_len", "comp_len",
-        retrain.alias("retrain"))
+        "topic", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"), retrain.alias("retrain"),
+        (F.col("comp_len") / F.greatest(F.col("raw_len"), F.lit(1))).alias("ratio"))
     out = (
         "topic STRING, us BIGINT, seq BIGINT, ratio DOUBLE, ema DOUBLE, baseline DOUBLE, drift_magnitude DOUBLE, "
         "event_type STRING, batch_count BIGINT, state STRING, consecutive_drift BIGINT")
@@ -228,19 +244,19 @@ class _Breaker(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         code, since = self.state.get() if self.state.exists() else (0, math.nan)
-        out = []
-        data = _in_order(rows)
-        for us, seq, ok in zip(*[data[c].tolist() for c in ("us", "seq", "ok")], strict=True):
-            now = us / 1e6
-            if code < 0 and self.machine.ready(since, now):
-                code = self.machine.half
-            met = code
-            if code >= 0:
-                code = self.machine.after(code, ok)
-                since = now if code < 0 else since
-            out.append((key[0], us, seq, ok, self.machine.name(met), met >= 0, self.machine.name(code)))
+        for block in _in_order(rows, ["us", "seq", "ok"]):
+            out = []
+            for us, seq, ok in zip(*block, strict=True):
+                now = us / 1e6
+                if code < 0 and self.machine.ready(since, now):
+                    code = self.machine.half
+                met = code
+                if code >= 0:
+                    code = self.machine.after(code, ok)
+                    since = now if code < 0 else since
+                out.append((key[0], us, seq, ok, self.machine.name(met), met >= 0, self.machine.name(code)))
+            yield pd.DataFrame(out, columns=["target", "us", "seq", "ok", "state_before", "allowed", "state_after"])
         self.state.update((code, since))
-        yield pd.DataFrame(out, columns=["target", "us", "seq", "ok", "state_before", "allowed", "state_after"])
 
     def close(self) -> None:
         pass

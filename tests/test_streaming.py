@@ -222,6 +222,36 @@ def test_stream_breaker_equals_batch_form(spark, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_monitor_and_breaker_give_rows_out_in_blocks(monkeypatch):
+    """A micro-batch in any order comes out in order, a block at a time, and equals one walk over all of it."""
+    import pandas as pd
+
+    from framewright.streaming import stateful
+
+    r = random.Random(8)
+    rows = [(k, k, False, r.random(), r.random() > 0.5) for k in range(250)]
+    parts = lambda: iter([pd.DataFrame(x, columns=["us", "seq", "retrain", "ratio", "ok"]) for x in (rows[100:], rows[:100])])
+    for processor in (stateful._Monitor(0.1, 20, 0.2, 3, 0.05), stateful._Breaker(Rules(2, 4e-6, 2))):
+        found = []
+        for most in (1000, 60):
+            monkeypatch.setattr(stateful, "BLOCK_ROWS", most)
+            processor.init(_Handle())
+            found.append(list(processor.handleInputRows(("a",), parts(), None)))
+        assert [len(x) for x in found[1]] == [60, 60, 60, 60, 10] and len(found[0]) == 1
+        assert pd.concat(found[1], ignore_index=True).equals(found[0][0])
+        assert found[0][0]["seq"].tolist() == list(range(250))
+
+
+def test_ordered_stream_has_files_of_bounded_size(spark):
+    from framewright.plans.catalog import _ordered_stream
+
+    df = messages(spark, 100).repartition(3)
+    seen = []
+    run_each(_ordered_stream(spark, df, 30), "seen", lambda b, k: seen.append([x.seq for x in b.select("seq").collect()]))
+    seen = [sorted(x) for x in seen if x]
+    assert len(seen) > 2 and [x for part in seen for x in part] == list(range(100))
+
+
 def test_stream_metrics(spark, tmp_path):
     df = spark.range(100).select(
         F.lit("a").alias("topic"), F.timestamp_micros(F.col("id") * 10_000_000).alias("ts"), F.col("id").alias("seq"),
