@@ -365,11 +365,12 @@ def wire_blobs(spark, root):
 
 @query(f"""WITH {i.batched(100, 6 * HOUR_US)} SELECT topic, n AS pos, msg FROM (
   SELECT topic, msg, row_number() OVER (PARTITION BY topic ORDER BY n) - 1 AS n FROM b)""")
-def wire_files_round_trip(spark, root):
+def wire_files_round_trip(spark, root, file_messages=40_000):
     """Batches compressed and signed, written as wire files, read, verified and decoded again to all their lines."""
     registry, path = _trained(spark, root), scratch_path(spark, "wire")
     frames = encode_frames(sign_frames(compress_batches(_batches(spark, root), registry), KEY).withColumn("schema_id", F.col("batch_id").cast("string")))
-    frames = frames.withColumn("part", F.floor(F.col("batch_id") / 400))
+    # opening and naming a file costs far more than a few frames do
+    frames = frames.withColumn("part", F.floor(F.col("batch_id") / file_messages))
     ordered = F.array_sort(F.collect_list(F.struct("batch_id", F.hex("frame").alias("frame"))))
     blobs = frames.groupBy("topic", "part").agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["frame"]), "")).alias("content"))
     # one value per file; what ends a line ends the file with a byte that is no frame

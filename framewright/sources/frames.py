@@ -24,6 +24,8 @@ SIGNATURE_FIELDS = ["hmac", "hmac_algo"]
 BATCH_BYTES = 32 * 1024 * 1024
 #: Bytes of a wire file that one task searches for frames, and of payloads that it reads afterwards.
 RANGE_BYTES = 64 * 1024 * 1024
+#: Bytes that opening a file counts for, where small files are dealt to tasks.
+OPEN_BYTES = 256 * 1024
 #: Bytes read beyond a range, for the header of its last frame; a longer one is read by itself.
 BEYOND_BYTES = 64 * 1024
 #: A header of this many bytes or more is not usable.
@@ -84,6 +86,15 @@ class WireRange(InputPartition):
     length: int
 
 
+@dataclass(frozen=True)
+class WireFiles(InputPartition):
+    """Whole files that are together no longer than a range, opening them included; *begin* to *end* counts their bytes."""
+
+    files: tuple[tuple[str, int], ...]
+    begin: int
+    end: int
+
+
 class WireSource(DataSource):
     """Places of wire files that may be frames, with the chains that they form inside their range.
 
@@ -107,22 +118,42 @@ class WireReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, int]], range_bytes: int) -> None:
         self.files, self.range_bytes = files, range_bytes
 
-    def partitions(self) -> list[WireRange]:
-        return [WireRange(path, begin, min(begin + self.range_bytes, length), length)
-                for path, length in self.files for begin in range(0, length, self.range_bytes)]
-
-    def read(self, partition: WireRange) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[WireRange | WireFiles]:
+        """Ranges of large files, and small files many at a time: a task per file would cost more than its bytes."""
+        parts: list[WireRange | WireFiles] = []
+        small: list[tuple[str, int]] = []
+        held = 0
+        for path, length in self.files:
+            if length + OPEN_BYTES > self.range_bytes:
+                parts += [WireRange(path, begin, min(begin + self.range_bytes, length), length) for begin in range(0, length, self.range_bytes)]
+            elif length:
+                if held + length + OPEN_BYTES > self.range_bytes:
+                    parts.append(WireFiles(tuple(small), 0, sum(n for _, n in small)))
+                    small, held = [], 0
+                small.append((path, length))
+                held += length + OPEN_BYTES
+        return [*parts, WireFiles(tuple(small), 0, sum(n for _, n in small))] if small else parts
+
+    def read(self, partition: WireRange | WireFiles) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
         names = ["path", "at", "header", "start", "size", "left", "next", "chain", "idx", "ends", "length"]
         kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.int64()]
-        rows = _places(partition)
-        if partition.begin == 0:
-            rows.append((None, None, None, None, None, 0, -1, 0, True))
-        for first in range(0, len(rows), 10_000):
-            part = rows[first:first + 10_000]
-            columns = [[partition.path] * len(part), *zip(*part, strict=True), [partition.length] * len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        rows: list[tuple] = []
+
+        def batches(least: int) -> Iterator[pa.RecordBatch]:
+            while len(rows) >= least:
+                part = rows[:10_000]
+                del rows[:10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names)
+
+        whole = partition.files if isinstance(partition, WireFiles) else []
+        for place in [WireRange(path, 0, length, length) for path, length in whole] or [partition]:
+            rows += [(place.path, *row, place.length) for row in _places(place)]
+            if place.begin == 0:
+                rows.append((place.path, None, None, None, None, None, 0, -1, 0, True, place.length))
+            yield from batches(10_000)
+        yield from batches(1)
 
 
 def _places(part: WireRange) -> list[tuple]:

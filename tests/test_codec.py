@@ -183,6 +183,18 @@ def test_ranges_are_bounded():
     assert max(p.end - p.begin for p in parts) <= 256 << 20
 
 
+def test_small_wire_files_share_tasks():
+    """Files of a few bytes are dealt many to a task, each once; no task gets more than a range."""
+    from framewright.sources.frames import OPEN_BYTES, RANGE_BYTES, WireFiles, WireReader
+
+    files = [(f"file:/{k}", k * 997 % 3_000_000) for k in range(2000)] + [("file:/big", 5 * RANGE_BYTES)]
+    parts = WireReader(files, RANGE_BYTES).partitions()
+    small = [p for p in parts if isinstance(p, WireFiles)]
+    assert len(parts) < 100 and len(parts) - len(small) == 5
+    assert sorted(f for p in small for f in p.files) == sorted(f for f in files[:-1] if f[1])
+    assert max(sum(n + OPEN_BYTES for _, n in p.files) for p in small) <= RANGE_BYTES
+
+
 def test_hmac_header_name(spark, messages, registry):
     frames = sign_frames(compress_batches(build_batches(assign_batches(messages)), registry), KEY)
     from framewright.sources.frames import split_frames
