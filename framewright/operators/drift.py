@@ -37,7 +37,7 @@ def moving_average(rows: Ordered, value: Column, alpha: float, name: str = "ema"
     p = rows.position()
     j = (p - 1) % block + 1
     step = F.pow(F.lit(q), j.cast("double"))
-    rows = rows.add(_block=F.floor((p - 1) / block), _r=value)
+    rows = rows.together().add(_block=F.floor((p - 1) / block), _r=value)
     rows = rows.add(_s=F.sum(alpha * F.col("_r") / step).over(rows.window("_block")))
     total = F.when(j == block, step * F.col("_s"))
     before = rows.before()

@@ -48,6 +48,8 @@ class Ordered:
     keys: list[str]
     chunk_rows: int
     cut: bool
+    #: The chunks are counted and few enough that one row for each may be broadcast.
+    few: bool = False
 
     @property
     def part(self) -> list[str]:
@@ -66,11 +68,15 @@ class Ordered:
         return (F.col(N) - 1) % self.chunk_rows + 1 if self.cut else F.col(N)
 
     def on(self, df: DataFrame) -> "Ordered":
-        return Ordered(df, self.keys, self.chunk_rows, self.cut)
+        return Ordered(df, self.keys, self.chunk_rows, self.cut, self.few)
 
     def add(self, **columns: Column) -> "Ordered":
         return self.on(self.df.withColumns(columns))
 
+    def together(self) -> "Ordered":
+        """The rows of each chunk in one task; windows inside a chunk, over parts of it too, then need no other shuffle."""
+        return self.on(self.df.repartition(*self.part)) if self.cut else self
+
     def carry(
         self,
         summary: dict[str, Column],
@@ -88,6 +94,8 @@ class Ordered:
         chunks = Window.partitionBy(*self.keys).orderBy(CHUNK)
         states = entry(totals, chunks.rowsBetween(*START), chunks.rowsBetween(Window.unboundedPreceding, 0))
         states = states.select(*self.part, *[F.col(name) for name in initial])
+        # the rows stay where they are
+        states = F.broadcast(states) if self.few else states
         joined = join_null_safe(self.df, states, self.part, "left")
         return self.on(joined.withColumns({name: F.coalesce(F.col(name), c) for name, c in initial.items()}))
 
@@ -131,7 +139,8 @@ def order_rows(
     earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(*START)
     shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
     offsets = runs.select(*keys, "_run", shift.alias("_shift"))
-    if sizes.groups + parts <= BROADCAST_ROWS:
+    few = sizes.groups + parts <= BROADCAST_ROWS
+    if few:
         offsets = F.broadcast(offsets)
     numbered = (
         join_null_safe(laid, offsets, [*keys, "_run"])
@@ -139,7 +148,7 @@ def order_rows(
         .withColumn(CHUNK, F.expr(f"({N} - 1) div {chunk_rows}"))
         .drop("_at", "_run", "_shift")
     )
-    return Ordered(numbered, keys, chunk_rows, True)
+    return Ordered(numbered, keys, chunk_rows, True, few)
 
 
 def running_sums(rows: Ordered, **columns: str | Column) -> Ordered:

@@ -732,9 +732,14 @@ def _events(rows: DataFrame) -> DataFrame:
         r6("drift_magnitude").alias("drift_magnitude"))
 
 
+def _series(spark: SparkSession, root: str) -> DataFrame:
+    """The series without the column that no query over it shows."""
+    return i.ratio_series(spark, root).drop("us")
+
+
 @query(_monitor_sql(False) + EVENTS_SELECT)
 def drift_monitor(spark, root):
-    return _events(ratio_events(i.ratio_series(spark, root)))
+    return _events(ratio_events(_series(spark, root)))
 
 
 @query(_monitor_sql(False) + EVENTS_SELECT)
@@ -746,13 +751,13 @@ def _retrains(series: DataFrame) -> DataFrame:
     """A retrain at the time of every 300th batch of a topic; it comes before that batch."""
     from ..operators.ordered import N, order_rows
 
-    rows = order_rows(series, ["topic"], ["ts", "seq"])
+    rows = order_rows(series.select("topic", "ts", "seq"), ["topic"], ["ts", "seq"])
     return rows.df.filter(F.col(N) % 300 == 0).select("topic", "ts")
 
 
 @query(_monitor_sql(True) + EVENTS_SELECT)
 def drift_monitor_retrained(spark, root):
-    series = i.ratio_series(spark, root)
+    series = _series(spark, root)
     return _events(ratio_events(series, retrains=_retrains(series)))
 
 
@@ -762,7 +767,7 @@ SELECT topic, state, round(ema, 6) AS ema, round(base, 6) AS baseline, round(s.r
   CAST(run AS BIGINT) AS consecutive_drift, CAST(0 AS BIGINT) AS retrain_count
 FROM p JOIN e USING (topic, n) JOIN s USING (topic, n)""")
 def drift_monitor_stats(spark, root):
-    return monitor_stats(ratio_events(i.ratio_series(spark, root)))
+    return monitor_stats(ratio_events(_series(spark, root)))
 
 
 # Metrics

@@ -151,3 +151,22 @@ def test_average_does_not_depend_on_the_form(spark, alpha):
     for strategy in ("window", "chunked"):
         got = ema(df, "v", ("seq",), alpha=alpha, chunk_rows=5, strategy=strategy).orderBy("seq").collect()
         assert max(abs(r.ema - x) for r, x in zip(got, expected, strict=True)) < 1e-12, strategy
+
+
+def test_state_of_chunks_comes_to_the_rows(spark):
+    """Rows of a chunk are shuffled once for all passes of the average; what enters a chunk is broadcast to them."""
+    from framewright.operators.drift import ema
+    from framewright.session import scratch_table
+
+    df = scratch_table(spark.range(400).selectExpr("if(id % 3 = 0, 'a', 'b') AS topic", "id AS ts", "id AS seq", "id % 7 / 7.0 AS r"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ema(df, "r", strategy="chunked", chunk_rows=50)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        cut = sorted((x.topic, x.seq, round(x.ema, 9)) for x in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning(topic" in plan and "_block" not in "".join(
+        line for line in plan.splitlines() if "Exchange" in line)
+    assert cut == sorted((x.topic, x.seq, round(x.ema, 9)) for x in ema(df, "r", strategy="window").collect())
