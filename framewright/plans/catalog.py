@@ -1108,25 +1108,30 @@ def streamed_messages(spark, root):
     return run_available(valid.select("topic", "seq", "msg"), "ingest")
 
 
-#: Time steps that the out-of-order files are cut into.
-STEPS = 5
+#: Time steps that the out-of-order files are cut into, and rows of a file at most.
+STEPS, LATE_ROWS = 5, 100_000
 
 
-def _late_files(spark: SparkSession, rows: DataFrame, ends: DataFrame | None = None) -> tuple[DataFrame, float]:
+def _late_files(
+    spark: SparkSession, rows: DataFrame, ends: DataFrame | None = None, file_rows: int | None = None, batch_rows: int | None = None,
+) -> tuple[DataFrame, float]:
     """A stream that reads *rows* from files out of order, then *ends*, and the most that a row is late (ms).
 
-    A file holds one step of time; a tenth of the rows comes a file later, some more two files later.
+    A step of time is laid in one go; a tenth of its rows comes a step later, some more two steps later. A micro-batch has
+    the files of two steps, or as many files as hold *batch_rows* (``FILE_ROWS``) where these would be more.
     """
     path = scratch_path(spark, "late")
-    low, high = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high, count = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count(F.lit(1))).first()
     width = (high - low) // STEPS + 1 if low is not None else 1
     late = F.when(F.col("seq") % 10 == 0, 1).when(F.col("seq") % 37 == 0, 2).otherwise(0)
     step = F.floor((F.unix_micros("ts") - F.lit(low)) / width) + late
     for k in range(STEPS + 2):
-        rows.filter(step == k).write.mode("append").parquet(path)
+        rows.filter(step == k).write.mode("append").option("maxRecordsPerFile", file_rows or LATE_ROWS).parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    most = min(2 * -(-files // (STEPS + 2)), files * (batch_rows or FILE_ROWS) // max(count, 1))
     if ends is not None:
         ends.write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(most, 2)).parquet(path)
     return stream, 3 * width / 1000
 
 

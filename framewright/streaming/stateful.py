@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import Any
 
@@ -16,8 +17,8 @@ from ..operators.breaker import VARIANTS, Rules, _Machine
 
 _NEVER, _ALWAYS = -(1 << 62), 1 << 62
 _FIELDS = ["at", "us", "seq", "msg"]
-#: Slots of time that the age of a batch spans, and the least length of one in microseconds.
-SLOTS, LEAST_SLOT = 8, 1000
+#: Slots of time that the age of a batch and the delay span at most, and the least length of one in microseconds.
+SLOTS, DELAY_SLOTS, LEAST_SLOT = 8, 64, 1000
 
 
 #: Rows of a key that are walked, and given out, at a time.
@@ -46,18 +47,20 @@ class _Batcher(StatefulProcessor):
     """Rows by slot of time until their slot is final, and the rows of the open batch.
 
     A slot is final once a row of its key is *delay* younger than its end. Rows that come for a final slot go to the front
-    of the first one that isn't. A batch closes by its number of rows, or when its deadline lies in a final slot. A
-    micro-batch reads and writes the slots that its rows belong to and those that become final, and no others.
+    of the first one that isn't. A batch closes by its number of rows, or when its deadline lies in a final slot. The rows
+    that a micro-batch has for a slot are a part of it: written once, read once when the slot becomes final, and not
+    touched in between. Final slots are walked one after the other.
     """
 
     def __init__(self, keys: list[str], batch_max: int, span_us: int, delay_us: int, idle_ms: int | None):
         self.keys, self.batch_max, self.span, self.delay, self.idle = keys, batch_max, span_us, delay_us, idle_ms
-        self.width = max(span_us // SLOTS, LEAST_SLOT)
+        self.width = max(span_us // SLOTS, delay_us // DELAY_SLOTS, LEAST_SLOT)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         rows = "at ARRAY<BIGINT>, us ARRAY<BIGINT>, seq ARRAY<BIGINT>, msg ARRAY<STRING>"
-        self.slots = handle.getMapState("slots", "slot BIGINT", rows)
+        self.slots = handle.getMapState("slots", "slot BIGINT", "parts BIGINT")
+        self.parts = handle.getMapState("parts", "slot BIGINT, part BIGINT", rows)
         self.open = handle.getValueState("open", rows)
         self.place = handle.getValueState("place", "newest BIGINT, final BIGINT, lowest BIGINT, position BIGINT, timer BIGINT")
 
@@ -65,58 +68,72 @@ class _Batcher(StatefulProcessor):
         """Newest time, first time that isn't final, lowest slot with rows, rows given out, timer."""
         return tuple(self.place.get()) if self.place.exists() else (_NEVER, _NEVER, _ALWAYS, 0, -1)
 
+    def _by_slot(self, rows: pd.DataFrame) -> dict[int, tuple]:
+        return {int(slot): tuple(part[c].tolist() for c in _FIELDS) for slot, part in rows.groupby(rows["at"] // self.width)}
+
     def _store(self, rows: pd.DataFrame) -> int:
         """Add rows to their slots; the lowest of these."""
-        lowest = _ALWAYS
-        for slot, part in rows.groupby(rows["at"] // self.width):
-            held = self.slots.getValue((slot,)) if self.slots.containsKey((slot,)) else ([], [], [], [])
-            self.slots.updateValue((slot,), tuple([*h, *part[c].tolist()] for h, c in zip(held, _FIELDS)))
-            lowest = min(lowest, int(slot))
-        return lowest
-
-    def _taken(self, before: int) -> tuple[list[pd.DataFrame], int]:
-        """The rows of all slots below *before*, which are removed, and the lowest slot that stays."""
-        numbers = [int(k[0]) for k in self.slots.keys()]
-        done = [k for k in numbers if k < before]
-        parts = [pd.DataFrame(dict(zip(_FIELDS, map(list, self.slots.getValue((k,)))))) for k in done]
-        for k in done:
-            self.slots.removeKey((k,))
-        return parts, min((k for k in numbers if k >= before), default=_ALWAYS)
-
-    def _closed(self, key: Any, parts: list[pd.DataFrame], position: int, final: int) -> tuple[list[dict], int]:
-        """The batches that are closed when no row below *final* can come any more, and how many rows have been given out."""
-        if self.open.exists():
-            parts = [pd.DataFrame(dict(zip(_FIELDS, map(list, self.open.get())))), *parts]
-        rows = pd.concat(parts, ignore_index=True).sort_values(["at", "us", "seq"], kind="stable") if parts else pd.DataFrame(columns=_FIELDS)
-        at = rows["at"].to_numpy(dtype=np.int64)
+        by_slot = self._by_slot(rows)
+        for slot, part in by_slot.items():
+            parts = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
+            self.parts.updateValue((slot, parts), part)
+            self.slots.updateValue((slot,), (parts + 1,))
+        return min(by_slot, default=_ALWAYS)
+
+    def _taken(self, slot: int) -> Iterator[tuple]:
+        """The parts of a slot, which is removed."""
+        for part in range(self.slots.getValue((slot,))[0]):
+            yield tuple(self.parts.getValue((slot, part)))
+            self.parts.removeKey((slot, part))
+        self.slots.removeKey((slot,))
+
+    def _closed(self, key: Any, parts: list[tuple], position: int, final: int) -> tuple[list[dict], tuple]:
+        """The batches that are closed when no row below *final* can come any more, and the rows that stay open."""
+        at, us, seq, msg = ([x for part in parts for x in part[k]] for k in range(len(_FIELDS)))
+        order = np.lexsort((seq, us, at)).tolist()
+        at, us, seq, msg = ([column[k] for k in order] for column in (at, us, seq, msg))
         done, start = [], 0
         while start < len(at):
-            late = int(np.searchsorted(at, at[start] + self.span, side="left"))
-            end = min(start + self.batch_max, max(late, start + 1))
+            late = bisect_left(at, at[start] + self.span, start, min(start + self.batch_max, len(at)))
+            end = max(late, start + 1)
             if end - start < self.batch_max and end == len(at) and final < at[start] + self.span:
                 break
-            done.append(self._batch(key, position + start + 1, rows.iloc[start:end]))
+            done.append(self._batch(key, position + start + 1, us[start], us[end - 1], msg[start:end]))
             start = end
-        if start < len(at):
-            self.open.update(tuple(rows[c].iloc[start:].tolist() for c in _FIELDS))
-        elif self.open.exists():
-            self.open.clear()
-        return done, position + start
+        return done, (at[start:], us[start:], seq[start:], msg[start:])
 
     def _advanced(self, key: Any, new: pd.DataFrame, place: tuple, until: int) -> Iterator[pd.DataFrame]:
         """Everything below the time *until* is final from now on; *new* rows at or above it are stored."""
         newest, final, lowest, position, timer = place
         lowest = min(lowest, self._store(new[new["at"] >= until]))
-        parts = [new[new["at"] < until]] if (new["at"] < until).any() else []
+        due, stored = self._by_slot(new[new["at"] < until]), set()
         if lowest < until // self.width:
-            stored, lowest = self._taken(until // self.width)
-            parts += stored
-        done, position = self._closed(key, parts, position, until) if parts or until > final else ([], position)
+            held = [int(k[0]) for k in self.slots.keys()]
+            stored = {k for k in held if k < until // self.width}
+            lowest = min((k for k in held if k >= until // self.width), default=_ALWAYS)
+        if due or stored or until > final:
+            rest = tuple(self.open.get()) if self.open.exists() else ([],) * len(_FIELDS)
+            walked = sorted({*due, *stored})
+            parts = [rest]
+            for k, slot in enumerate(walked, 1):
+                parts += [*([due[slot]] if slot in due else []), *(self._taken(slot) if slot in stored else [])]
+                if k < len(walked) and sum(len(part[0]) for part in parts) >= BLOCK_ROWS:
+                    done, rest = self._closed(key, parts, position, (slot + 1) * self.width)
+                    position += sum(b["count"] for b in done)
+                    parts = [rest]
+                    if done:
+                        yield pd.DataFrame(done)
+            done, rest = self._closed(key, parts, position, until)
+            position += sum(b["count"] for b in done)
+            if rest[0]:
+                self.open.update(rest)
+            elif self.open.exists():
+                self.open.clear()
+            if done:
+                yield pd.DataFrame(done)
         # what ended may go on: times then count from the last one seen
         final = until if until < _ALWAYS else max(final, (newest // self.width + 1) * self.width)
         self.place.update((newest, final, lowest, position, timer))
-        if done:
-            yield pd.DataFrame(done)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         newest, final, lowest, position, timer = self._placed()
@@ -139,11 +156,11 @@ class _Batcher(StatefulProcessor):
         if place[-1] == expiredTimerInfo.getExpiryTimeInMs():
             yield from self._advanced(key, pd.DataFrame(columns=_FIELDS), (*place[:-1], -1), _ALWAYS)
 
-    def _batch(self, key: tuple, first: int, rows: pd.DataFrame) -> dict:
-        text = "".join(f"{m}\n" for m in rows["msg"]).encode()
+    def _batch(self, key: tuple, position: int, first: int, last: int, lines: list[str]) -> dict:
+        text = "".join(f"{m}\n" for m in lines).encode()
         return {
-            **dict(zip(self.keys, key)), "batch_id": first, "count": len(rows), "raw_len": len(text),
-            "t0": int(rows["us"].iloc[0]) / 1e6, "t1": int(rows["us"].iloc[-1]) / 1e6, "payload": text}
+            **dict(zip(self.keys, key)), "batch_id": position, "count": len(lines), "raw_len": len(text),
+            "t0": first / 1e6, "t1": last / 1e6, "payload": text}
 
     def close(self) -> None:
         pass
@@ -158,7 +175,7 @@ def stream_batches(
     No message is dropped. Those that are up to *delay_ms* older than the newest of their topic are put in order, so the
     batches equal those of the whole table; older ones still join the batches that are open when they come. A row whose
     msg is null is no message and changes nothing. State is the open batch and the messages of the last *delay_ms* of a
-    key, in slots of time: a micro-batch writes those that change, however long the delay is.
+    key, in slots of time: a micro-batch writes its own rows and reads the slots that become final, however long the delay is.
 
     A row whose boolean column *end* is true ends the input of its key: all that is held comes out. So it does when no
     message has arrived for *idle_ms* of processing time; what comes afterwards opens a new batch. A topic that is too

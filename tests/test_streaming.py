@@ -183,6 +183,35 @@ def test_state_written_does_not_grow_with_the_delay():
     assert max(most) <= 1.3 * most[0]
 
 
+def test_rows_of_a_slot_are_written_once():
+    """However many micro-batches have rows for the same slots, none writes what an earlier one has written."""
+    files = [[(10_000 * j, 10 * k + j, "m", False) for j in range(10)] for k in range(60)]
+    got, written = _fed([*files, [(0, 0, None, True)]], 7, 80_000, 1_000_000_000)
+    assert max(written[:60]) <= 1.3 * written[0]
+    assert sum(b["count"] for b in got) == 600 and [b["batch_id"] for b in got][:3] == [1, 8, 15]
+
+
+def test_final_slots_are_walked_in_blocks(monkeypatch):
+    """What becomes final at once comes out a block at a time, and equals one walk over all of it."""
+    import pandas as pd
+
+    from framewright.streaming import stateful
+
+    r = random.Random(5)
+    rows = sorted((r.randrange(5_000_000), k, f"m{k}", False) for k in range(500))
+    files = [*([x for x in rows if x[1] % 3 == k] for k in range(3)), [(0, 0, None, True)]]
+    found = []
+    for most in (1000, 50, 1):
+        monkeypatch.setattr(stateful, "BLOCK_ROWS", most)
+        processor = _Batcher(["topic"], 9, 30_000, 4_000_000, None)
+        processor.init(_Handle())
+        found.append([
+            list(processor.handleInputRows(("a",), iter([pd.DataFrame(x, columns=["us", "seq", "msg", "ends"])]), None)) for x in files])
+    assert [len(x[-1]) for x in found][0] == 1 and max(part["count"].sum() for part in found[1][-1]) < 100
+    whole = [pd.concat([part for file in x for part in file], ignore_index=True) for x in found]
+    assert whole[0]["count"].sum() == 500 and whole[1].equals(whole[0]) and whole[2].equals(whole[0])
+
+
 def test_metrics_sink_counts_late_rows(spark, tmp_path):
     df = messages(spark).select(
         "topic", "ts", "seq", F.lit(2).cast("long").alias("count"), (F.col("seq") + 10).alias("raw_len"),
@@ -252,6 +281,19 @@ def test_ordered_stream_has_files_of_bounded_size(spark):
     assert len(seen) > 2 and [x for part in seen for x in part] == list(range(100))
 
 
+def test_late_files_of_many_partitions_share_micro_batches(spark):
+    """Two steps of time make a micro-batch, whatever number of tasks wrote them; a large step has several."""
+    from framewright.plans.catalog import _late_files
+
+    df = messages(spark, 200).repartition(8).cache()
+    seen = []
+    run_each(_late_files(spark, df)[0], "seen", lambda b, k: seen.append([x.seq for x in b.select("seq").collect()]))
+    assert 3 <= len(seen) <= 5 and sorted(x for part in seen for x in part) == list(range(200))
+    seen.clear()
+    run_each(_late_files(spark, df, None, 5, 20)[0], "seen", lambda b, k: seen.append([x.seq for x in b.select("seq").collect()]))
+    assert max(map(len, seen)) <= 40 and sorted(x for part in seen for x in part) == list(range(200))
+
+
 def test_stream_metrics(spark, tmp_path):
     df = spark.range(100).select(
         F.lit("a").alias("topic"), F.timestamp_micros(F.col("id") * 10_000_000).alias("ts"), F.col("id").alias("seq"),
