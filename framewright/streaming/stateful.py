@@ -9,6 +9,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -16,7 +17,7 @@ from ..operators.breaker import VARIANTS, Rules, _Machine
 
 
 _NEVER, _ALWAYS = -(1 << 62), 1 << 62
-_FIELDS = ["at", "us", "seq", "msg"]
+_ROWS = pa.schema([("at", pa.int64()), ("us", pa.int64()), ("seq", pa.int64()), ("msg", pa.large_string())])
 #: Slots of time that the age of a batch and the delay span at most, and the least length of one in microseconds.
 SLOTS, DELAY_SLOTS, LEAST_SLOT = 8, 64, 1000
 
@@ -43,13 +44,25 @@ def _in_order(parts: Iterator[pd.DataFrame], names: list[str]) -> Iterator[list[
         yield [c[block].tolist() for c in columns]
 
 
+def _packed(rows: pa.Table) -> tuple[bytes]:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _ROWS) as stream:
+        stream.write_table(rows)
+    return (sink.getvalue().to_pybytes(),)
+
+
+def _unpacked(value: tuple[bytes]) -> pa.Table:
+    return pa.ipc.open_stream(bytes(value[0])).read_all()
+
+
 class _Batcher(StatefulProcessor):
     """Rows by slot of time until their slot is final, and the rows of the open batch.
 
     A slot is final once a row of its key is *delay* younger than its end. Rows that come for a final slot go to the front
     of the first one that isn't. A batch closes by its number of rows, or when its deadline lies in a final slot. The rows
     that a micro-batch has for a slot are a part of it: written once, read once when the slot becomes final, and not
-    touched in between. Final slots are walked one after the other.
+    touched in between. Final slots are walked one after the other. Parts are kept as Arrow batches: as arrays, every number
+    and text of them would pass between Python and the state store by itself.
     """
 
     def __init__(self, keys: list[str], batch_max: int, span_us: int, delay_us: int, idle_ms: int | None):
@@ -58,40 +71,37 @@ class _Batcher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        rows = "at ARRAY<BIGINT>, us ARRAY<BIGINT>, seq ARRAY<BIGINT>, msg ARRAY<STRING>"
         self.slots = handle.getMapState("slots", "slot BIGINT", "parts BIGINT")
-        self.parts = handle.getMapState("parts", "slot BIGINT, part BIGINT", rows)
-        self.open = handle.getValueState("open", rows)
+        self.parts = handle.getMapState("parts", "slot BIGINT, part BIGINT", "rows BINARY")
+        self.open = handle.getValueState("open", "rows BINARY")
         self.place = handle.getValueState("place", "newest BIGINT, final BIGINT, lowest BIGINT, position BIGINT, timer BIGINT")
 
     def _placed(self) -> tuple:
         """Newest time, first time that isn't final, lowest slot with rows, rows given out, timer."""
         return tuple(self.place.get()) if self.place.exists() else (_NEVER, _NEVER, _ALWAYS, 0, -1)
 
-    def _by_slot(self, rows: pd.DataFrame) -> dict[int, tuple]:
-        return {int(slot): tuple(part[c].tolist() for c in _FIELDS) for slot, part in rows.groupby(rows["at"] // self.width)}
-
-    def _store(self, rows: pd.DataFrame) -> int:
-        """Add rows to their slots; the lowest of these."""
-        by_slot = self._by_slot(rows)
-        for slot, part in by_slot.items():
+    def _store(self, rows: pa.Table) -> int:
+        """Add rows, which are in order, to their slots; the lowest of these."""
+        slots, first = np.unique(rows["at"].to_numpy() // self.width, return_index=True)
+        slots, first = slots.tolist(), [*first.tolist(), rows.num_rows]
+        for k, slot in enumerate(slots):
             parts = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
-            self.parts.updateValue((slot, parts), part)
+            self.parts.updateValue((slot, parts), _packed(rows.slice(first[k], first[k + 1] - first[k])))
             self.slots.updateValue((slot,), (parts + 1,))
-        return min(by_slot, default=_ALWAYS)
+        return min(slots, default=_ALWAYS)
 
-    def _taken(self, slot: int) -> Iterator[tuple]:
+    def _taken(self, slot: int) -> Iterator[pa.Table]:
         """The parts of a slot, which is removed."""
         for part in range(self.slots.getValue((slot,))[0]):
-            yield tuple(self.parts.getValue((slot, part)))
+            yield _unpacked(self.parts.getValue((slot, part)))
             self.parts.removeKey((slot, part))
         self.slots.removeKey((slot,))
 
-    def _closed(self, key: Any, parts: list[tuple], position: int, final: int) -> tuple[list[dict], tuple]:
+    def _closed(self, key: Any, parts: list[pa.Table], position: int, final: int) -> tuple[list[dict], pa.Table]:
         """The batches that are closed when no row below *final* can come any more, and the rows that stay open."""
-        at, us, seq, msg = ([x for part in parts for x in part[k]] for k in range(len(_FIELDS)))
-        order = np.lexsort((seq, us, at)).tolist()
-        at, us, seq, msg = ([column[k] for k in order] for column in (at, us, seq, msg))
+        rows = pa.concat_tables([_ROWS.empty_table(), *parts])
+        rows = rows.take(np.lexsort([rows[c].to_numpy() for c in ("seq", "us", "at")]))
+        at, us, msg = (rows[c].to_numpy().tolist() for c in ("at", "us", "msg"))
         done, start = [], 0
         while start < len(at):
             late = bisect_left(at, at[start] + self.span, start, min(start + self.batch_max, len(at)))
@@ -100,33 +110,38 @@ class _Batcher(StatefulProcessor):
                 break
             done.append(self._batch(key, position + start + 1, us[start], us[end - 1], msg[start:end]))
             start = end
-        return done, (at[start:], us[start:], seq[start:], msg[start:])
+        return done, rows.slice(start)
 
     def _advanced(self, key: Any, new: pd.DataFrame, place: tuple, until: int) -> Iterator[pd.DataFrame]:
         """Everything below the time *until* is final from now on; *new* rows at or above it are stored."""
         newest, final, lowest, position, timer = place
-        lowest = min(lowest, self._store(new[new["at"] >= until]))
-        due, stored = self._by_slot(new[new["at"] < until]), set()
+        rows = pa.Table.from_pandas(new, _ROWS, preserve_index=False)
+        rows = rows.take(np.argsort(rows["at"].to_numpy(), kind="stable"))
+        at, stored = rows["at"].to_numpy(), []
+        due = int(np.searchsorted(at, until))
+        lowest = min(lowest, self._store(rows.slice(due)))
         if lowest < until // self.width:
-            held = [int(k[0]) for k in self.slots.keys()]
-            stored = {k for k in held if k < until // self.width}
-            lowest = min((k for k in held if k >= until // self.width), default=_ALWAYS)
+            held = sorted(int(k[0]) for k in self.slots.keys())
+            stored = held[:bisect_left(held, until // self.width)]
+            lowest = min(held[len(stored):], default=_ALWAYS)
         if due or stored or until > final:
-            rest = tuple(self.open.get()) if self.open.exists() else ([],) * len(_FIELDS)
-            walked = sorted({*due, *stored})
-            parts = [rest]
-            for k, slot in enumerate(walked, 1):
-                parts += [*([due[slot]] if slot in due else []), *(self._taken(slot) if slot in stored else [])]
-                if k < len(walked) and sum(len(part[0]) for part in parts) >= BLOCK_ROWS:
-                    done, rest = self._closed(key, parts, position, (slot + 1) * self.width)
+            parts, size, first = [_unpacked(self.open.get())] if self.open.exists() else [], 0, 0
+            for slot in stored:
+                for part in self._taken(slot):
+                    parts.append(part)
+                    size += part.num_rows
+                if size >= BLOCK_ROWS:
+                    end = (slot + 1) * self.width
+                    last = min(int(np.searchsorted(at, end)), due)
+                    done, rest = self._closed(key, [*parts, rows.slice(first, last - first)], position, end)
                     position += sum(b["count"] for b in done)
-                    parts = [rest]
+                    parts, size, first = [rest], 0, last
                     if done:
                         yield pd.DataFrame(done)
-            done, rest = self._closed(key, parts, position, until)
+            done, rest = self._closed(key, [*parts, rows.slice(first, due - first)], position, until)
             position += sum(b["count"] for b in done)
-            if rest[0]:
-                self.open.update(rest)
+            if rest.num_rows:
+                self.open.update(_packed(rest))
             elif self.open.exists():
                 self.open.clear()
             if done:
@@ -139,10 +154,10 @@ class _Batcher(StatefulProcessor):
         newest, final, lowest, position, timer = self._placed()
         data = pd.concat(list(rows), ignore_index=True)
         ended = bool(data["ends"].any())
-        data = data[data["msg"].notna()]
+        data = data[data["msg"].notna() & data["us"].notna()]
         if len(data):
             newest = max(newest, int(data["us"].max()))
-        data = data.assign(at=data["us"].clip(lower=final))[_FIELDS]
+        data = data.assign(at=data["us"].clip(lower=final))[_ROWS.names]
         if self.idle is not None:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
@@ -154,7 +169,7 @@ class _Batcher(StatefulProcessor):
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         place = self._placed()
         if place[-1] == expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._advanced(key, pd.DataFrame(columns=_FIELDS), (*place[:-1], -1), _ALWAYS)
+            yield from self._advanced(key, pd.DataFrame(columns=_ROWS.names), (*place[:-1], -1), _ALWAYS)
 
     def _batch(self, key: tuple, position: int, first: int, last: int, lines: list[str]) -> dict:
         text = "".join(f"{m}\n" for m in lines).encode()

@@ -183,14 +183,48 @@ def test_state_written_does_not_grow_with_the_delay():
     assert max(most) <= 1.3 * most[0]
 
 
-def test_rows_of_a_slot_are_written_once():
+def test_rows_of_a_slot_are_written_once(monkeypatch):
     """However many micro-batches have rows for the same slots, none writes what an earlier one has written."""
+    def update(self, key, value):
+        self.held[key] = value
+        self.written += sum(len(v) if isinstance(v, (list, bytes)) else 1 for v in value)
+
+    monkeypatch.setattr(_Cell, "updateValue", update)
     files = [[(10_000 * j, 10 * k + j, "m", False) for j in range(10)] for k in range(60)]
     got, written = _fed([*files, [(0, 0, None, True)]], 7, 80_000, 1_000_000_000)
     assert max(written[:60]) <= 1.3 * written[0]
     assert sum(b["count"] for b in got) == 600 and [b["batch_id"] for b in got][:3] == [1, 8, 15]
 
 
+def test_rows_of_many_slots_and_idle_keys_come_out():
+    """Rows that are final at once are one walk, however many slots they lie in; an idle key gives out all that it holds."""
+    import time
+
+    import pandas as pd
+
+    class Timers(_Handle):
+        def registerTimer(self, at):
+            self.at = at
+
+        def deleteTimer(self, at):
+            self.at = None
+
+        def getCurrentProcessingTimeInMs(self):
+            return 5
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    handle, processor = Timers(), _Batcher(["topic"], 10, 20_000, 0, 1_000)
+    processor.init(handle)
+    rows = pd.DataFrame([(50_000 * k, k, f"m{k}", False) for k in range(20_000)], columns=["us", "seq", "msg", "ends"])
+    began = time.process_time()
+    got = [x for part in processor.handleInputRows(("a",), iter([rows]), handle) for x in part["count"]]
+    assert time.process_time() - began < 5
+    got += [x for part in processor.handleExpiredTimer(("a",), handle, handle) for x in part["count"]]
+    assert got == [1] * 20_000 and not handle.cells["open"].exists() and not handle.cells["parts"].held
+
+
 def test_final_slots_are_walked_in_blocks(monkeypatch):
     """What becomes final at once comes out a block at a time, and equals one walk over all of it."""
     import pandas as pd
