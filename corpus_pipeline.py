@@ -26,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC, with all their columns; those without words stay."""
     labels = read(spark, sf_dir, "labels").where(learned_from(F.col("doc_id")))
     model = toxicity.fit(docs, labels)
-    judged = toxicity.score(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row")), model)
-    return judged.where(F.col("score") < TOXIC).select("row.*")
+    others = F.struct(*[docs[c] for c in docs.columns if c != "text"])  # the text goes to Python and back only once
+    judged = toxicity.score(docs.select("text", others.alias("row")), model).where(F.col("score") < TOXIC)
+    return judged.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ GRAMS = (3, 4, 5, 6)
 HIDDEN, ATTENTION = 8, 8
 ROUNDS, STEPS, BATCH, RATE, SEED = 6, 60, 256, 0.01, 7
 BATCH_BYTES = 1 << 20
+#: Words and windows that are worked on at a time, so that what is between them and the results stays small.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 1 << 14, 512
 
 _INPUTS = len(GRAMS) + 4
 _EDGES = b".,;:!?\"'()[]{}<>|#*$%&-_/\\=+~^`"
@@ -78,19 +80,20 @@ def _hash_words(words: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray,
 def inputs(words: list[bytes], model: Model) -> np.ndarray:
     """A row of numbers for every word and one of zeros at the end, for places behind a text."""
     rows = np.zeros((len(words) + 1, _INPUTS), np.float32)
-    if not words:
-        return rows
-    whole, grams = _hash_words(words)
-    rows[:-1, 0] = model.word_odds[whole]
-    for k, (buckets, owner) in enumerate(grams):
-        values = model.gram_odds[k][buckets]
-        if len(owner):
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            rows[owner[starts], 1 + k] = np.maximum.reduceat(values, starts)
-            if GRAMS[k] == 4:
-                rows[owner[starts], -3] = np.add.reduceat(values, starts) / np.diff(np.append(starts, len(owner)))
-    rows[:-1, -2] = np.minimum([len(w) for w in words], 20) / 10
-    rows[:-1, -1] = 1
+    for first in range(0, len(words), WORDS_AT_ONCE):
+        some = words[first:first + WORDS_AT_ONCE]
+        part = rows[first:first + len(some)]
+        whole, grams = _hash_words(some)
+        part[:, 0] = model.word_odds[whole]
+        for k, (buckets, owner) in enumerate(grams):
+            values = model.gram_odds[k][buckets]
+            if len(owner):
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                part[owner[starts], 1 + k] = np.maximum.reduceat(values, starts)
+                if GRAMS[k] == 4:
+                    part[owner[starts], -3] = np.add.reduceat(values, starts) / np.diff(np.append(starts, len(owner)))
+        part[:, -2] = np.minimum([len(w) for w in some], 20) / 10
+        part[:, -1] = 1
     return rows
 
 
@@ -103,6 +106,12 @@ def windows_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first + (np.cumsum(counts) - counts)[owner], owner
 
 
+def _word_of(first: np.ndarray, ends: np.ndarray, ids: np.ndarray, behind: int) -> np.ndarray:
+    """Numbers of the words of windows that begin at *first*; *behind* for places behind the ends of their texts."""
+    places = first[:, None] + np.arange(WINDOW)
+    return np.where(places < ends[:, None], ids[np.minimum(places, len(ids) - 1)], behind)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -133,7 +142,7 @@ def _pool(weights: dict[str, np.ndarray], states: np.ndarray, there: np.ndarray)
     return pooled @ weights["o"] + weights["c"], (seen, share, pooled)
 
 
-def logits(model: Model, rows: np.ndarray, index: np.ndarray, chunk: int = 2048) -> np.ndarray:
+def logits(model: Model, rows: np.ndarray, index: np.ndarray, chunk: int = WINDOWS_AT_ONCE) -> np.ndarray:
     """Log-odds of windows; *index* (windows, words) points into *rows*, whose last one stands behind every text."""
     w = model.weights
     given = {s: rows @ w["W" + s] + w["b" + s] for s in "fb"}
@@ -216,12 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _odds(buckets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
-    """Log-odds of toxic for every bucket, from the documents in which it occurs, with classes brought to the smaller's
-    size and rare buckets shrunk towards 0."""
-    counts = np.zeros((2, BUCKETS))
-    for b, y in zip(buckets, label, strict=True):
-        counts[y, b] += 1
+def _odds(counts: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Log-odds of toxic for every bucket, from the numbers of clean and toxic documents in which it occurs, with
+    classes brought to the smaller's size and rare buckets shrunk towards 0."""
     both = np.bincount(label, minlength=2)[:, None]
     scaled = np.log(counts * (both.min() / both) + 2)
     return ((scaled[1] - scaled[0]) / 3).astype(np.float32)
@@ -241,19 +247,26 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
         return model
     counts = np.array([len(x) for x, _ in parts if len(x)])
     ids, words = np.concatenate([x for x, _ in parts]), list(vocabulary)
-    whole, grams = _hash_words(words)
-    own = [np.unique(x) for x in np.split(ids, np.cumsum(counts)[:-1])]
-    model.word_odds = _odds([np.unique(whole[x]) for x in own], label)
-    for k, (buckets, owner) in enumerate(grams):
-        edges = np.searchsorted(owner, np.arange(len(words) + 1))
-        per_word = [buckets[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        model.gram_odds[k] = _odds([np.unique(np.concatenate([per_word[i] for i in x])) for x in own], label)
-    rows = inputs(words, model)
+    del parts, vocabulary
+    found = np.zeros((1 + len(GRAMS), 2, BUCKETS), np.int32)
+    for x, y in zip(np.split(ids, np.cumsum(counts)[:-1]), label, strict=True):
+        whole, grams = _hash_words([words[i] for i in np.unique(x)])
+        for k, buckets in enumerate([whole, *(b for b, _ in grams)]):
+            found[k, y, np.unique(buckets)] += 1
+    model.word_odds = _odds(found[0], label)
+    for k in range(len(GRAMS)):
+        model.gram_odds[k] = _odds(found[1 + k], label)
+    rows, size = inputs(words, model), len(words)
+    del words, found
 
     first, owner = windows_of(counts)
-    index = first[:, None] + np.arange(WINDOW)
-    ends = np.cumsum(counts)[owner][:, None]
-    index = np.where(index < ends, ids[np.minimum(index, len(ids) - 1)], len(words)).astype(np.int32)
+    ends = np.cumsum(counts)[owner]
+    index = np.empty((len(first), WINDOW), np.int32)
+    suspicion = np.empty(len(first), np.float32)
+    for start in range(0, len(first), WINDOWS_AT_ONCE):
+        part = slice(start, start + WINDOWS_AT_ONCE)
+        index[part] = _word_of(first[part], ends[part], ids, size)
+        suspicion[part] = np.sort(rows[:, 0][index[part]], 1)[:, -2:].sum(1) + rows[:, 2][index[part]].max(1)
 
     rng = np.random.default_rng(SEED)
     shapes = {"A": (2 * HIDDEN, ATTENTION), "a": (ATTENTION,), "v": (ATTENTION,), "o": (2 * HIDDEN,), "c": (1,)}
@@ -262,7 +275,6 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
     w = model.weights = {k: (rng.normal(0, 0.4, d) if len(d) > 1 or k in "vo" else np.zeros(d)).astype(np.float32) for k, d in shapes.items()}
     moment, square, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     toxic = label[owner] == 1
-    suspicion = np.sort(rows[:, 0][index], 1)[:, -2:].sum(1) + rows[:, 2][index].max(1)
     for turn in range(ROUNDS):
         if turn:
             suspicion = logits(model, rows, index)
@@ -273,12 +285,12 @@ def train(examples: list[tuple[bytes, int]]) -> Model:
         deck = np.concatenate([rng.permutation(chosen) for _ in range(-(-STEPS * BATCH // len(chosen)))])
         for start in range(0, STEPS * BATCH, BATCH):
             part = deck[start:start + BATCH]
-            there = index[part].T != len(words)
+            there = index[part].T != size
             g = _gradients(w, rows[index[part].T], there, toxic[part].astype(np.float32), np.where(toxic[part], 2.0, 1.0).astype(np.float32))
-            size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             step += 1
             for k, x in g.items():
-                x = x * min(1.0, 1.0 / max(size, 1e-9))
+                x = x * min(1.0, 1.0 / max(norm, 1e-9))
                 moment[k] = 0.9 * moment[k] + 0.1 * x
                 square[k] = 0.99 * square[k] + 0.01 * x * x
                 w[k] -= (RATE * 0.6 ** turn * (moment[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
@@ -298,9 +310,8 @@ def score_texts(texts: list[bytes], model: Model) -> np.ndarray:
     first, owner = windows_of(counts)
     ends = np.cumsum(counts)
     for start in range(0, len(first), 1 << 14):
-        index = first[start:start + (1 << 14), None] + np.arange(WINDOW)
         mine = owner[start:start + (1 << 14)]
-        index = np.where(index < ends[mine][:, None], ids[np.minimum(index, len(ids) - 1)], len(vocabulary))
+        index = _word_of(first[start:start + (1 << 14)], ends[mine], ids, len(vocabulary))
         np.maximum.at(scores, mine, _sigmoid(logits(model, rows, index).astype(float)))
     return scores
 

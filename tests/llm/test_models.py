@@ -1,6 +1,7 @@
 """Language identification and toxicity: held-out accuracy, gradients, odd rows; the pipeline against plain loops."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -230,3 +231,39 @@ def _one_class(spark):
         toxicity.fit(texts, labels)
     finally:
         toxicity.SAMPLE_ROWS = before
+
+
+def test_training_needs_little_memory(monkeypatch):
+    """Many different words: what training holds beside its inputs stays a small multiple of the texts."""
+    r = random.Random(3)
+    examples = [(" ".join("".join(r.choices("abcdefghijkl", k=9)) for _ in range(400)).encode(), i % 2) for i in range(400)]
+    monkeypatch.setattr(toxicity, "ROUNDS", 2)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    toxicity.train(examples[:4])
+    tracemalloc.start()
+    try:
+        model = toxicity.train(examples)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weights and peak < 40 * sum(len(t) for t, _ in examples)
+
+
+def test_blocks_of_words_change_no_input(monkeypatch):
+    model = toxicity.train(planted(200, 1))
+    words = sorted({w for t, _ in planted(200, 2) for w in toxicity.words_in(t)})
+    whole = toxicity.inputs(words, model)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 7)
+    assert len(words) > 7 and np.array_equal(toxicity.inputs(words, model), whole)
+
+
+def test_toxicity_stage_takes_the_text_once(spark, monkeypatch):
+    """The text goes to Python in one column only; all columns and odd rows come back in order as they were."""
+    docs = frame(spark, texts())
+    seen, score = [], toxicity.score
+    monkeypatch.setattr(toxicity, "fit", lambda *_: toxicity.train([]))
+    monkeypatch.setattr(toxicity, "score", lambda df, model: (seen.append(df.schema), score(df, model))[1])
+    calm = corpus_pipeline.drop_toxic(spark, docs, ROOT)
+    assert calm.columns == docs.columns and calm.dtypes == docs.dtypes
+    assert "text" in seen[0].names and "text" not in seen[0]["row"].dataType.names
+    assert sorted(map(repr, calm.collect())) == sorted(map(repr, docs.collect()))
