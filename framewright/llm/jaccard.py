@@ -41,6 +41,7 @@ BLOCK_SETS, BLOCK_SHINGLES, BLOCK_COLUMNS = 256, 1 << 18, 4096
 EARLIER = 3
 
 _PARITY = [f"p{i}" for i in range(PARITY)]
+_SKETCHES = ["wide", *_PARITY]
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -152,11 +153,11 @@ def _first_common(least: int) -> Column:
     return room & ~before
 
 
-def _not_too_far(pairs: DataFrame, groups: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def _not_too_far(pairs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
     """Pairs of groups `ga`, `gb` that their wide sketches don't rule out; a group of several classes has none."""
-    single = groups.where("members = 1").select("n", "prefix_digest", "gid").join(classes, ["n", "prefix_digest"]).select("gid", "n", "wide")
-    sides = [single.select(F.col("gid").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
-    met = pairs.join(sides[0], "ga", "left").join(sides[1], "gb", "left").withColumn("most", F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), least))
+    sides = [groups.select(F.col("gid").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
+    met = sides[0].join(broadcast_if_small(scratch_table(pairs, "met")), "ga").join(sides[1], "gb")
+    met = met.withColumn("most", F.col("na") + F.col("nb") - 2 * _needed(F.col("na"), F.col("nb"), least))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +303,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("wide").alias("wide"),
         *[F.first(p).alias(p) for p in _PARITY]), "classes")
     groups = classes.groupBy("n", "prefix_digest").agg(
-        F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"), *[F.min(p).alias(p) for p in _PARITY])
-    groups = scratch_table(groups.select("n", "prefix_digest", "gid", "members", *[F.when(F.col("members") == 1, F.col(p)).alias(p) for p in _PARITY]), "groups")
+        F.min("rep").alias("gid"), F.count(F.lit(1)).alias("members"), *[F.first(p).alias(p) for p in _SKETCHES])
+    groups = scratch_table(groups.select("n", "prefix_digest", "gid", "members", *[F.when(F.col("members") == 1, F.col(p)).alias(p) for p in _SKETCHES]), "groups")
     members = classes.join(groups.where("members > 1").select("n", "prefix_digest", "gid"), ["n", "prefix_digest"]).select("gid", "rep", "n", *_PARITY)
 
     # lists of the groups that share a prefix shingle
@@ -324,13 +325,14 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     neighbours = (met.groupBy(F.least("gid", "other.gid").alias("a"), F.greatest("gid", "other.gid").alias("b"))
                   .agg(F.count(F.lit(1)).alias("common"), F.first("other.n").alias("na"), F.first("n").alias("nb")))
     neighbours = neighbours.where(_enough(F.col("common"), F.col("na"), F.col("nb"), least)).select("a", "b")
-    neighbours = (neighbours.join(info.alias("x"), F.col("a") == F.col("x.gid")).join(info.alias("y"), F.col("b") == F.col("y.gid"))
+    neighbours = broadcast_if_small(scratch_table(neighbours, "neighbours"))
+    neighbours = (info.alias("x").join(neighbours, F.col("a") == F.col("x.gid")).join(info.alias("y"), F.col("b") == F.col("y.gid"))
                   .where(_close("x", "y", least)).select("a", "b"))
     firsts = members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
     first_links = _verified(neighbours.unionByName(firsts), rows, classes, width, least)
 
     # second round: all pairs that may link and are in different components so far
-    reached = scratch_table(components(first_links), "components")
+    reached = components(first_links)
     member_of = (classes.join(groups.select("n", "prefix_digest", "gid"), ["n", "prefix_digest"])
                  .join(reached, F.col("rep") == F.col("node"), "left")
                  .select("gid", "rep", "n", *_PARITY, F.coalesce("component", "rep").alias("comp")))
@@ -349,14 +351,15 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, i
     pairs = (told.alias("x").join(told.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid"))
                                   & apart & _first_common(least) & _close("x", "y", least))
              .select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct())
-    pairs = _not_too_far(pairs, groups, classes, least)
+    pairs = _not_too_far(pairs, groups, least)
     mixed = whole.where("comp is null").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     expanded = (pairs.unionByName(mixed).join(member_of.alias("x"), F.col("ga") == F.col("x.gid")).join(
         member_of.alias("y"), (F.col("gb") == F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & _close("x", "y", least))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")))
     more = _verified(expanded, rows, classes, width, least)
 
-    reached = components(first_links.unionByName(more))
+    # components so far are stars, which the links across them join
+    reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     by_class = classes.join(reached, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     counts = []
     if links:

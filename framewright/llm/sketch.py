@@ -19,6 +19,8 @@ BITS = 21
 #: Counts that travel in one row, two in each 64-bit column.
 _PER_ROW = 32
 _MOST = 1 << 30
+#: Buckets that are classed at once.
+_AT_ONCE = 1 << 16
 BATCH_BYTES = 4 << 20
 
 
@@ -50,12 +52,14 @@ def bucket_counts(docs: DataFrame, text_col: str, items: Callable[[list[bytes]],
     schema = ", ".join(["block long", *[f"{c} long" for c in columns]])
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, schema)
     # the halves are added apart: a carry from one must not reach the other
-    halves = [F.least(F.sum(half), F.lit(_MOST)).alias(f"{c}{x}") for c in columns
+    halves = [F.least(F.sum(half), F.lit(_MOST)).cast("int").alias(f"{c}{x}") for c in columns
               for x, half in (("a", F.col(c).bitwiseAND(F.lit((1 << 32) - 1))), ("b", F.shiftright(c, 32)))]
     table = parts.groupBy("block").agg(*halves).toArrow()
-    result = np.zeros(((1 << BITS) // _PER_ROW, _PER_ROW), np.int64)
-    if table.num_rows:
-        result[table.column("block").to_numpy()] = np.stack([c.to_numpy() for c in table.columns[1:]], axis=1)
+    result = np.zeros(((1 << BITS) // _PER_ROW, _PER_ROW), np.int32)
+    for batch in table.to_batches():
+        at = batch.column(0).to_numpy()
+        for i, column in enumerate(batch.columns[1:]):
+            result[at, i] = column.to_numpy()
     return result.reshape(-1)
 
 
@@ -63,5 +67,8 @@ def classes(counts: np.ndarray) -> np.ndarray:
     """0 for buckets whose excess over the mean may be chance, then one more for every doubling of it; one byte each."""
     mean = counts.mean()
     chance = 3 * np.sqrt(mean) + 1
-    excess = np.maximum((counts - mean) / chance, 0.5)
-    return np.maximum(np.floor(np.log2(excess)) + 1, 0).astype(np.uint8)
+    found = np.empty(len(counts), np.uint8)
+    for start in range(0, len(counts), _AT_ONCE):  # doubles of a part only
+        excess = np.maximum((counts[start:start + _AT_ONCE] - mean) / chance, 0.5)
+        found[start:start + _AT_ONCE] = np.maximum(np.floor(np.log2(excess)) + 1, 0)
+    return found

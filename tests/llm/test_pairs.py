@@ -54,6 +54,46 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def tasks_of(spark, group, run):
+    """Tasks that *run* takes with 40 shuffle partitions that are not coalesced."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context = spark.sparkContext
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s))
+
+
+def test_components_take_few_tasks(spark):
+    # every task passes through the driver: stars, as the second round of the join has them, need one shuffle, and a
+    # round has three
+    stars = spark.createDataFrame([(i, 100 * (i // 100)) for i in range(1, 400)] + [(7, 0)], "a long, b long").coalesce(1)
+    assert 40 <= tasks_of(spark, "stars", lambda: components.components(stars).collect()) < 2 * 40
+    path = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long").coalesce(1)
+    got = []
+    assert tasks_of(spark, "path", lambda: got.extend(components.components(path).collect())) < 12 * 40
+    assert {(r.node, r.component) for r in got} == {(i, 1) for i in range(1, 5)}
+
+
+def test_components_of_many_nodes_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
+    edges = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (101, 103)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 103: 100}
+    nothing = spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")
+    assert components.components(nothing).collect() == []
+
+
 def shingles(text, width):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", w) if x]
